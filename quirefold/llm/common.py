@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows that are worked on at once.
+SLICE = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,9 +56,7 @@ def append_by_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = build()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             made = compute([batch.column(n + i) for i in range(len(inputs))])
             columns = [*(batch.column(i) for i in range(n)), *made]
             yield pa.RecordBatch.from_arrays(

@@ -12,6 +12,7 @@ MAX_MODEL_BYTES).
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import pairwise
 from pathlib import Path
 
@@ -26,7 +27,7 @@ from quirefold.llm.common import append_by_arrow
 SPACE = "▁"
 MAX_MODEL_BYTES = 64 << 20
 #: Entries of the caches of chunks and of pairs in a task.
-CACHE = 300_000
+CACHE = 200_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Letters of words; texts are cut between these and other characters where no piece spans the cut.
 LETTER = "A-Za-zÀ-ɏ"
@@ -238,6 +239,12 @@ class _Chunks(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def _codec(model: bytes) -> PieceCodec:
+    """One a process: what a task remembers serves the next one."""
+    return PieceCodec(model)
+
+
 def _model(path: str) -> bytes:
     model = Path(path).read_bytes()
     if len(model) > MAX_MODEL_BYTES:
@@ -250,7 +257,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
     model = _model(model_path)
 
     def build():
-        codec = PieceCodec(model)
+        codec = _codec(model)
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
             coded = list(map(codec.encode, columns[0].to_pylist()))
@@ -269,10 +276,10 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     model = _model(model_path)
 
     def build():
-        codec = PieceCodec(model)
+        codec = _codec(model)
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            return [pa.array([codec.decode(x or []) for x in columns[0].to_pylist()], pa.string())]
+            return [pa.array([codec.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in columns[0]], pa.string())]
 
         return compute
 
