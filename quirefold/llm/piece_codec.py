@@ -252,23 +252,39 @@ def _model(path: str) -> bytes:
     return model
 
 
+def _encoded(codec: PieceCodec, texts: pa.Array) -> tuple[pa.Array, list[bytes]]:
+    coded = [codec.encode(x.as_py()) for x in texts]
+    offsets = np.zeros(len(coded) + 1, "i4")
+    np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4"))), coded
+
+
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (all, if None) and ids_col, array<int>: the ids of text_col and the end id."""
     model = _model(model_path)
 
+    def build():
+        codec = _codec(model)
+        return lambda columns: [_encoded(codec, columns[0])[0]]
+
+    return append_by_arrow(df, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], build, [text_col], keep)
+
+
+def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encode(), and decode() of its ids, in one pass: ids cross to Spark once and never back."""
+    model = _model(model_path)
+
     def build():
         codec = _codec(model)
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            coded = list(map(codec.encode, columns[0].to_pylist()))
-            offsets = np.zeros(len(coded) + 1, "i4")
-            np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-            return [pa.ListArray.from_arrays(pa.array(offsets), values)]
+            ids, coded = _encoded(codec, columns[0])
+            return [ids, pa.array([codec.decode(np.frombuffer(x, "<i4").tolist()) for x in coded], pa.string())]
 
         return compute
 
-    return append_by_arrow(df, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], build, [text_col], keep)
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())]
+    return append_by_arrow(df, fields, build, [text_col], keep)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     model = path("piece_bpe_32k.model")
-    ids = piece_codec.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
-    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"))
-    texts = piece_codec.decode(ids, model, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return texts.select("doc_id", "n_tokens", "ids_sha256", hex_of(F.col("decoded")).alias("decoded_sha256"))
+    coded = piece_codec.encode_and_decode(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        hex_of(F.col("decoded")).alias("decoded_sha256"),
+    )

@@ -48,4 +48,6 @@ def test_edges(spark, library):
     for row in got:
         assert row.ids == library.encode(row.text or "", add_eos=True)
         assert row.decoded == (row.text or "")
+    both = piece_codec.encode_and_decode(df, MODEL, keep=["doc_id"])
+    assert sorted(map(str, both.collect())) == sorted(map(str, piece_codec.decode(piece_codec.encode(df, MODEL), MODEL, keep=["doc_id", "ids"]).collect()))
     assert piece_codec.encode(df.where(F.lit(False)), MODEL).count() == 0
