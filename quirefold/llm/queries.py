@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import piece_codec
+from quirefold.llm import minhash, piece_codec
 from quirefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         hex_of(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
