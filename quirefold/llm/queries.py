@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import minhash, piece_codec
+from quirefold.llm import langid, minhash, piece_codec, toxicity
 from quirefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,25 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def crc_mod(n: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+TOXIC = 0.7
+
+
+@query
+def op10_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=crc_mod(3) != 1)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+@query
+def op7_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, train=crc_mod(5) != 0), keep=["doc_id"])
+    return found.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "lang_pred", "score")
