@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import langid, minhash, piece_codec, toxicity
+from quirefold.llm import langid, minhash, piece_codec, spotsigs, toxicity
 from quirefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,19 @@ def op7_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs, train=crc_mod(5) != 0), keep=["doc_id"])
     return found.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = rows.withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
+    rows = spotsigs.with_signatures(rows, F.col("edited"), "edited_sigs")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        hex_of(F.col("edited")).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
