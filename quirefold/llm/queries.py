@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import langid, minhash, piece_codec, spotsigs, toxicity
+from quirefold.llm import langid, minhash, piece_codec, spotsigs, topk, toxicity
 from quirefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
+
+
+@query
+def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
