@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import langid, minhash, piece_codec, spotsigs, topk, toxicity
-from quirefold.llm.common import table
+from quirefold.llm import langid, minhash, piece_codec, spotsigs, topk, toxicity, warc
+from quirefold.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +84,11 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archives/{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    index = warc.merged_index(warc.read_archives(spark, path))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "seq")
