@@ -8,7 +8,7 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import langid, minhash, piece_codec, spotsigs, topk, toxicity, warc
+from quirefold.llm import langid, minhash, piece_codec, sharding, spotsigs, topk, toxicity, warc
 from quirefold.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     index = warc.merged_index(warc.read_archives(spark, path))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "seq")
+
+
+@query
+def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
