@@ -8,7 +8,7 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import langid, minhash, piece_codec, sharding, spotsigs, topk, toxicity, warc
+from quirefold.llm import chat, langid, minhash, packing, piece_codec, sharding, spotsigs, topk, toxicity, warc
 from quirefold.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,43 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.perspectives(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat(m.start.cast("string"), F.lit("-"), m.end.cast("string"))), ",")
+    return views.select("conv_id", "speaker", "part", "n_turns", "text", masks.alias("masks"), "char_offset")
+
+
+SQL["op1_perspectives"] = f"""
+with t as (
+  select conv_id, turn, floor(turn / {chat.TURNS}) as range, replace(coalesce(role, 'unknown'), '<|', '< |') as name,
+         replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) as body
+  from conversations
+), people as (select distinct conv_id, name as self from t where name <> 'system'
+), said as (
+  select t.*, self, case when name = self then '<|assistant|>' when name = 'system' then '<|system|>'
+                         else '<|user:' || name || '|>' end || chr(10) as head
+  from t join people on t.conv_id is not distinct from people.conv_id
+), placed as (
+  select *, coalesce(sum(length(head) + length(body)) over (partition by conv_id, self, range order by turn
+                     rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from said
+), parts as (
+  select conv_id, self, range, count(*) as n_turns, string_agg(head || body, '' order by turn) as text,
+         coalesce(string_agg((start + length(head))::varchar || '-' || (start + length(head) + length(body))::varchar, ','
+                             order by turn) filter (where name = self), '') as masks
+  from placed group by all
+)
+select conv_id, self as speaker, (row_number() over (partition by conv_id, self order by range) - 1)::int as part,
+       n_turns::int as n_turns, text, masks,
+       coalesce(sum(length(text)) over (partition by conv_id, self order by range
+                rows between unbounded preceding and 1 preceding), 0)::bigint as char_offset
+from parts
+"""
