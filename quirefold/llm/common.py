@@ -52,16 +52,16 @@ def append_by_arrow(
     keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     target = to_arrow_schema(schema, prefers_large_types=False)
-    n = len(keep)
+    fed = [*keep, *(c for c in inputs if c not in keep)]
+    at = [fed.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = build()
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            made = compute([batch.column(n + i) for i in range(len(inputs))])
-            columns = [*(batch.column(i) for i in range(n)), *made]
+            made = compute([batch.column(i) for i in at])
+            columns = [*batch.columns[: len(keep)], *made]
             yield pa.RecordBatch.from_arrays(
                 [c if c.type == t.type else c.cast(t.type) for c, t in zip(columns, target, strict=True)], schema=target
             )
 
-    fed = df.select(*[df[f"`{c}`"] for c in keep], *[df[f"`{c}`"].alias(f"_in{i}") for i, c in enumerate(inputs)])
-    return fed.mapInArrow(run, schema)
+    return df.select(*[df[f"`{c}`"] for c in fed]).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 A document's set: the distinct runs of SHINGLE words of its text, A-Z lower-cased, words being runs of characters other
 than ASCII space; with fewer words, the whole sequence as one. Without words (null, empty, blank text) the set is empty
-and linked with nothing. Documents whose sets are alike by SIMILARITY or more are linked; a component is what links
+and linked with nothing. Documents whose sets are alike by `similarity` per cent or more are linked; a component is what links
 reach, and its smallest id stays. Rows that repeat an id are judged each by its own text; rows without id have no
 component and are not kept.
 
@@ -10,7 +10,7 @@ SuperMinHash: an element draws a random rank for each level and visits the slots
 own; slot values of level j are all below those of level j + 1, so a document ends at the level at which all its slots
 are full. Here all elements of a batch take a level together.
 
-Rows and bands give a pair of likeness 0.85 one chance in four million to share no bucket. Texts of equal sets form a
+Rows and bands give a pair of just that likeness at most MISS as its chance to share no bucket. Texts of equal sets form a
 class that its smallest id stands for. In each bucket all classes are compared with the smallest one (rows linear in
 the bucket). Where the classes that buckets bring together stay apart after that, all of them are compared, block by
 block inside tasks, so no link is lost and no rows of pairs are made.
@@ -18,6 +18,8 @@ block inside tasks, so no link is lost and no rows of pairs are made.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +29,9 @@ from pyspark.sql import types as T
 from quirefold.llm.common import append_by_arrow, cut
 from quirefold.llm.components import components, spanning
 
-SHINGLE, BANDS, ROWS = 5, 32, 6
-SIMILARITY = 85  # per cent
+SHINGLE = 5
+SIMILARITY = 80  # per cent
+MISS = 3e-7
 #: Elements that take a level together.
 BATCH = 200_000
 #: Ids that are broadcast at most; beyond, Spark joins as it sees fit.
@@ -125,6 +128,12 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return best.reshape(-1, slots)
 
 
+def banding(similarity: int) -> tuple[int, int]:
+    """Bands, and rows of each."""
+    rows = 6 if similarity >= 85 else 5
+    return math.ceil(math.log(MISS) / math.log(1 - (similarity / 100) ** rows)), rows
+
+
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.broadcast_to(np.arange(bands, dtype=U) * ODD, (len(signatures), bands)).copy()
     for r in range(rows):
@@ -132,14 +141,15 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, two halves of a digest of the set (null if it is empty), and the keys of the bands."""
+def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """id, n_shingles, two halves of a digest of the set (null if it is empty), and the keys of the bands."""
+    bands_, rows_ = banding(similarity)
 
     def build():
         powers = _Powers()
 
         def keys_of(sets: list[np.ndarray]) -> np.ndarray:
-            return band_keys(super_minhash(sets, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+            return band_keys(super_minhash(sets, bands_ * rows_), bands_, rows_).view(np.int64)
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
             sizes, halves, bands = [], [[], []], []
@@ -160,7 +170,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 bands.append(keys_of(pending))
             flat = np.concatenate(bands).reshape(-1) if bands else np.zeros(0, np.int64)
             offsets = np.zeros(len(sizes) + 1, np.int32)
-            np.cumsum([BANDS * (n > 0) for n in sizes], out=offsets[1:])
+            np.cumsum([bands_ * (n > 0) for n in sizes], out=offsets[1:])
             return [pa.array(sizes, pa.int64()), *(pa.array(h, pa.int64()) for h in halves), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
         return compute
@@ -191,12 +201,12 @@ def sets_of(df: DataFrame) -> DataFrame:
     return append_by_arrow(df, [T.StructField("items", T.ArrayType(T.LongType()))], build, ["text"], keep=["id"])
 
 
-def alike(shared, a, b):
+def alike(shared, a, b, similarity: int):
     """Whether sets of sizes a and b that share so many items are alike enough, in whole numbers."""
-    return 100 * shared >= SIMILARITY * (a + b - shared)
+    return 100 * shared >= similarity * (a + b - shared)
 
 
-def _compare_block(group: pa.Table) -> pa.Table:
+def _compare(group: pa.Table, similarity: int) -> pa.Table:
     """Links (a spanning forest of them) between the classes of one block, or between those of two, that are apart."""
     part = group.column("part").to_numpy()
     ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
@@ -213,7 +223,7 @@ def _compare_block(group: pa.Table) -> pa.Table:
         marked[own] = True
         shared = np.add.reduceat(marked[values], offsets[:-1], dtype=np.int64)
         marked[own] = False
-        fit = alike(shared, sizes[i], sizes) & (component != component[i])
+        fit = alike(shared, sizes[i], sizes, similarity) & (component != component[i])
         fit &= (part != part[i]) if two else (np.arange(len(ids)) > i)
         found += [(int(ids[i]), int(ids[j])) for j in np.flatnonzero(fit)]
         if len(found) > 100_000:
@@ -222,9 +232,8 @@ def _compare_block(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
-def links(docs: DataFrame, made: DataFrame) -> DataFrame:
+def links(docs: DataFrame, made: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(a, b): links of classes, by their smallest ids; made: features(docs), cut. Enough of them for all components."""
-    spark = docs.sparkSession
     classes = made.where("n_shingles > 0 and id is not null").groupBy("digest0", "digest1").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     keyed = classes.select("id", F.explode("bands").alias("key"))
     centers = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").drop("last")
@@ -235,8 +244,8 @@ def links(docs: DataFrame, made: DataFrame) -> DataFrame:
     sets = cut(sets_of(texts).groupBy("id").agg(F.first("items").alias("items")))
     joined = near.join(sets.select(F.col("id").alias("b"), F.col("items").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("of_a")), "a")
     a, b = F.size("of_a"), F.size("of_b")
-    sized = joined.where((100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)))
-    found = cut(sized.where(alike(F.size(F.array_intersect("of_a", "of_b")), a, b)).select("a", "b"))
+    sized = joined.where(100 * F.least(a, b) >= similarity * F.greatest(a, b))
+    found = cut(sized.where(alike(F.size(F.array_intersect("of_a", "of_b")), a, b, similarity)).select("a", "b"))
 
     together, linked = components(near, name="whole"), components(found, name="component")
     state = wanted.join(together, "id").join(linked, "id", "left").select("id", "whole", F.coalesce("component", "id").alias("component"))
@@ -246,15 +255,15 @@ def links(docs: DataFrame, made: DataFrame) -> DataFrame:
     rest = state.join(apart.select("whole", blocks.alias("blocks")), "whole").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("whole", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "items")
-    more = rest.groupBy("whole", "low", "high").applyInArrow(_compare_block, "a long, b long")
+    more = rest.groupBy("whole", "low", "high").applyInArrow(lambda group: _compare(group, similarity), "a long, b long")
     return found.unionByName(more)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row for each of df: id_col, n_shingles, component_id, kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = cut(features(docs, "id", "text"))
-    named = components(cut(links(docs, made)), name="component_id")
+    made = cut(features(docs, "id", "text", similarity))
+    named = components(cut(links(docs, made, similarity)), name="component_id")
     classes = made.where("n_shingles > 0").groupBy("digest0", "digest1").agg(F.min("id").alias("id"))
     classes = classes.join(named, "id", "left").select("digest0", "digest1", F.coalesce("component_id", "id").alias("component_id"))
     out = made.drop("bands").join(classes, ["digest0", "digest1"], "left")

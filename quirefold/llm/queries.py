@@ -40,7 +40,7 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=85)
 
 
 def crc_mod(n: int) -> F.Column:

@@ -7,7 +7,7 @@ from quirefold.llm import minhash
 from quirefold.llm.components import components
 
 
-def brute(rows):
+def brute(rows, similarity):
     sets = []
     for key, text in rows:
         lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -23,7 +23,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
     group = {}
     for i, (key, _) in enumerate(rows):
@@ -31,7 +31,8 @@ def brute(rows):
     return {key: (len(sets[i]), min(group[find(i)]), min(group[find(i)]) == key) for i, (key, _) in enumerate(rows)}
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("similarity", [80, 85])
+def test_against_brute_force(spark, similarity):
     draw = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows, key = [], 0
@@ -45,8 +46,8 @@ def test_against_brute_force(spark):
         rows.append((key := key + 1, "\t".join(base) + "\n"))
     rows += [(key + 1, None), (key + 2, ""), (key + 3, " \n"), (key + 4, "one two"), (key + 5, "ONE  two"), (key + 6, "one two "), (key + 7, "x" * 100_000)]
     draw.shuffle(rows)
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, similarity)
 
 
 def test_edges(spark):
