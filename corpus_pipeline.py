@@ -1,8 +1,73 @@
-"""The stages that turn documents into packed training sequences."""
+"""The stages that turn documents into packed training sequences.
 
-STAGES = []
+Each stage works on all documents that the one before kept. Its decisions take effect, and all but the last return the
+columns of documents:
+
+- toxicity: documents that score TOXIC or more go;
+- language: documents without any letter, or of no language that is likelier than all others together, go;
+- near_duplicates: of each group of documents that are alike by 0.8 or more in their five-word shingles, the one of the
+  smallest id stays; documents without id stay, and of rows that repeat an id one stays if the id does;
+- packing: documents become pieces in bins of packing.CAPACITY tokens.
+"""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirefold.llm import langid, minhash, packing, toxicity
+from quirefold.llm.common import cut, shared_dir, table
+from quirefold.llm.queries import TOXIC, crc_mod
+
+LIKELY = 0.5
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=crc_mod(3) != 1)
+    return toxicity.score(docs, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs, train=crc_mod(5) != 0)
+    found = langid.predict(docs, model, lang_col="_lang", score_col="_likely")
+    return found.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_likely") > LIKELY)).select(docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = cut(minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+
+    def ids(which: str) -> DataFrame:
+        found = judged.where(which).select("doc_id")
+        return F.broadcast(found) if found.count() <= minhash.BROADCAST else found
+
+    kept = docs.join(ids("not kept"), "doc_id", "left_anti").select(docs.columns)
+    repeated = ids("kept and n > 1")
+    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models and hashed buckets: no SQL gives run()'s rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES, one after another; what a stage returns is written to the shared folder for the next one."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
