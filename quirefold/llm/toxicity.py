@@ -34,7 +34,7 @@ POSITIVES, UNLABELLED, FEATURES = 2000, 4000, 1024
 #: log-likelihood ratio, are at least these.
 RATIO, EVIDENCE = 0.35, 12.0
 CACHE = 200_000
-STEPS, RATE, DECAY = 400, 0.05, 1e-3
+STEPS, RATE, DECAY = 400, 0.05, 3e-4
 
 
 def words(text: str | None) -> list[str]:
