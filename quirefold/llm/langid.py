@@ -94,8 +94,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """train: which rows may be learned from; all, if None."""
     taught = docs.where(F.lit(True) if train is None else train).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     taught = taught.where(F.col(lang_col) != UNDETERMINED)
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = taught.select(id_col, lang_col).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS).select(id_col).distinct()
+    # only rows of low hashes are ranked, as many as TEXTS and six standard deviations on average: a language of any size
+    # sends no more to the task that ranks it
+    sizes = taught.groupBy(lang_col).agg(F.count("*").alias("of"))
+    low = (F.col("of") * (F.shiftrightunsigned(F.xxhash64(id_col), 32) / 2.0**32)) <= TEXTS + 6 * TEXTS**0.5
+    order = Window.partitionBy(lang_col).orderBy(F.shiftrightunsigned(F.xxhash64(id_col), 32), id_col)
+    chosen = taught.select(id_col, lang_col).join(F.broadcast(sizes), lang_col).where(low).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS).select(id_col).distinct()
     chosen = cut(chosen)
     sample = taught.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("lang", "text")
 

@@ -2,11 +2,13 @@
 
 Training: confirmed toxic texts against unlabelled ones. The risk is prior * R+(toxic) + max(0, R-(unlabelled) - prior *
 R-(toxic)) under the logistic loss; where the bracket is negative, its gradient is turned round, which undoes
-overfitting. The prior is the share of toxic rows among the labelled ones unless given.
+overfitting. Unless given, the prior is the share of toxic rows among the labelled ones and one standard error: one that
+is too low keeps even sure texts below the threshold, while the bracket's bound makes up for one that is too high.
 
 The classifier is fitted on a bounded sample: at most POSITIVES toxic and UNLABELLED other texts, whole, those with the
-smallest hashes of their ids. Features are words and runs of RUNS characters inside words (ends marked), at most FEATURES
-of those that are clearly more frequent in toxic texts; a text has a feature or not. Scoring covers all rows and whole texts.
+smallest hashes of their ids. Features are words and runs of RUNS characters inside words (ends marked) that are in LEVELS
+or more different words of a text, at most FEATURES of those that are clearly more frequent in toxic texts; a text has a
+feature or not. Scoring covers all rows and whole texts.
 
 Null and empty texts get the score of a text without features. Without any toxic training row all scores are
 next to 0.
@@ -28,13 +30,13 @@ from pyspark.sql import types as T
 from quirefold.llm.common import append_by_arrow, cut
 
 WORD = re.compile(r"[^\W\d_]+")
-RUNS = (3, 4, 5)
+RUNS, LEVELS = (3, 4, 5), (1, 2, 4)
 POSITIVES, UNLABELLED, FEATURES = 2000, 4000, 1024
 #: A feature's frequency in toxic texts by that in unlabelled ones, as a part of the 1 / prior it can reach, and its
 #: log-likelihood ratio, are at least these.
 RATIO, EVIDENCE = 0.35, 12.0
 CACHE = 200_000
-STEPS, RATE, DECAY = 400, 0.05, 3e-4
+STEPS, RATE, DECAY = 1000, 0.05, 3e-4
 
 
 def words(text: str | None) -> list[str]:
@@ -46,37 +48,44 @@ def features_of(word: str) -> set[str]:
     return {marked, *(marked[i : i + n] for n in RUNS for i in range(len(marked) - n + 1))}
 
 
+def levels_of(text: str | None) -> set[tuple[str, int]]:
+    counts = Counter(x for w in set(words(text)) for x in features_of(w))
+    return {(x, level) for x, n in counts.items() for level in LEVELS if n >= level}
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
 @dataclass
 class Model:
-    names: list[str]
+    names: list[tuple[str, int]]  # words or runs, and in how many words of a text
     weights: np.ndarray
     bias: float
     prior: float
-    _ids: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
-    _known: dict[str, int] = field(default_factory=dict, repr=False)
+    _ids: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    _known: dict[str, list[tuple[int, int]]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_ids": {}, "_known": {}}
 
     def found(self, text: str | None) -> list[int]:
         """Positions of the text's features."""
-        self._known = self._known or {x: i for i, x in enumerate(self.names)}
-        out: set[int] = set()
+        if not self._known:
+            for at, (x, level) in enumerate(self.names):
+                self._known.setdefault(x, []).append((level, at))
+        counts: dict[str, int] = {}
         for w in set(words(text)):
-            ids = self._ids.get(w)
-            if ids is None:
-                ids = tuple(self._known[x] for x in features_of(w) if x in self._known)
+            known = self._ids.get(w)
+            if known is None:
+                known = tuple(x for x in features_of(w) if x in self._known)
                 if len(self._ids) >= CACHE:
                     self._ids.clear()
                 if len(w) <= 64:
-                    self._ids[w] = ids
-            if ids:
-                out.update(ids)
-        return sorted(out)
+                    self._ids[w] = known
+            for x in known:
+                counts[x] = counts.get(x, 0) + 1
+        return sorted(at for x, n in counts.items() for level, at in self._known[x] if n >= level)
 
     def score(self, text: str | None) -> float:
         return float(sigmoid(self.bias + self.weights[self.found(text)].sum()))
@@ -110,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = marks.agg(F.sum((F.col(label_col) == 1).cast("long")).alias("n"), F.count("*").alias("of")).first()
     if not counts.n:
         return Model([], np.zeros(0), -60.0, 0.0)
-    prior = prior or min(0.9, counts.n / counts.of)
+    share = counts.n / counts.of
+    prior = prior or min(0.9, share + (share * (1 - share) / counts.of) ** 0.5)
     order = F.xxhash64(id_col)
     toxic = marks.where(F.col(label_col) == 1).select(id_col).distinct().orderBy(order, id_col).limit(POSITIVES)
     others = docs.where(train).where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(order, id_col).limit(UNLABELLED)
@@ -122,24 +132,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen = Counter()
         for batch in batches:
             for positive, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found: set[str] = set()
-                for w in set(words(text.as_py())):
-                    found |= features_of(w)
-                seen.update((x, positive) for x in found)
-        kept = [(x, p, n) for (x, p), n in seen.items() if n > 1]
-        yield pa.record_batch({"name": pa.array([x for x, _, _ in kept], pa.string()), "positive": pa.array([p for _, p, _ in kept], pa.bool_()), "n": pa.array([n for _, _, n in kept], pa.int64())})
+                seen.update((*x, positive) for x in levels_of(text.as_py()))
+        kept = [(*x, n) for x, n in seen.items() if n > 1]
+        columns = zip(*kept, strict=True) if kept else [[]] * 4
+        kinds = (pa.string(), pa.int32(), pa.bool_(), pa.int64())
+        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["name", "level", "positive", "n"])
 
     sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_pos, n_unl = sizes.get(True, 0), max(1, sizes.get(False, 0))
     if not n_pos:
         return Model([], np.zeros(0), -60.0, prior)
     p, u = F.col("p") / n_pos, F.col("u") / n_unl
-    told = sample.mapInArrow(count, "name string, positive boolean, n long").groupBy("name").agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), F.col("n")).otherwise(0)).alias("u"))
+    told = sample.mapInArrow(count, "name string, level int, positive boolean, n long").groupBy("name", "level").agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), F.col("n")).otherwise(0)).alias("u"))
     usual = (F.col("u") + 1) / (n_unl + 2)
     evidence = n_pos * (p * F.log(p / usual) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - usual))).otherwise(0))
     best = told.where((F.col("p") > 0) & (p > u * max(1.2, RATIO / prior)) & (evidence > EVIDENCE))
-    best = best.orderBy((p * F.log((p + 0.002) / (u + 0.002))).desc(), "name").limit(FEATURES)
-    model = Model([r.name for r in best.select("name").collect()], np.zeros(0), 0.0, prior)
+    best = best.orderBy((p * F.log((p + 0.002) / (u + 0.002))).desc(), "name", "level").limit(FEATURES)
+    model = Model([(r.name, r.level) for r in best.select("name", "level").collect()], np.zeros(0), 0.0, prior)
     coded = append_by_arrow(sample, [T.StructField("found", T.ArrayType(T.IntegerType()))], lambda: lambda c: [pa.array([model.found(x.as_py()) for x in c[0]], pa.list_(pa.int32()))], ["text"], keep=["positive"])
     rows = coded.collect()
     model.weights, model.bias = nn_pu([r.found for r in rows], np.array([r.positive for r in rows]), len(model.names), prior)
