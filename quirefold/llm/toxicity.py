@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ POSITIVES, UNLABELLED, FEATURES = 2000, 4000, 1024
 #: log-likelihood ratio, are at least these.
 RATIO, EVIDENCE = 0.35, 12.0
 CACHE = 200_000
+#: Counts that a task holds about, and that it gives at once.
+COUNTED, COUNTS = 1_000_000, 50_000
 STEPS, RATE, DECAY = 1000, 0.05, 3e-4
 
 
@@ -53,6 +56,14 @@ def levels_of(text: str | None) -> set[tuple[str, int]]:
     return {(x, level) for x, n in counts.items() for level in LEVELS if n >= level}
 
 
+def counted(seen: Counter) -> Iterator[pa.RecordBatch]:
+    """All counts, the single ones too: only their sum over all partitions says what is rare."""
+    kinds = {"name": pa.string(), "level": pa.int32(), "positive": pa.bool_(), "n": pa.int64()}
+    rows = ((*x, n) for x, n in seen.items())
+    while part := list(islice(rows, COUNTS)):
+        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*part, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -133,10 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for positive, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen.update((*x, positive) for x in levels_of(text.as_py()))
-        kept = [(*x, n) for x, n in seen.items() if n > 1]
-        columns = zip(*kept, strict=True) if kept else [[]] * 4
-        kinds = (pa.string(), pa.int32(), pa.bool_(), pa.int64())
-        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["name", "level", "positive", "n"])
+                if len(seen) >= COUNTED:
+                    yield from counted(seen)
+                    seen.clear()
+        yield from counted(seen)
 
     sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_pos, n_unl = sizes.get(True, 0), max(1, sizes.get(False, 0))

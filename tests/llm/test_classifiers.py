@@ -76,6 +76,34 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_rare_features_count_over_all_partitions(spark):
+    """Words of three toxic texts each, mostly in different partitions of the sample."""
+    draw = random.Random(3)
+    bad = ["qworx", "zjupf", "xvimp", "wqyzt", "jhexk", "vfowq"]
+    texts = [[] for _ in range(8)]
+    for w in bad:
+        for i in draw.sample(range(8), 3):
+            texts[i].append(w)
+    rows = [(i, " ".join([*t, f"lala{i}"])) for i, t in enumerate(texts)] + [(i, f"lolo tutu{i % 7}") for i in range(8, 3000)]
+    labels = [(i, int(i < 8)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {(f"^{w}$", 1) for w in bad} <= set(model.names)
+
+
+def test_counts_in_parts_are_the_same(spark, monkeypatch):
+    rows = toxic_rows(300)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    whole = toxicity.fit(docs, labels)
+    seen = toxicity.Counter({("a", 1, True): 1, ("b", 1, False): 2, ("c", 2, True): 1})
+    monkeypatch.setattr(toxicity, "COUNTS", 2)
+    parts = [r for b in toxicity.counted(seen) for r in b.to_pylist()]
+    assert {(r["name"], r["level"], r["positive"]): r["n"] for r in parts} == seen
+    monkeypatch.setattr(toxicity, "COUNTED", 50)
+    assert toxicity.fit(docs, labels).names == whole.names
+
+
 def test_risk_stays_non_negative():
     draw = np.random.default_rng(1)
     positive = np.arange(400) < 100
