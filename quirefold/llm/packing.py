@@ -9,6 +9,8 @@ this is the tightest; if there is none, a bin is opened. Larger pieces come firs
 Pieces are dealt by the hash of all their columns, so a hot source or cluster is spread evenly, and packed in blocks of
 BLOCK pieces; a task holds one block at a time. Rows without source or cluster conflict with none by it; null and empty
 texts take one token. Rows that repeat an id are documents each; equal ones have equal clusters and stay apart.
+
+A cluster is one of equal texts, or, with near_clusters, what links between texts that are alike reach.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm import minhash
+from quirefold.llm.common import cut
+
 CAPACITY = 2048
 BLOCK = 4096
 
@@ -95,10 +100,26 @@ def text_cluster(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def best_fit(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
-    """One row a piece: id_col, piece, first_token, n_tokens, source, cluster, bin_id, bin_offset."""
+def near_clusters(df: DataFrame, text_col: str = "text", similarity: int = minhash.SIMILARITY) -> DataFrame:
+    """(cluster, near): the smallest text_cluster among the near copies of a text, for texts where it is not their own.
+
+    Texts stand for themselves here, so rows without id, or of an id that other rows have, are judged as all others.
+    """
+    texts = df.select(text_cluster(F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
+    found = minhash.near_duplicates(texts, "id", "text", similarity).where("component_id <> id")
+    return cut(found.select(F.col("id").alias("cluster"), F.col("component_id").alias("near")).distinct())
+
+
+def best_fit(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, near: DataFrame | None = None) -> DataFrame:
+    """One row a piece: id_col, piece, first_token, n_tokens, source, cluster, bin_id, bin_offset.
+
+    near: near_clusters(df), for clusters of near copies and not of equal texts only.
+    """
     tokens = (count_words(F.col(text_col)) + 1).cast("int")
     rows = df.select(F.col(id_col).cast("long").alias("id"), tokens.alias("tokens"), F.col(source_col).cast("string").alias("source"), (text_cluster(F.col(text_col)) if cluster is None else cluster).cast("long").alias("cluster"))
+    if near is not None:
+        near = F.broadcast(near) if near.count() <= minhash.BROADCAST else near
+        rows = rows.join(near, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / capacity).cast("int"))))
     first = F.col("piece") * capacity
     pieces = pieces.select("id", "piece", first.alias("first_token"), F.least(F.col("tokens") - first, F.lit(capacity)).alias("n_tokens"), "source", "cluster")

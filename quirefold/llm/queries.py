@@ -102,7 +102,8 @@ def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.best_fit(docs, near=packing.near_clusters(docs))
 
 
 @query

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quirefold.llm import packing
+from quirefold.llm import packing, queries
 
 
 def naive(pieces, capacity):
@@ -57,3 +57,28 @@ def test_whole_and_without_conflicts(spark, monkeypatch):
         sources = [r.source for r in held if r.source]
         assert len(sources) == len(set(sources)) and len(held) == len({r.cluster for r in held})
     assert packing.best_fit(df.limit(0)).count() == 0
+
+
+def test_near_copies_stay_apart(spark, tmp_path):
+    """Of different sources, and with ids that are null or repeated."""
+    draw = random.Random(3)
+    rows, group = [], {}
+    for g in range(12):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+        for k in range(4):
+            text = " ".join(words[:-1] + [f"end{k}"]) if k < 3 else " ".join(words).upper() + "  "
+            group[len(rows)] = g
+            rows.append((None if k == 1 else g if k == 2 else len(rows) + 100, text, f"s{len(rows)}"))
+    rows += [(3, "", "blank"), (901, None, "none"), (902, "alone", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.source, r.n_tokens) for r in got) == sorted((str(i), s, len((t or "").split()) + 1) for i, t, s in rows)
+    cluster, seen = defaultdict(set), set()
+    for r in got:
+        if r.source[1:].isdigit():
+            g = group[int(r.source[1:])]
+            cluster[g].add(r.cluster)
+            assert (r.bin_id, g) not in seen
+            seen.add((r.bin_id, g))
+    assert all(len(c) == 1 for c in cluster.values()) and len(set().union(*cluster.values())) == 12
+    assert len({r.bin_id for r in got}) < len(got)
