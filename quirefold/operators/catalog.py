@@ -48,6 +48,21 @@ def listing(works: DataFrame, sort_by: str = SORTABLE[0], sortable: tuple[str, .
     return works.orderBy(F.col(sort_by if sort_by in sortable else sortable[0]).desc_nulls_last())
 
 
+def placed(works: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
+    """All works and their places, from 1, in the order of `by`, which should leave no ties.
+
+    Places are numbered inside ranges of the order, and the counts of the ranges before are added. Ranges are drawn from
+    samples, so they are written once (to the checkpoint folder, if there is one) for both.
+    """
+    ranged = works.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
+    ranged = ranged.checkpoint() if works.sparkSession.sparkContext.getCheckpointDir() else ranged.localCheckpoint()
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    numbered = ranged.withColumn("_inside", inside).join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    return numbered.withColumn(name, F.col("_before") + F.col("_inside")).select(name, *works.columns)
+
+
 def search(works: DataFrame, query: str, columns: tuple[str, ...] = ("title", "author")) -> DataFrame:
     """Works that have the query in one of the columns; A-Z match a-z, % and _ are wildcards."""
     found = F.lit(False)

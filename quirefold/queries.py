@@ -264,6 +264,13 @@ def catalog_list(spark, sf_dir):
     return top.select(F.row_number().over(by).cast("long").alias("place"), "o_orderkey", "o_orderdate")
 
 
+@query("select row_number() over (order by o_orderdate desc nulls last, o_orderkey) as place, o_orderkey, o_orderdate from orders")
+def catalog_list_all(spark, sf_dir):
+    """The whole listing that catalog_list has the first hundred of."""
+    works = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return catalog.placed(works, [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").asc()])
+
+
 @query("select c_custkey, c_name, c_acctbal from customer where c_custkey = 7")
 def catalog_get(spark, sf_dir):
     return catalog.get(table(spark, sf_dir, "customer"), 7, "c_custkey").select("c_custkey", "c_name", "c_acctbal")

@@ -26,3 +26,22 @@ def test_driver_contract(spark):
 
     assert e.entry(spark).count() == 50
     assert set(queries.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_places_over_all_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from quirefold.operators import catalog
+
+    rows = [(i, None if i % 7 == 0 else i * 37 % 50) for i in range(1000)]
+    works = spark.createDataFrame(rows, "id long, size int").repartition(5)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = catalog.placed(works, [F.col("size").desc_nulls_last(), F.col("id").asc()]).collect()
+    finally:
+        spark.conf.set(name, kept)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert sorted((r.place, r.id, r.size) for r in got) == [(k, *r) for k, r in enumerate(want, 1)]
+    assert catalog.placed(works.limit(0), [F.col("id").asc()]).count() == 0
