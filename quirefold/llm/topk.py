@@ -161,6 +161,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
     distinct = rows.select("key", "vector", "id").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     entries = cut(distinct.groupBy("key").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("id")).alias("ids")))
     asks = cut(rows.where("asked").select("key", F.col("id").alias("query_id")).distinct())
+    # rows to keep of a query vector: its id can have several vectors, and all of them go in the end
+    some = k + (asks.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1)
     asked = asks.select("key").distinct().join(entries, "key").select("key", "vector", "ids")
     length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     about = entries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(length).alias("largest")).first()
@@ -172,11 +174,11 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
     stored = entries.select("key", "vector", first, F.lit(False).alias("asked"), deal(blocks).alias("block"), each(parts).alias("part"))
     posed = asked.select("key", "vector", first, F.lit(True).alias("asked"), deal(parts).alias("part"), each(blocks).alias("block"))
     grid = stored.unionByName(posed).groupBy("block", "part")
-    hits = grid.applyInArrow(_searcher(k + 1, about.width or 0, about.largest or 0.0), "query string, vector string, score long")
-    # the vectors that can be among a query's k: those of the k + 1 best of all blocks
+    hits = grid.applyInArrow(_searcher(some, about.width or 0, about.largest or 0.0), "query string, vector string, score long")
+    # the vectors that can be among a query's k: those of the best of all blocks
     named = hits.join(entries.select(F.col("key").alias("vector"), F.inline(F.transform("ids", lambda i: F.struct(i.alias("id"))))), "vector")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    named = named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).select(F.col("query").alias("key"), "id", "score")
+    named = named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= some).select(F.col("query").alias("key"), "id", "score")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     paired = asks.join(named, "key").where(F.col("id") != F.col("query_id")).withColumn("rank", F.row_number().over(own))
     return paired.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

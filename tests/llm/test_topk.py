@@ -37,3 +37,13 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(df.limit(0), F.lit(True), 20).count() == 0
     assert {tuple(r) for r in topk.top_k(df, F.lit(True), 20).collect()} == {(0, 1, 1, 4096), (1, 1, 0, 4096)}
+
+
+def test_an_id_with_several_vectors(spark):
+    """Its own rows take the first places of its queries; k others are left nevertheless."""
+    rows = [(0, [9.0 + i, 1.0]) for i in range(5)] + [(i, [i / 8, 1.0]) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    scored = sorted((-sum(a * b for a, b in zip(q, v)), i) for o, q in whole if o == 0 for i, v in whole if i != 0)
+    got = topk.top_k(df, F.col("vec_id") == 0, 4).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(n, i, -s) for n, (s, i) in enumerate(scored[:4], 1)]
