@@ -144,9 +144,10 @@ SQL["op5_mtree_topk"] = f"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::double)) as whole
   from embeddings
-  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_dot_product(q.whole, c.whole)::bigint as score
+  select q.vec_id as query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.whole, c.whole, true), lambda z: z[1] * z[2])), 0)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
 ), ranked as (
   select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
