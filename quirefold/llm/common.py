@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
+from tempfile import mkdtemp
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where the session has none, as in tests."""
+    """The folder of spark.checkpoint.dir. Where the session has none, one of this machine if Spark runs on it alone, as in
+    tests; on a cluster that is an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="quirefold-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that driver and executors share")
+        found = mkdtemp(prefix="quirefold-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
@@ -42,8 +45,10 @@ def append_by_arrow(
     build: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]],
     inputs: list[str],
     keep: list[str] | None = None,
+    rows: int = SLICE,
 ) -> DataFrame:
-    """df's columns `keep` (all, if None) and `fields`, computed from the columns `inputs` batch by batch in Arrow.
+    """df's columns `keep` (all, if None) and `fields`, computed from the columns `inputs` in Arrow, so many rows
+    at once.
 
     build() runs once a task and returns the function of a batch. A kept column that has the name of a new one is
     replaced, as withColumn does.
@@ -57,7 +62,7 @@ def append_by_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = build()
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
             made = compute([batch.column(i) for i in at])
             columns = [*batch.columns[: len(keep)], *made]
             yield pa.RecordBatch.from_arrays(

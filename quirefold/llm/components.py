@@ -47,20 +47,19 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
     """
     a, b = links.columns
     forest = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_local, "u long, v long")
-    edges = cut(forest.distinct())
+    edges = cut(forest.distinct())  # from a node to a smaller one
     seen = None
     while True:
         mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break
         seen = mark
-        # each node gives its larger neighbours its smallest one
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # A node gives its larger neighbours its smallest one, if it has a smaller one. The lists of smallest ones are
+        # written before they are joined: neighbours of a hub are rows of one key then, which Spark can split.
+        up = cut(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")))
+        large = cut(edges.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         # each node gives itself and its smaller neighbours the smallest of these
-        large = cut(large.distinct())
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
     roots = edges.select(F.col("v").alias("id")).distinct()

@@ -11,14 +11,16 @@ own; slot values of level j are all below those of level j + 1, so a document en
 are full. Here all elements of a batch take a level together.
 
 Rows and bands give a pair of just that likeness at most MISS as its chance to share no bucket. Texts of equal sets form a
-class that its smallest id stands for. In each bucket all classes are compared with the smallest one (rows linear in
-the bucket). Where the classes that buckets bring together stay apart after that, all of them are compared, block by
-block inside tasks, so no link is lost and no rows of pairs are made.
+class that its smallest id stands for. Each class is compared with the smallest one of most of its buckets (rows linear
+in the classes). In buckets whose classes are apart after that, all are compared, BLOCK by BLOCK inside tasks: their
+slots tell which can be alike and whether an earlier bucket has them, too, and only those send their texts. No link
+is lost but by chances of MISS, and no rows of pairs are made.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm.common import append_by_arrow, cut
-from quirefold.llm.components import components, spanning
+from quirefold.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
@@ -36,15 +38,18 @@ MISS = 3e-7
 BATCH = 200_000
 #: Ids that are broadcast at most; beyond, Spark joins as it sees fit.
 BROADCAST = 1_000_000
-#: Classes of a block where all are compared.
-BLOCK = 512
+#: Documents that are signed together, and rows of buckets and texts that a task gets together.
+SIGNED, ROWS, TEXTS = 2048, 8192, 1024
+#: Classes of a block where all are compared, and of a chunk that is compared with a center.
+BLOCK = 256
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Bytes as numbers that aren't 0, A-Z as a-z.
+LETTERS = np.arange(1, 257, dtype=U)
+LETTERS[65:91] += U(32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,13 +80,13 @@ class _Powers:
 def word_hashes(data: np.ndarray, powers: _Powers) -> np.ndarray:
     """One 64-bit hash of each word of UTF-8 bytes."""
     space = SPACES[data]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    edges = np.flatnonzero(np.concatenate([[True], space]) != np.concatenate([space, [True]]))
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, U)
     up, down = powers.to(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((LOWER[data].astype(U) + U(1)) * up[: len(data)], out=sums[1:])
+    np.cumsum(LETTERS[data] * up[: len(data)], out=sums[1:])
     words = (sums[ends] - sums[starts]) * down[starts]
     return mix(words + (ends - starts).astype(U) * ODD)
 
@@ -95,7 +100,9 @@ def shingle_set(text: str | None, powers: _Powers) -> np.ndarray:
     runs = np.zeros(len(words) - width + 1, U)
     for k in range(width):
         runs = mix(runs * ODD + words[k : k + len(runs)])
-    return np.unique(runs + U(width))
+    runs += U(width)
+    runs.sort()
+    return runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
 
 
 def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
@@ -134,25 +141,30 @@ def banding(similarity: int) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log(1 - (similarity / 100) ** rows)), rows
 
 
-def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    keys = np.broadcast_to(np.arange(bands, dtype=U) * ODD, (len(signatures), bands)).copy()
-    for r in range(rows):
-        keys = mix(keys * ODD + signatures[:, r::rows][:, :bands])
-    return keys
+def short_slots(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The low 16 bits of each slot, the rows of a band side by side: enough to meet by, and to estimate likeness from."""
+    return np.ascontiguousarray(signatures.reshape(-1, rows, bands).transpose(0, 2, 1).reshape(len(signatures), -1).astype("<u2"))
 
 
-def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """id, n_shingles, two halves of a digest of the set (null if it is empty), and the keys of the bands."""
+def band_keys(sig, band, similarity: int):
+    """The bucket of a class in a band, in Spark: equal for equal slots."""
+    wide = 2 * banding(similarity)[1]
+    return F.xxhash64(band, F.substring(sig, band * wide + 1, F.lit(wide)))
+
+
+def features(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """id, hash, n_shingles, two halves of a digest of the set (null if it is empty), and short_slots of the
+    signature; docs: id, hash, text."""
     bands_, rows_ = banding(similarity)
 
     def build():
         powers = _Powers()
 
-        def keys_of(sets: list[np.ndarray]) -> np.ndarray:
-            return band_keys(super_minhash(sets, bands_ * rows_), bands_, rows_).view(np.int64)
+        def signed(sets: list[np.ndarray]) -> list[bytes]:
+            return [row.tobytes() for row in short_slots(super_minhash(sets, bands_ * rows_), bands_, rows_)]
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            sizes, halves, bands = [], [[], []], []
+            sizes, halves, sigs = [], [[], []], []
             pending: list[np.ndarray] = []
             held = 0
             for x in columns[0]:
@@ -162,16 +174,15 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
                     half.append(int(np.bitwise_xor.reduce(mix(s * ODD + U(salt))).view(np.int64)) if len(s) else None)
                 if len(s):
                     if held + len(s) > BATCH and pending:
-                        bands.append(keys_of(pending))
+                        sigs += signed(pending)
                         pending, held = [], 0
                     pending.append(s)
                     held += len(s)
             if pending:
-                bands.append(keys_of(pending))
-            flat = np.concatenate(bands).reshape(-1) if bands else np.zeros(0, np.int64)
-            offsets = np.zeros(len(sizes) + 1, np.int32)
-            np.cumsum([bands_ * (n > 0) for n in sizes], out=offsets[1:])
-            return [pa.array(sizes, pa.int64()), *(pa.array(h, pa.int64()) for h in halves), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                sigs += signed(pending)
+            left = iter(sigs)
+            held_by = [next(left) if n else None for n in sizes]
+            return [pa.array(sizes, pa.int64()), *(pa.array(h, pa.int64()) for h in halves), pa.array(held_by, pa.binary())]
 
         return compute
 
@@ -179,93 +190,166 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest0", T.LongType()),
         T.StructField("digest1", T.LongType()),
-        T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("sig", T.BinaryType()),
     ]
-    return append_by_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fields, build, ["text"], keep=["id"])
+    return append_by_arrow(docs, fields, build, ["text"], keep=["id", "hash"], rows=SIGNED)
 
 
-def sets_of(df: DataFrame) -> DataFrame:
-    """(id, text) -> (id, items): sorted hashes of the text's shingles."""
+def alike(shared, a, b, similarity: int):
+    """Whether sets of sizes a and b that share so many items are alike enough, in whole numbers."""
+    return 100 * shared >= similarity * (a + b - shared)
 
-    def build():
-        powers = _Powers()
 
-        def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            sets = [shingle_set(x.as_py(), powers).view(np.int64) for x in columns[0]]
-            offsets = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(s) for s in sets], out=offsets[1:])
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))]
+def threshold(similarity: int) -> float:
+    """The share of equal slots of two signatures that alike sets stay below by less than a chance of MISS.
 
-        return compute
+    Slots are equal where those of whole signatures are, or by a small chance; six standard deviations are allowed for."""
+    bands, rows = banding(similarity)
+    s = similarity / 100
+    return s - 6 * math.sqrt(s * (1 - s) / (bands * rows))
 
-    return append_by_arrow(df, [T.StructField("items", T.ArrayType(T.LongType()))], build, ["text"], keep=["id"])
 
+class _Group:
+    """Classes that meet in one bucket, of one block or of two, and what is known of them without their sets."""
 
-def alike(shared, a, b, similarity: int):
-    """Whether sets of sizes a and b that share so many items are alike enough, in whole numbers."""
-    return 100 * shared >= similarity * (a + b - shared)
+    def __init__(self, group: pa.Table, similarity: int):
+        self.similarity, self.shape = similarity, banding(similarity)
+        self.ids, self.part = (group.column(c).to_numpy() for c in ("id", "part"))
+        self.sizes, self.component = group.column("n").to_numpy(), group.column("component").to_numpy().copy()
+        self.band = group.column("band")[0].as_py()
+        sig = b"".join(group.column("sig").to_pylist())
+        self.sig = np.frombuffer(sig, "<u2").reshape(len(self.ids), -1)
+        self.two = self.part.min() != self.part.max()
+
+    def partners(self, i: int) -> np.ndarray:
+        """Classes that can be alike to class i, are in another component and meet it in no band before this one."""
+        low, high = np.minimum(self.sizes, self.sizes[i]), np.maximum(self.sizes, self.sizes[i])
+        fit = (100 * low >= self.similarity * high) & (self.component != self.component[i])
+        fit &= (self.part != self.part[i]) if self.two else (np.arange(len(self.ids)) > i)
+        found = np.flatnonzero(fit)
+        same = self.sig[found] == self.sig[i]
+        first = same.reshape(len(found), *self.shape).all(axis=2).argmax(axis=1) == self.band
+        return found[first & (same.mean(axis=1) >= threshold(self.similarity))]
+
+    def asking(self) -> np.ndarray:
+        return np.flatnonzero(self.part == self.part.min())
+
+
+def _promising(group: pa.Table, similarity: int) -> pa.Table:
+    """The classes of a bucket that have a partner, by signatures."""
+    g = _Group(group, similarity)
+    wanted = np.zeros(len(g.ids), bool)
+    for i in g.asking():
+        found = g.partners(i)
+        wanted[found] = True
+        wanted[i] |= len(found) > 0
+    return group.filter(pa.array(wanted))
 
 
 def _compare(group: pa.Table, similarity: int) -> pa.Table:
-    """Links (a spanning forest of them) between the classes of one block, or between those of two, that are apart."""
-    part = group.column("part").to_numpy()
-    ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
-    items = group.column("items").combine_chunks()
-    offsets = items.offsets.to_numpy()
-    values = np.unique(items.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)[1]
-    offsets = offsets - offsets[0]
-    sizes = np.diff(offsets)
-    marked = np.zeros(values.max() + 1, bool)
-    found: list[tuple[int, int]] = []
-    two = part.min() != part.max()
-    for i in np.flatnonzero(part == part.min()):
-        own = values[offsets[i] : offsets[i + 1]]
-        marked[own] = True
-        shared = np.add.reduceat(marked[values], offsets[:-1], dtype=np.int64)
-        marked[own] = False
-        fit = alike(shared, sizes[i], sizes, similarity) & (component != component[i])
-        fit &= (part != part[i]) if two else (np.arange(len(ids)) > i)
-        found += [(int(ids[i]), int(ids[j])) for j in np.flatnonzero(fit)]
-        if len(found) > 100_000:
-            found = spanning(found)
-    found = spanning(found)
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-
-def links(docs: DataFrame, made: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(a, b): links of classes, by their smallest ids; made: features(docs), cut. Enough of them for all components."""
-    classes = made.where("n_shingles > 0 and id is not null").groupBy("digest0", "digest1").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    keyed = classes.select("id", F.explode("bands").alias("key"))
-    centers = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").drop("last")
-    near = cut(keyed.join(centers, "key").where("id > center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    """Links between partners of one bucket, by their whole sets; enough of them for all components."""
+    g, powers = _Group(group, similarity), _Powers()
+    sets = [shingle_set(x.as_py(), powers) for x in group.column("text")]
+    links: list[tuple[int, int]] = []
+    for i in g.asking():
+        for j in g.partners(i):
+            if g.component[i] != g.component[j] and alike(len(np.intersect1d(sets[i], sets[j], True)), len(sets[i]), len(sets[j]), similarity):
+                links.append((int(g.ids[i]), int(g.ids[j])))
+                g.component[g.component == g.component[j]] = g.component[i]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+
+def _to_center(group: pa.Table, similarity: int) -> pa.Table:
+    """Links of classes to their center, whose row is the one that isn't a member."""
+    powers = _Powers()
+    sets = [shingle_set(x.as_py(), powers) for x in group.column("text")]
+    member, ids = group.column("member").to_pylist(), group.column("id").to_numpy()
+    center = member.index(False)
+    shared = [len(np.intersect1d(sets[center], s, True)) for s in sets]
+    linked = [int(ids[i]) for i, s in enumerate(sets) if member[i] and alike(shared[i], len(s), len(sets[center]), similarity)]
+    return pa.table({"a": pa.array([int(ids[center])] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
+
+
+def bundled(df: DataFrame, keys: list[str], rows: int, of: int, f: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """f of each group of df by `keys` (numbers). Groups go to tasks in bundles of about `of` of all the `rows`: most are of
+    a few rows, and a call of Python for each would cost more than its work."""
+    bundles = max(1, -(-rows // of))
+
+    def run(bundle: pa.Table) -> pa.Table:
+        bundle = bundle.drop_columns("bundle").sort_by([(k, "ascending") for k in keys]).combine_chunks()
+        columns = [bundle.column(k).to_numpy() for k in keys]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(bundle)]])
+        return pa.concat_tables([f(bundle.slice(a, b - a)) for a, b in zip(starts, starts[1:])])
+
+    return df.withColumn("bundle", F.pmod(F.xxhash64(*keys), F.lit(bundles))).groupBy("bundle").applyInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, hash, text), once each, of the wanted ids and hashes of texts."""
     few = wanted.count() <= BROADCAST
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = cut(sets_of(texts).groupBy("id").agg(F.first("items").alias("items")))
-    joined = near.join(sets.select(F.col("id").alias("b"), F.col("items").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("of_a")), "a")
-    a, b = F.size("of_a"), F.size("of_b")
-    sized = joined.where(100 * F.least(a, b) >= similarity * F.greatest(a, b))
-    found = cut(sized.where(alike(F.size(F.array_intersect("of_a", "of_b")), a, b, similarity)).select("a", "b"))
-
-    together, linked = components(near, name="whole"), components(found, name="component")
-    state = wanted.join(together, "id").join(linked, "id", "left").select("id", "whole", F.coalesce("component", "id").alias("component"))
-    state = cut(state)
-    apart = state.groupBy("whole").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = state.join(apart.select("whole", blocks.alias("blocks")), "whole").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("whole", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "items")
-    more = rest.groupBy("whole", "low", "high").applyInArrow(lambda group: _compare(group, similarity), "a long, b long")
-    return found.unionByName(more)
+    found = docs.join(F.broadcast(wanted) if few else wanted, ["id", "hash"], "left_semi")
+    return found.groupBy("id", "hash").agg(F.first("text").alias("text"))
+
+
+def linked(docs: DataFrame, made: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(id, component) of all ids that have links; docs: id, hash, text; made: features(docs), cut.
+
+    First each class is compared with the class that is the smallest one of most of its buckets. Then, in buckets whose
+    classes are still apart, all of them are compared: by their signatures, and by their sets where these allow a link.
+    """
+    fit = lambda a, b: 100 * F.least(a, b) >= similarity * F.greatest(a, b)
+    classes = made.where("n_shingles > 0 and id is not null").groupBy("digest0", "digest1")
+    classes = classes.agg(F.min(F.struct("id", "hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(classes.select("first.*", "n", "sig"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(banding(similarity)[0] - 1)))
+    keyed = classes.withColumn("band", every).select("id", "hash", "n", "band", band_keys(F.col("sig"), F.col("band"), similarity).alias("key"))
+    centers = keyed.groupBy("key").agg(F.min(F.struct("id", "hash", "n")).alias("center"), F.max(F.struct("id", "hash")).alias("last"))
+    shared = cut(keyed.join(centers.where(F.struct("center.id", "center.hash") != F.col("last")).drop("last"), "key"))
+
+    met = shared.where((F.col("id") > F.col("center.id")) & fit(F.col("n"), F.col("center.n")))
+    most = met.groupBy("id", "hash", F.col("center.id").alias("a"), F.col("center.hash").alias("a_hash")).agg(F.count("*").alias("buckets"))
+    most = most.groupBy("id", "hash").agg(F.max(F.struct("buckets", "a", "a_hash")).alias("m"))
+    pairs = cut(most.select("id", "hash", "m.a", "m.a_hash"))
+    chunks = cut(pairs.groupBy("a", "a_hash").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")))
+    texts = _texts(docs, pairs.select("id", "hash").unionByName(pairs.select(F.col("a").alias("id"), F.col("a_hash").alias("hash"))).distinct())
+    dealt = pairs.join(chunks, ["a", "a_hash"]).withColumn("chunk", F.pmod(F.xxhash64("id", "hash"), F.col("chunks")).cast("int"))
+    members = texts.join(dealt, ["id", "hash"]).select("a", "a_hash", "chunk", "id", "text", F.lit(True).alias("member"))
+    held = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(F.col("a").alias("id"), F.col("a_hash").alias("hash"), "chunk")
+    middle = texts.join(held, ["id", "hash"]).select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), "chunk", "id", "text", F.lit(False).alias("member"))
+    to_center = lambda group: _to_center(group, similarity)
+    links = cut(bundled(members.unionByName(middle), ["a", "a_hash", "chunk"], 2 * pairs.count(), TEXTS, to_center, "a long, b long"))
+    known = components(links)
+
+    state = shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tried = pairs.withColumn("tried", F.struct("a", "a_hash")).select("id", "hash", "tried")
+    state = state.join(tried, ["id", "hash"], "left").withColumn("new", (F.col("id") > F.col("center.id")) & ~F.coalesce(F.col("tried") == F.struct("center.id", "center.hash"), F.lit(False)))
+    state = cut(state.select("key", "band", "id", "hash", "n", "component", "new"))
+    apart = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("of"), F.max("new").alias("new"))
+    # where a bucket has two classes, they have been compared unless their sizes keep them apart
+    blocks = F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks")
+    apart = cut(apart.where("low < high and (of > 2 or new)").select("key", "of", blocks))
+    rows = apart.agg(F.sum(F.col("of") * F.col("blocks"))).first()[0] or 0
+    rest = state.join(apart.drop("of"), "key").withColumn("part", F.pmod(F.xxhash64("id", "hash"), F.col("blocks")).cast("int"))
+    rest = rest.join(classes.select("id", "hash", "sig"), ["id", "hash"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["key", "low", "high"]
+    rest = rest.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "band", "part", "id", "hash", "n", "component", "sig")
+    open_ = cut(bundled(rest, group, rows, ROWS, lambda g: _promising(g, similarity), rest.schema))
+    n_open = open_.count()
+    if not n_open:
+        return known
+    texts = _texts(docs, open_.select("id", "hash").distinct())
+    more = bundled(texts.join(open_, ["id", "hash"]), group, n_open, TEXTS, lambda g: _compare(g, similarity), "a long, b long")
+    return components(links.unionByName(more))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row for each of df: id_col, n_shingles, component_id, kept."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = cut(features(docs, "id", "text", similarity))
-    named = components(cut(links(docs, made, similarity)), name="component_id")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    made = cut(features(docs, similarity))
+    named = linked(docs, made, similarity).withColumnRenamed("component", "component_id")
     classes = made.where("n_shingles > 0").groupBy("digest0", "digest1").agg(F.min("id").alias("id"))
     classes = classes.join(named, "id", "left").select("digest0", "digest1", F.coalesce("component_id", "id").alias("component_id"))
-    out = made.drop("bands").join(classes, ["digest0", "digest1"], "left")
+    out = made.select("id", "n_shingles", "digest0", "digest1").join(classes, ["digest0", "digest1"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

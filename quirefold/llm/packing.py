@@ -6,9 +6,14 @@ bins carry bitmaps of the sources and clusters in them. Bins are ordered by what
 starts at the first bin that it fits into and goes on to the next larger ones until a compatible one is found, so that
 this is the tightest; if there is none, a bin is opened. Larger pieces come first.
 
-Pieces are dealt by the hash of all their columns, so a hot source or cluster is spread evenly, and packed in blocks of
-BLOCK pieces; a task holds one block at a time. Rows without source or cluster conflict with none by it; null and empty
-texts take one token. Rows that repeat an id are documents each; equal ones have equal clusters and stay apart.
+Pieces are dealt by the hash of all their columns, so a hot source or cluster is spread evenly, to as many blocks as
+their number asks for (BLOCK each, on average); a task packs one block at a time. The pieces of bins that are left less
+than FULL are packed once more, together with those of other blocks. Bins and their numbers follow from the rows alone,
+whatever the partitions.
+
+Rows without source or cluster conflict with none by it; null and empty texts take one token, very long ones many
+pieces. Rows that repeat an id are documents each; equal ones have equal clusters and stay apart. An empty table gives no
+pieces. Columns of the table other than id, text and source are not read, whatever their names.
 
 A cluster is one of equal texts, or, with near_clusters, what links between texts that are alike reach.
 """
@@ -16,18 +21,20 @@ A cluster is one of equal texts, or, with near_clusters, what links between text
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.llm import minhash
-from quirefold.llm.common import cut
+from quirefold.llm.common import append_by_arrow, cut
 
 CAPACITY = 2048
 BLOCK = 4096
+FULL = 0.95
+COLUMNS = ["id", "piece", "first_token", "n_tokens", "source", "cluster"]
 
 
 def pack(pieces: list[tuple[int, str | None, int | None]], capacity: int) -> list[tuple[int, int]]:
@@ -59,40 +66,43 @@ def pack(pieces: list[tuple[int, str | None, int | None]], capacity: int) -> lis
     return out
 
 
-def _packer(capacity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, used = TaskContext.get().partitionId(), 0
-
-        def packed(block: pa.Table) -> pa.Table:
-            nonlocal used
-            columns = (block.column(c).to_pylist() for c in ("n_tokens", "source", "cluster"))
-            placed = pack(list(zip(*columns, strict=True)), capacity)
-            numbers = pa.array([(task << 32) + used + b for b, _ in placed], pa.int64())
-            used += max(b for b, _ in placed) + 1
-            block = block.select(["id", "piece", "first_token", "n_tokens", "source", "cluster"])
-            return block.append_column("bin_id", numbers).append_column("bin_offset", pa.array([o for _, o in placed], pa.int32()))
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
-            take = min(batch.num_rows, BLOCK - rows)
-            held.append(batch.slice(0, take))
-            rows += take
-            if rows == BLOCK:
-                yield from packed(pa.Table.from_batches(held)).combine_chunks().to_batches()
-                held, rows = [], 0
-            if take < batch.num_rows:
-                held, rows = [batch.slice(take)], batch.num_rows - take
-        if rows:
-            yield from packed(pa.Table.from_batches(held)).combine_chunks().to_batches()
+def _packer(capacity: int, turn: int):
+    def run(block: pa.Table) -> pa.Table:
+        """One block: its pieces with bins of their own; `fill` is what a bin holds in all."""
+        block = block.sort_by([(c, "ascending") for c in ["deal", *COLUMNS]])
+        placed = pack(list(zip(*(block.column(c).to_pylist() for c in ("n_tokens", "source", "cluster")), strict=True)), capacity)
+        bins, offsets = (np.array(x, np.int64) for x in zip(*placed, strict=True))
+        fill = np.bincount(bins, block.column("n_tokens").to_numpy()).astype(np.int32)
+        first = (turn << 62) + (block.column("block")[0].as_py() << 24)
+        block = block.select([*COLUMNS, "deal"]).append_column("bin_id", pa.array(first + bins, pa.int64()))
+        return block.append_column("bin_offset", pa.array(offsets, pa.int32())).append_column("fill", pa.array(fill[bins], pa.int32()))
 
     return run
 
 
-def count_words(text: Column) -> Column:
-    """Runs of other than white space."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "))) + 1)
+def in_bins(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
+    """pieces (with `deal`) with bin_id, bin_offset and fill, packed in blocks that their number and hashes give."""
+    blocks = max(1, round(pieces.count() / BLOCK))
+    dealt = pieces.withColumn("block", F.pmod("deal", F.lit(blocks)).cast("long"))
+    schema = "id long, piece int, first_token int, n_tokens int, source string, cluster long, deal long, bin_id long, bin_offset int, fill int"
+    return cut(dealt.groupBy("block").applyInArrow(_packer(capacity, turn), schema))
+
+
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Runs of other than ASCII white space in each text; none in null."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(len(texts), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    begins = offsets - offsets[0]
+    word = ~minhash.SPACES[data]
+    starts = word.copy()
+    starts[1:] &= ~word[:-1]
+    at = begins[:-1][begins[:-1] < len(data)]
+    starts[at] = word[at]
+    before = np.concatenate([[0], np.cumsum(starts)])
+    return before[begins[1:]] - before[begins[:-1]]
 
 
 def text_cluster(text: Column) -> Column:
@@ -115,15 +125,18 @@ def best_fit(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
 
     near: near_clusters(df), for clusters of near copies and not of equal texts only.
     """
-    tokens = (count_words(F.col(text_col)) + 1).cast("int")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), tokens.alias("tokens"), F.col(source_col).cast("string").alias("source"), (text_cluster(F.col(text_col)) if cluster is None else cluster).cast("long").alias("cluster"))
+    cluster = text_cluster(F.col(text_col)) if cluster is None else cluster
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.col(text_col).cast("string").alias("text"))
+    rows = append_by_arrow(rows, [T.StructField("tokens", T.LongType())], lambda: lambda c: [pa.array(word_counts(c[0]) + 1)], ["text"], keep=["id", "source", "cluster"])
     if near is not None:
         near = F.broadcast(near) if near.count() <= minhash.BROADCAST else near
         rows = rows.join(near, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / capacity).cast("int"))))
-    first = F.col("piece") * capacity
-    pieces = pieces.select("id", "piece", first.alias("first_token"), F.least(F.col("tokens") - first, F.lit(capacity)).alias("n_tokens"), "source", "cluster")
-    mixed = pieces.withColumn("deal", F.xxhash64("id", "piece", "n_tokens", "source", "cluster"))
-    mixed = mixed.repartition("deal").sortWithinPartitions("deal", "id", "piece", "n_tokens", "source", "cluster")
-    schema = "id long, piece int, first_token int, n_tokens int, source string, cluster long, bin_id long, bin_offset int"
-    return mixed.mapInArrow(_packer(capacity), schema).withColumnRenamed("id", id_col)
+    first = (F.col("piece") * capacity).cast("int")
+    pieces = pieces.select("id", "piece", first.alias("first_token"), F.least(F.col("tokens") - first, F.lit(capacity)).cast("int").alias("n_tokens"), "source", "cluster")
+    pieces = cut(pieces.withColumn("deal", F.xxhash64("id", "piece", "n_tokens", "source", "cluster")))
+    packed = in_bins(pieces, capacity, 0)
+    loose = F.col("fill") < FULL * capacity
+    again = in_bins(packed.where(loose).select(*COLUMNS, F.xxhash64("deal").alias("deal")), capacity, 1)
+    done = packed.where(~loose).unionByName(again)
+    return done.select(*COLUMNS, "bin_id", "bin_offset").withColumnRenamed("id", id_col)

@@ -1,5 +1,9 @@
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -82,3 +86,28 @@ def test_near_copies_stay_apart(spark, tmp_path):
             seen.add((r.bin_id, g))
     assert all(len(c) == 1 for c in cluster.values()) and len(set().union(*cluster.values())) == 12
     assert len({r.bin_id for r in got}) < len(got)
+
+
+def test_word_counts():
+    texts = [None, "", " ", "a", " a", "a ", "ä\u3000b c", "x\x0by\x0cz", "one two\n\tthree  ", "", "end"]
+    want = [len(re.findall(r"[^ \t-\r]+", t or "")) for t in texts]
+    for array in (pa.array(texts), pa.array([None, "skipped words", *texts])[2:], pa.array(texts, pa.large_string())):
+        assert packing.word_counts(array).tolist() == want
+    assert packing.word_counts(pa.array([], pa.string())).tolist() == []
+
+
+@pytest.mark.parametrize("hot", [0.1, 0.4])
+def test_same_bins_for_any_partitions(spark, monkeypatch, hot):
+    """And they are filled nearly as well as any packing could fill them."""
+    monkeypatch.setattr(packing, "BLOCK", 256)
+    draw = random.Random(7)
+    rows = [(i, f"t{i} " * draw.randrange(1, 120), "hot" if draw.random() < hot else f"s{draw.randrange(60)}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = []
+    for partitions in (1, 7, 23):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append({tuple(r) for r in packing.best_fit(df.repartition(partitions), 256).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2000
+    least = max(sum(r[3] for r in found[0]) / 256, max(Counter(r[4] for r in found[0]).values()))
+    assert least >= 0.95 * len({r[6] for r in found[0]})
