@@ -1,13 +1,16 @@
 """Language identification, words first: a known word scores by its log frequency in each language; an unknown one by
 the longest of its character runs that are known, from LONGEST characters down to one.
 
-The model is fitted on a bounded sample: of each language at most TEXTS whole texts, those with the smallest hashes of
-their ids, and keeps its WORDS most frequent words and RUNS most frequent runs of each length. Prediction covers all rows
-and whole texts. Languages of the training rows are the only ones that can be predicted; rows without language teach
-nothing. Null, empty and letterless texts, and any text if nothing was learned, are `und` with score 0.
+The model is fitted on a bounded sample: of the LANGUAGES most frequent languages (ties by name) at most TEXTS whole texts
+each, those with the smallest hashes of their ids, one text of each id (the smallest). It keeps the WORDS most frequent
+words of a language and its RUNS most frequent runs of each length. Prediction covers all rows and whole texts.
+Languages of the sample are the only ones that can be predicted; rows without language or id teach nothing. Null, empty
+and letterless texts, and any text if nothing was learned, are `und` with score 0.
 
 The score is the share of the predicted language in the likelihoods, the mean of the words' log likelihoods being
-counted as that of at most EVIDENCE independent words. Ties go to the language that is first by name.
+counted as that of at most EVIDENCE independent words. Ties go to the language that is first by name. Very long texts count word by word; rows that repeat
+an id are predicted each by its own text; an empty table gives an empty result. A column of the table that has the name of
+a new one is replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from quirefold.llm.common import append_by_arrow, cut
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-TEXTS, WORDS, RUNS, EVIDENCE = 2000, 20_000, 10_000, 20
-CACHE = 200_000
+TEXTS, WORDS, RUNS, EVIDENCE, LANGUAGES = 2000, 20_000, 10_000, 20, 32
+#: Words whose logarithms a task keeps, and how long they are at most; longer ones are looked up each time.
+CACHE, KEPT = 200_000, 64
 
 
 def words(text: str | None) -> list[str]:
@@ -66,7 +70,8 @@ class Model:
 
     def _id(self, word: str) -> int:
         self._rows.append(self.of_word(word))
-        self._ids[word] = len(self._rows) - 1
+        if len(word) <= KEPT:
+            self._ids[word] = len(self._rows) - 1
         return len(self._rows) - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -96,12 +101,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     taught = taught.where(F.col(lang_col) != UNDETERMINED)
     # only rows of low hashes are ranked, as many as TEXTS and six standard deviations on average: a language of any size
     # sends no more to the task that ranks it
-    sizes = taught.groupBy(lang_col).agg(F.count("*").alias("of"))
+    sizes = taught.groupBy(lang_col).agg(F.count("*").alias("of")).orderBy(F.desc("of"), lang_col).limit(LANGUAGES)
     low = (F.col("of") * (F.shiftrightunsigned(F.xxhash64(id_col), 32) / 2.0**32)) <= TEXTS + 6 * TEXTS**0.5
     order = Window.partitionBy(lang_col).orderBy(F.shiftrightunsigned(F.xxhash64(id_col), 32), id_col)
-    chosen = taught.select(id_col, lang_col).join(F.broadcast(sizes), lang_col).where(low).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS).select(id_col).distinct()
-    chosen = cut(chosen)
-    sample = taught.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("lang", "text")
+    chosen = taught.select(id_col, lang_col).join(F.broadcast(sizes), lang_col).where(low).select(id_col, lang_col).distinct()
+    chosen = cut(chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS).select(id_col, F.col(lang_col).alias("lang")))
+    told = taught.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # LANGUAGES * TEXTS ids at most
+    sample = told.join(F.broadcast(chosen), [id_col, "lang"]).groupBy(id_col, "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -110,7 +117,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 seen.setdefault(lang, Counter()).update(words(text.as_py()))
         rows: list[tuple[str, int, str, int]] = []
         for lang, counts in seen.items():
-            rows += [(lang, 0, w, c) for w, c in counts.items() if len(w) <= 64]
+            rows += [(lang, 0, w, c) for w, c in counts.items()]
             for n in range(1, LONGEST + 1):
                 of = Counter()
                 for w, c in counts.items():
@@ -143,7 +150,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (all, if None), the predicted language and its score."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # WORDS and RUNS entries a language at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # WORDS and RUNS entries of LANGUAGES at most
 
     def build():
         own = shared.value

@@ -1,17 +1,19 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced jointly.
 
-Rows of equal texts are a group. A group stays in one shard unless it takes more than WHOLE of a shard in some measure;
-it is then split into pieces of about half of that by the hash of the row's id. Groups are placed from the largest to the
-smallest, each where the dot product of its sizes and the residual capacity is highest, among the shards that it
-overfills least.
+Rows of equal texts are a group. Groups are placed from the largest to the smallest, each where the dot product of its
+sizes and the residual capacity is highest, among the shards that it overfills least. A group stays in one shard unless
+it would overfill all of them by more than SPARE of a shard; only then is it split, into pieces of about 1 / CUTS of a
+shard by the hash of the row's id.
 
 Groups of more than 1 / PIECES of a shard are few whatever the input (at most 3 * shards * PIECES) and are placed first,
 on the driver. The others are dealt to packers by hash; each packer has a share of what is left of every shard as its
-capacity. As packers fill their own shares evenly, shards are even. Slots are counted by shard and packer and moved up by
-what is held before, so that no task numbers a whole shard.
+capacity. As packers fill their own shares evenly, shards are even. Slots are counted by shard and deal, a hash of the row
+of which there are as many as the rows ask for, and moved up by what is held before: no task numbers a whole shard.
 
-Sizes: UTF-8 bytes of the text (null: none) plus one, runs of other than white space, and one a row. Rows without id and
-rows that repeat one are rows like others. An empty table gives an empty result.
+Sizes: UTF-8 bytes of the text (null: none) plus one, runs of other than white space, and one a row. Null texts are equal
+to empty ones, very long ones a group of one. Rows without id and rows that repeat one are rows like others; those of a
+split group that have the same id stay together. Equal rows are told apart by nothing, so their slots are in any order.
+An empty table gives an empty result. Columns of the table other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import cut
 
-PIECES, WHOLE = 256, 0.5
-#: Groups that a packer gets on average.
+PIECES, CUTS, SPARE = 256, 32, 0.002
+#: Groups that a packer gets on average, and rows of a deal.
 GROUPS = 8192
 MEASURES = ("size", "tokens", "n")
 
@@ -42,6 +44,20 @@ def place(sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
     return out
 
 
+def too_large(sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Which items have to be split, so that no shard gets more than SPARE beyond its room; pieces fill what is left."""
+    unit = np.maximum(room.sum(axis=0), 1e-9) / len(room)
+    parts, left = sizes / unit, room / unit
+    out = np.zeros(len(parts), bool)
+    for i in np.argsort(-parts.max(axis=1), kind="stable"):
+        over = np.maximum(0, parts[i] - left).max(axis=1)
+        if over.min() > SPARE:
+            out[i] = True
+        else:
+            left[np.where(over <= over.min() + 1e-12, left @ parts[i], -np.inf).argmax()] -= parts[i]
+    return out
+
+
 def _packer(room: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("digest", "ascending"), ("piece", "ascending")])
@@ -70,13 +86,16 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     if not about.groups:
         return rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     share = F.greatest(*(F.col(m) * (shards / about[m]) for m in MEASURES))  # of a shard
-    split = groups.where(share > WHOLE).select("digest", F.ceil(share * 2 / WHOLE).cast("int").alias("pieces"))  # at most 3 * shards / WHOLE groups
+    many = groups.where(share > 1 / PIECES).withColumn("share", share).orderBy("digest").collect()  # 3 * shards * PIECES at most
+    room = np.tile([about[m] / shards for m in MEASURES], (shards, 1))
+    sizes = np.array([[float(r[m]) for m in MEASURES] for r in many]).reshape(len(many), len(MEASURES))
+    cuts = [(r.digest, int(np.ceil(r.share * CUTS))) for r, large in zip(many, too_large(sizes, room), strict=True) if large]
+    split = spark.createDataFrame(cuts, "digest string, pieces int")
     piece = F.coalesce(F.pmod(F.xxhash64("id", F.lit(7)), F.col("pieces")), F.lit(0)).cast("int")
     rows = rows.join(F.broadcast(split), "digest", "left").withColumn("piece", piece).drop("pieces")
     items = cut(rows.groupBy("digest", "piece").agg(*(F.sum(F.lit(1) if m == "n" else F.col(m)).alias(m) for m in MEASURES)))
     large = items.where(share > 1 / PIECES).orderBy("digest", "piece").collect()
     sizes = np.array([[float(r[m]) for m in MEASURES] for r in large]).reshape(len(large), len(MEASURES))
-    room = np.tile([about[m] / shards for m in MEASURES], (shards, 1))
     first = place(sizes, room.copy())
     for i, s in enumerate(first):
         room[s] -= sizes[i]
@@ -86,7 +105,7 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     placed = dealt.groupBy("packer").applyInArrow(_packer(room), "digest string, piece int, shard int")
     set_ = spark.createDataFrame([(r.digest, r.piece, int(s)) for r, s in zip(large, first, strict=True)], "digest string, piece int, shard int")
     placed = placed.unionByName(set_)
-    done = cut(rows.join(placed, ["digest", "piece"]).withColumn("deal", F.pmod(F.xxhash64("id", "digest"), F.lit(packers)).cast("int")).select("id", "size", "text_crc32", "digest", "shard", "deal"))
+    done = cut(rows.join(placed, ["digest", "piece"]).withColumn("deal", F.pmod(F.xxhash64("id", "digest"), F.lit(max(1, round(about.n / GROUPS)))).cast("int")).select("id", "size", "text_crc32", "digest", "shard", "deal"))
     counts = done.groupBy("shard", "deal").agg(F.count("*").alias("held"))
     before = Window.partitionBy("shard").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select("shard", "deal", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))

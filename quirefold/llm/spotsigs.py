@@ -4,6 +4,10 @@ A text is lower-cased and cut into runs of letters and digits. Each anchor (a co
 name and the CHAIN content words that follow it, other anchors in between being skipped. The fingerprint of a text is
 the set of its spot signatures' hashes. A text with words but without a spot has one signature, of all its words; a null
 text or one without words has none. Likeness is the Jaccard index; two empty sets are alike by 1, one by 0.
+
+Rows that repeat an id are texts each, in order of text; null ids come first; all rows of one id are ordered by one task.
+The only row of a table is its own next. An empty table gives an empty result. Columns of the table other than id and text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,8 +90,12 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.join(F.broadcast(spark.createDataFrame(before, "key long, before int")), "key", "left")
     copies = F.array(F.struct("part", F.lit(False).alias("copy")), F.struct(F.col("before").alias("part"), F.lit(True).alias("copy")))
     rows = rows.select("id", "key", "text", F.inline(F.filter(copies, lambda c: c.part.isNotNull())))
-    rows = with_signatures(rows.repartition("part"), F.col("text"), "sigs")
-    order = Window.partitionBy("part").orderBy("copy", "key", "text")
+    # one range a task: `deal` has the number that Spark's hash sends to the range's own task
+    spare = spark.range(32 * n).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("task")).groupBy("task").agg(F.min("id").alias("id"))
+    sends = {r.task: r.id for r in spare.collect()}
+    deal = F.get(F.array(*(F.lit(int(sends.get(i, i))) for i in range(n))), F.col("part") % n).cast("int")
+    rows = with_signatures(rows.withColumn("deal", deal).repartition(n, "deal"), F.col("text"), "sigs")
+    order = Window.partitionBy("deal", "part").orderBy("copy", "key", "text")
     nexts = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sigs", F.lead("sigs").over(order))
     return nexts.where(~F.col("copy")).select(F.col("id").alias(id_col), "text", "sigs", "next_text", "next_sigs")
 

@@ -6,12 +6,17 @@ overfitting. Unless given, the prior is the share of toxic rows among the labell
 is too low keeps even sure texts below the threshold, while the bracket's bound makes up for one that is too high.
 
 The classifier is fitted on a bounded sample: at most POSITIVES toxic and UNLABELLED other texts, whole, those with the
-smallest hashes of their ids. Features are words and runs of RUNS characters inside words (ends marked) that are in LEVELS
+smallest hashes of their ids, one text of each id (the smallest). Features are words and runs of RUNS characters inside words (ends marked) that are in LEVELS
 or more different words of a text, at most FEATURES of those that are clearly more frequent in toxic texts; a text has a
 feature or not. Scoring covers all rows and whole texts.
 
-Null and empty texts get the score of a text without features. Without any toxic training row all scores are
-next to 0.
+Null and empty texts get the score of a text without features; very long ones count whole. Without any toxic training row
+all scores are next to 0. Labels that disagree about an id count each; rows that repeat an id are scored each by its own
+text; equal texts get equal scores. An empty table gives an empty result. A column of the table that has the name of the
+new one is replaced.
+
+EVIDENCE, RATIO, LEVELS, STEPS and DECAY were chosen on training rows alone: three folds of them by the hash of the text,
+fitted on two and judged on the third, by the share of toxic texts found less ten times that of others marked.
 """
 
 from __future__ import annotations
@@ -35,11 +40,11 @@ RUNS, LEVELS = (3, 4, 5), (1, 2, 4)
 POSITIVES, UNLABELLED, FEATURES = 2000, 4000, 1024
 #: A feature's frequency in toxic texts by that in unlabelled ones, as a part of the 1 / prior it can reach, and its
 #: log-likelihood ratio, are at least these.
-RATIO, EVIDENCE = 0.35, 12.0
+RATIO, EVIDENCE = 0.2, 4.0
 CACHE = 200_000
 #: Counts that a task holds about, and that it gives at once.
 COUNTED, COUNTS = 1_000_000, 50_000
-STEPS, RATE, DECAY = 1000, 0.05, 3e-4
+STEPS, RATE, DECAY = 1000, 0.05, 2e-3
 
 
 def words(text: str | None) -> list[str]:
@@ -102,21 +107,26 @@ class Model:
         return float(sigmoid(self.bias + self.weights[self.found(text)].sum()))
 
 
+def slopes(g: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
+    """By each row's value of the linear function: the risk's slope, or that of the negative bracket turned round."""
+    share_p, share_u = prior / max(1, positive.sum()), 1 / max(1, (~positive).sum())
+    minus = np.logaddexp(0, g)  # the loss of a row taken as negative
+    as_negative = sigmoid(g)
+    slope = np.where(positive, -share_p * as_negative, share_u * as_negative)
+    if share_u * minus[~positive].sum() < share_p * minus[positive].sum():
+        return -slope
+    return slope + np.where(positive, share_p * (as_negative - 1), 0)
+
+
 def nn_pu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias; rows: positions of features; positive: which rows are confirmed, the others being unlabelled."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.array([i for r in rows for i in r], np.int64)
     w, m, v = np.zeros((3, n_features + 1))
     w[-1] = np.log(prior / (1 - prior))
-    unlabelled = ~positive
-    share_p, share_u = prior / max(1, positive.sum()), 1 / max(1, unlabelled.sum())
     for step in range(1, STEPS + 1):
         g = np.bincount(owner, w[column], len(rows)) + w[-1]
-        minus = np.logaddexp(0, g)  # the loss of a row taken as negative
-        rest = share_u * minus[unlabelled].sum() - share_p * minus[positive].sum()
-        as_negative = sigmoid(g)
-        slope = np.where(positive, -share_p * as_negative, share_u * as_negative)
-        slope = slope + np.where(positive, share_p * (as_negative - 1), 0) if rest >= 0 else -slope
+        slope = slopes(g, positive, prior)
         grad = np.append(np.bincount(column, slope[owner], n_features), slope.sum()) + DECAY * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -136,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = marks.where(F.col(label_col) == 1).select(id_col).distinct().orderBy(order, id_col).limit(POSITIVES)
     others = docs.where(train).where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(order, id_col).limit(UNLABELLED)
     chosen = cut(toxic.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False))))
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("positive", "text")
-    sample = cut(sample.repartition(8))
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # POSITIVES and UNLABELLED ids
+    sample = cut(sample.groupBy(id_col, "positive").agg(F.min("text").alias("text")).select("positive", "text").repartition(8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
