@@ -53,13 +53,23 @@ OPF = HEAD + (
     '  <spine toc="ncx" page-progression-direction="rtl">\n    <itemref idref="cover"/>\n    <itemref idref="titlepage"/>{refs}\n  </spine>\n</package>'
 )
 CONTAINER = HEAD + (
-    '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container">\n  <rootfiles>\n'
+    '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0">\n  <rootfiles>\n'
     '    <rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/>\n  </rootfiles>\n</container>'
 )
 MIMETYPE = "application/epub+zip"
 # -----------------------------------------------------------------------------------------------------------------------
 
 
+#: A style sheet of our own for the classes that pages and parsed lines use.
+STYLE = (
+    '@charset "UTF-8";\nhtml { writing-mode: vertical-rl; -epub-writing-mode: vertical-rl; }\nbody { margin: 1em; line-height: 1.8; }\n'
+    "p { margin: 0; }\nh2 { margin: 0 2em 0 1em; font-size: 1.2em; }\n.tcy { text-combine-upright: all; -epub-text-combine: horizontal; }\n"
+    ".sesame { text-emphasis-style: sesame; -epub-text-emphasis-style: sesame; font-style: normal; }\n.hang-indent { text-indent: -0.5em; padding-top: 0.5em; }\n"
+    ".preface, .postscript { font-size: 0.9em; margin: 0 2em; }\n.pagebreak { visibility: hidden; break-after: page; }\n"
+    ".illustration img { max-width: 100%; max-height: 100%; }\n.titlepage h1 { font-size: 1.6em; }\n.coverpage { margin: 0; }\n"
+)
+
+
 def fill(template: str, **values: Column) -> Column:
     """The template with its {names} replaced by columns."""
     parts = re.split(r"\{(\w+)\}", template)

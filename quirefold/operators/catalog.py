@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.sources.shared import cut
 from quirefold.functions.strings import like
 
 #: Fixed value: columns that a listing can be sorted by; anything else means the first.
@@ -43,6 +44,11 @@ def encode(works: DataFrame) -> DataFrame:
     return works.select(*[how.get(f.name, F.col(f.name)).alias(f.name) for f in WORKS])
 
 
+def folded(works: DataFrame, column: str) -> Column:
+    """What a column is sorted by where upper and lower case are the same."""
+    return F.lower(column) if works.schema[column].dataType.simpleString() == "string" else F.col(column)
+
+
 def listing(works: DataFrame, sort_by: str = SORTABLE[0], sortable: tuple[str, ...] = SORTABLE) -> DataFrame:
     """Newest (largest) first, nulls last."""
     return works.orderBy(F.col(sort_by if sort_by in sortable else sortable[0]).desc_nulls_last())
@@ -52,10 +58,9 @@ def placed(works: DataFrame, by: list[Column], name: str = "place") -> DataFrame
     """All works and their places, from 1, in the order of `by`, which should leave no ties.
 
     Places are numbered inside ranges of the order, and the counts of the ranges before are added. Ranges are drawn from
-    samples, so they are written once (to the checkpoint folder, if there is one) for both.
+    samples, so they are written once, to the shared folder, for both.
     """
-    ranged = works.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
-    ranged = ranged.checkpoint() if works.sparkSession.sparkContext.getCheckpointDir() else ranged.localCheckpoint()
+    ranged = cut(works.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
@@ -79,14 +84,14 @@ def get(works: DataFrame, key, column: str = "id") -> DataFrame:
 def insert(works: DataFrame, new: DataFrame, key: str = "id", unique: str = "toc_url") -> DataFrame:
     """works and new, the latter with ids after the largest. Rows whose unique column is taken are an error.
 
-    new is one insertion's rows: ids are numbered in order of `unique` in one window.
+    Ids are numbered in order of `unique`, range by range.
     """
     taken = new.join(works.select(unique), unique, "left_semi").limit(1)
     repeated = new.groupBy(unique).count().where("count > 1")
     if taken.count() or repeated.limit(1).count():
         raise IllegalArgumentException(f"{unique} is not unique")
     last = works.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_last"))
-    numbered = new.drop(key).withColumn("_n", F.row_number().over(Window.orderBy(unique))).crossJoin(F.broadcast(last))  # one row
+    numbered = placed(new.drop(key), [F.col(unique).asc()], "_n").crossJoin(F.broadcast(last))  # one row
     return works.unionByName(numbered.withColumn(key, F.col("_last") + F.col("_n")).drop("_last", "_n").select(works.columns))
 
 

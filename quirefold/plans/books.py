@@ -25,9 +25,23 @@ def bodies(sections: DataFrame, settings: Settings | None = None) -> DataFrame:
     return rows.select("work_id", "idx", "title", "chapter", xhtml(F.col("text")).alias("body"), pictures(F.col("text")).alias("images"))
 
 
-def books(works: DataFrame, sections: DataFrame, settings: Settings | None = None, css: str = "") -> DataFrame:
-    """(work_id, archive): a package of each work."""
+def books(works: DataFrame, sections: DataFrame, settings: Settings | None = None, css: str = assemble.STYLE, images: DataFrame | None = None) -> DataFrame:
+    """(work_id, archive): a package of each work, its style sheet included.
+
+    images: (work_id, filename, data); of those, what the sections name goes into the package and its manifest, each name
+    once, in order of the first section that has it.
+    """
     parts = bodies(sections, settings)
-    files = assemble.package_files(works, parts).unionByName(assemble.section_pages(parts))
+    shown = None
+    if images is not None:
+        named = parts.select("work_id", "idx", F.posexplode("images").alias("at", "i")).select("work_id", F.struct("idx", "at").alias("place"), F.col("i.filename").alias("filename"))
+        named = named.groupBy("work_id", "filename").agg(F.min("place").alias("place"))
+        held = images.where("data is not null").groupBy("work_id", "filename").agg(F.first("data").alias("data"))
+        number = F.col("place.idx").cast("long") * 100_000 + F.col("place.at")
+        shown = named.join(held, ["work_id", "filename"]).select("work_id", number.alias("idx"), "filename", "data")
+    files = assemble.package_files(works, parts, shown).unionByName(assemble.section_pages(parts))
     styles = works.select("work_id", F.lit("OEBPS/Styles/style.css").alias("path"), F.lit(css).alias("content"))
-    return assemble.archives(files.unionByName(styles))
+    files = files.unionByName(styles).withColumn("content", F.col("content").cast("binary"))
+    if shown is not None:
+        files = files.unionByName(shown.select("work_id", F.concat(F.lit("OEBPS/Images/"), F.col("filename")).alias("path"), F.col("data").cast("binary").alias("content")))
+    return assemble.archives(files)

@@ -6,6 +6,8 @@ they look for.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import html, markup, normalize, strings
 from quirefold.functions.tokens import hide, restore, stash
 from quirefold.operators import assemble, catalog, diff, toc
-from quirefold.plans.books import bodies
+from quirefold.plans.books import books
 from quirefold.plans.normalize import normalize as normalize_all
 from quirefold.sources import rules, store
 
@@ -238,12 +240,16 @@ def annotated_fragments(spark, sf_dir):
 
 
 @query(
-    """select * from (values (1, timestamp '2024-01-31 10:20:30'), (2, timestamp '2024-01-31 10:20:00'), (3, timestamp '2024-01-31'), (4, null::timestamp),
-      (5, null::timestamp), (6, timestamp '2024-03-01 00:00:00')) t(id, parsed)"""
+    """select o_orderkey, case o_orderkey % 5 when 0 then d + interval 10 hour + interval 20 minute + interval 30 second
+      when 1 then d + interval 10 hour + interval 20 minute when 2 then d end as parsed
+    from (select o_orderkey, date_trunc('day', o_orderdate)::timestamp as d from orders)"""
 )
 def date_parse(spark, sf_dir):
-    rows = [(1, "2024/1/31 10:20:30"), (2, "2024/01/31 10:20（改）"), (3, " 2024/1/31 "), (4, "2024年1月31日"), (5, "2024/2/30"), (6, "2024/3/1(x)")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", strings.parse_date(F.col("text")).alias("parsed"))
+    """Order dates in the forms that pages show; two of these aren't dates."""
+    k, day = F.col("o_orderkey") % 5, lambda form: F.date_format("o_orderdate", form)
+    text = F.when(k == 0, F.concat(day("yyyy/M/d"), F.lit(" 10:20:30"))).when(k == 1, F.concat(day("yyyy/MM/dd"), F.lit(" 10:20（改）"))).when(k == 2, F.concat(F.lit(" "), day("yyyy/M/d"), F.lit(" ")))
+    text = text.when(k == 3, day("yyyy年M月d日")).otherwise(F.concat(day("yyyy"), F.lit("/2/30")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.parse_date(text).alias("parsed"))
 
 
 # -- catalogue --------------------------------------------------------------------------------------------------------
@@ -271,6 +277,13 @@ def catalog_list_all(spark, sf_dir):
     return catalog.placed(works, [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").asc()])
 
 
+@query("select row_number() over (order by lower(p_name), p_partkey) as place, p_partkey, p_name from part")
+def catalog_list_folded(spark, sf_dir):
+    """The whole listing by name, upper and lower case being the same."""
+    works = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("shown"), "p_name")
+    return catalog.placed(works, [catalog.folded(works, "shown"), F.col("p_partkey").asc()]).select("place", "p_partkey", "p_name")
+
+
 @query("select c_custkey, c_name, c_acctbal from customer where c_custkey = 7")
 def catalog_get(spark, sf_dir):
     return catalog.get(table(spark, sf_dir, "customer"), 7, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
@@ -472,20 +485,49 @@ def _package(spark, sf_dir):
     return assemble.package_files(_works(sections), sections)
 
 
-@query()
+def sql_fill(template: str, **values: str) -> str:
+    """The template with its {names} replaced by SQL expressions."""
+    out = lit(template)
+    for name, value in values.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+_ITEMS = sql_sub("refs", ('<itemref idref="([^"]+)"/>', '<item id="\\1" href="Text/\\1.xhtml" media-type="application/xhtml+xml"/>'))
+_FILES = {
+    "mimetype": lit(assemble.MIMETYPE),
+    "META-INF/container.xml": lit(assemble.CONTAINER),
+    "OEBPS/content.opf": sql_fill(assemble.OPF, book_id="work_id", title="title", author="'著者'", modified="'2024-01-01T00:00:00Z'", items=_ITEMS, refs="refs"),
+    "OEBPS/toc.xhtml": sql_fill(assemble.CONTENTS, items="toc"),
+    "OEBPS/toc.ncx": sql_fill(assemble.NCX, book_id="work_id", title="title", points="points"),
+    "OEBPS/Text/cover.xhtml": sql_fill(assemble.COVER, title="title", author="'著者'", start="'350'", lines="'      <tspan x=\"300\" dy=\"0\">' || title || '</tspan>' || chr(10)"),
+    "OEBPS/Text/titlepage.xhtml": sql_fill(assemble.TITLE_PAGE, title="title", author="'著者'", source="chr(10) || '  <p class=\"source\">例</p>'"),
+}
+
+
+@query(f"with o as (select *, '作品 ' || work_id as title from ({SQL['toc_build']})) " + " union all ".join(f"select work_id, {lit(p)} as path, {c} as content from o" for p, c in _FILES.items()))
 def package_files(spark, sf_dir):
     return _package(spark, sf_dir)
 
 
-@query()
+def _entries(frames):
+    """Names of the entries of each archive, in order, and whether all can be read."""
+    for frame in frames:
+        found = [zipfile.ZipFile(io.BytesIO(a)) for a in frame.pop("archive")]
+        yield frame.assign(names=["|".join(z.namelist()) for z in found], sound=[z.testzip() is None for z in found])
+
+
+@query(
+    """select conv_id as work_id, 'mimetype|META-INF/container.xml|OEBPS/Styles/style.css|OEBPS/Text/cover.xhtml|' ||
+      string_agg('OEBPS/Text/section_' || lpad((turn + 1)::varchar, 4, '0') || '.xhtml', '|' order by turn) ||
+      '|OEBPS/Text/titlepage.xhtml|OEBPS/content.opf|OEBPS/toc.ncx|OEBPS/toc.xhtml' as names, true as sound from conversations group by 1"""
+)
 def archives(spark, sf_dir):
-    """A package of each conversation, from stored sections: normalised, parsed, assembled, zipped."""
+    """A package of each conversation, from stored sections: normalised, parsed, assembled, zipped; its entries, read back."""
     s = _sections(spark, sf_dir)
     element = F.struct(F.when(F.col("role") == "system", F.col("body")).otherwise("").alias("introduction"), F.when(F.col("role") != "system", F.col("body")).otherwise("").alias("body"), F.lit("").alias("postscript"), F.lit("text").alias("data_type"))
     stored = s.select("work_id", F.col("idx").cast("string").alias("index"), F.col("title").alias("subtitle"), "chapter", element.alias("element"))
-    parts = bodies(stored)
-    made = assemble.archives(assemble.package_files(_works(s), parts).unionByName(assemble.section_pages(parts)))
-    return made.select("work_id", F.length("archive").cast("long").alias("archive_bytes"))
+    return books(_works(s), stored).mapInPandas(_entries, "work_id long, names string, sound boolean")
 
 
 @query("select conv_id, turn, 'raw/' || turn || ' ' || role || '.html' as path, turn % 3 <> 0 as fine from conversations")
@@ -526,7 +568,8 @@ add_stage("stage_join_brackets", n.join_in_brackets, f"(select {sql_rewrite('j',
 add_stage("stage_join_lines", n.join_lines, sql_sub("t", (r"([^、])、\n　([^「『(（【<＜〈《≪…‥―])", r"\1、\2")))
 add_stage("stage_comments", n.drop_comments, sql_sub("t", (r"(?ms)^={10,}\n.*?\n={10,}$", "")))
 add_stage("stage_site_tags", n.site_tags, sql_sub("t", ("(?i-s)<b>(.+?)</b>", r"［＃ゴシック体］\1［＃ゴシック体終わり］"), ("(?m)^-{5,}$", "［＃区切り線］")))
-add_stage("stage_roman", n.roman_numerals, None)
+_ROMAN = "case x[2] " + " ".join(f"when {lit(a)} then {lit(b)}" for a, b in n.ROMAN.items()) + " else x[2] end"
+add_stage("stage_roman", n.roman_numerals, sql_rewrite("t", rf"[{n.WORD}]+", _ROMAN))
 add_stage("stage_latin", n.wide_latin, f"translate(t, {lit(_LATIN)}, {lit(_WIDE_LATIN)})")
 _QUOTED = sql_sub("t", (r"'([^'\"\n]+)'", r"〝\1〟"), ("[\"〝〟]([^\"\\n]+)[\"〝〟]", r"〝\1〟"))
 add_stage("stage_symbols", n.wide_symbols, f"translate({_QUOTED}, {lit(n.SYMBOLS_FROM + '《》')}, {lit(n.SYMBOLS_TO + '≪≫')})")
