@@ -24,31 +24,50 @@ from quirefold.llm.queries import TOXIC, crc_mod
 LIKELY = 0.5
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in df.columns]
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts score like texts without features, so they stay; copies of a row score alike."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=crc_mod(3) != 1)
-    return toxicity.score(docs, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
+    score = unused("toxicity", docs)
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < TOXIC).select(columns(docs))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What it is to remove is text that no model of languages can use: digits, marks and codes without letters (null
+    and empty texts too), and mixtures in which no language outweighs the others. Clean tables lose nothing."""
     model = langid.fit(docs, train=crc_mod(5) != 0)
-    found = langid.predict(docs, model, lang_col="_lang", score_col="_likely")
-    return found.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_likely") > LIKELY)).select(docs.columns)
+    lang, likely = unused("lang", docs), unused("likely", docs)
+    found = langid.predict(docs, model, lang_col=lang, score_col=likely)
+    return found.where((F.col(lang) != langid.UNDETERMINED) & (F.col(likely) > LIKELY)).select(columns(docs))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are linked with nothing and stay."""
     judged = cut(minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
 
     def ids(which: str) -> DataFrame:
         found = judged.where(which).select("doc_id")
         return F.broadcast(found) if found.count() <= minhash.BROADCAST else found
 
-    kept = docs.join(ids("not kept"), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(ids("not kept"), "doc_id", "left_anti").select(columns(docs))
     repeated = ids("kept and n > 1")
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.join(repeated, "doc_id", "left_anti").select(columns(docs))
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(columns(docs)).dropDuplicates(["doc_id"]))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are pieces of one token."""
     return packing.best_fit(docs)
 
 
