@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from tempfile import mkdtemp
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quirefold.sources.shared import cut, shared_dir  # noqa: F401, for the operators
+
 
 #: Rows that are worked on at once.
 SLICE = 512
@@ -19,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where the session has none, one of this machine if Spark runs on it alone, as in
-    tests; on a cluster that is an error, as executors would not see each other's files."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that driver and executors share")
-        found = mkdtemp(prefix="quirefold-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def append_by_arrow(
     df: DataFrame,
     fields: list[T.StructField],

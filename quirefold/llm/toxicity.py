@@ -44,7 +44,8 @@ RATIO, EVIDENCE = 0.2, 4.0
 CACHE = 200_000
 #: Counts that a task holds about, and that it gives at once.
 COUNTED, COUNTS = 1_000_000, 50_000
-STEPS, RATE, DECAY = 1000, 0.05, 2e-3
+#: DECAY is shared by the confirmed rows: the more there are, the less weights are held back.
+STEPS, RATE, DECAY = 1000, 0.05, 0.1
 
 
 def words(text: str | None) -> list[str]:
@@ -127,7 +128,7 @@ def nn_pu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: f
     for step in range(1, STEPS + 1):
         g = np.bincount(owner, w[column], len(rows)) + w[-1]
         slope = slopes(g, positive, prior)
-        grad = np.append(np.bincount(column, slope[owner], n_features), slope.sum()) + DECAY * w
+        grad = np.append(np.bincount(column, slope[owner], n_features), slope.sum()) + DECAY / max(1, positive.sum()) * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
