@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 TEXTS, WORDS, RUNS, EVIDENCE, LANGUAGES = 2000, 20_000, 10_000, 20, 32
 #: Words whose logarithms a task keeps, and how long they are at most; longer ones are looked up each time.
-CACHE, KEPT = 200_000, 64
+CACHE, KEPT = 100_000, 64
 
 
 def words(text: str | None) -> list[str]:

@@ -35,11 +35,11 @@ SHINGLE = 5
 SIMILARITY = 80  # per cent
 MISS = 3e-7
 #: Elements that take a level together.
-BATCH = 200_000
+BATCH = 100_000
 #: Ids that are broadcast at most; beyond, Spark joins as it sees fit.
 BROADCAST = 1_000_000
 #: Documents that are signed together, and rows of buckets and texts that a task gets together.
-SIGNED, ROWS, TEXTS = 2048, 8192, 1024
+SIGNED, ROWS, TEXTS = 1024, 8192, 1024
 #: Classes of a block where all are compared, and of a chunk that is compared with a center.
 BLOCK = 256
 U = np.uint64

@@ -41,7 +41,7 @@ POSITIVES, UNLABELLED, FEATURES = 2000, 4000, 1024
 #: A feature's frequency in toxic texts by that in unlabelled ones, as a part of the 1 / prior it can reach, and its
 #: log-likelihood ratio, are at least these.
 RATIO, EVIDENCE = 0.2, 4.0
-CACHE = 200_000
+CACHE = 100_000
 #: Counts that a task holds about, and that it gives at once.
 COUNTED, COUNTS = 1_000_000, 50_000
 #: DECAY is shared by the confirmed rows: the more there are, the less weights are held back.
