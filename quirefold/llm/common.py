@@ -49,5 +49,6 @@ def append_by_arrow(
             yield pa.RecordBatch.from_arrays(
                 [c if c.type == t.type else c.cast(t.type) for c, t in zip(columns, target, strict=True)], schema=target
             )
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for the stages to come
 
     return df.select(*[df[f"`{c}`"] for c in fed]).mapInArrow(run, schema)

@@ -35,11 +35,11 @@ SHINGLE = 5
 SIMILARITY = 80  # per cent
 MISS = 3e-7
 #: Elements that take a level together.
-BATCH = 100_000
+BATCH = 50_000
 #: Ids that are broadcast at most; beyond, Spark joins as it sees fit.
 BROADCAST = 1_000_000
 #: Documents that are signed together, and rows of buckets and texts that a task gets together.
-SIGNED, ROWS, TEXTS = 1024, 8192, 1024
+SIGNED, ROWS, TEXTS = 512, 8192, 512
 #: Classes of a block where all are compared, and of a chunk that is compared with a center.
 BLOCK = 256
 U = np.uint64
@@ -280,7 +280,9 @@ def bundled(df: DataFrame, keys: list[str], rows: int, of: int, f: Callable[[pa.
         columns = [bundle.column(k).to_numpy() for k in keys]
         new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
         starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(bundle)]])
-        return pa.concat_tables([f(bundle.slice(a, b - a)) for a, b in zip(starts, starts[1:])])
+        made = pa.concat_tables([f(bundle.slice(a, b - a)) for a, b in zip(starts, starts[1:])])
+        pa.default_memory_pool().release_unused()
+        return made
 
     return df.withColumn("bundle", F.pmod(F.xxhash64(*keys), F.lit(bundles))).groupBy("bundle").applyInArrow(run, schema)
 
