@@ -341,7 +341,8 @@ def linked(docs: DataFrame, made: DataFrame, similarity: int = SIMILARITY) -> Da
     if not n_open:
         return known
     texts = _texts(docs, open_.select("id", "hash").distinct())
-    more = bundled(texts.join(open_, ["id", "hash"]), group, n_open, TEXTS, lambda g: _compare(g, similarity), "a long, b long")
+    # cut, so that no task feeds two Python workers at once: Spark keeps workers, and what they hold, for later stages
+    more = cut(bundled(texts.join(open_, ["id", "hash"]), group, n_open, TEXTS, lambda g: _compare(g, similarity), "a long, b long"))
     return components(links.unionByName(more))
 
 
