@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.html import annotated, body_text
 from quirefold.functions.strings import parse_date, pretreat, safe_filename, strip
-from quirefold.sources.rules import SiteRules, chain, match
+from quirefold.sources.rules import SiteRules, chain, match, multi_match
 
 # Fixed values ------------------------------------------------------------------------------------------------------
 #: Classes of the parts of an episode's page.
@@ -117,6 +117,39 @@ def metadata(toc: DataFrame) -> DataFrame:
     return toc.select("toc_url", name("title"), name("author"), F.coalesce("sitename", F.lit("")).alias("sitename"), F.coalesce("novel_type", F.lit(1)).alias("novel_type"), F.size("subtitles").alias("general_all_no"))
 
 
+def page_info(source: Column, site: SiteRules) -> Column:
+    """What info() gives, out of a page of contents: title, author and story where the site has rules for them; else null."""
+    rules = [k for k in ("title", "author", "story") if site.raw(k)]
+    if "title" not in rules:
+        return F.lit(None).cast("struct<title:string,writer:string,story:string,end:boolean,novel_type:int>")
+    found = multi_match(pretreat(source), site, rules)
+    part = lambda name: F.coalesce(found[name], F.lit("")) if name in rules else F.lit("")
+    story = part("story")
+    made = F.struct(part("title").alias("title"), part("author").alias("writer"), F.when(story == "", "").otherwise(annotated(story)).alias("story"), F.lit(False).alias("end"), F.lit(1).alias("novel_type"))
+    return F.when(found["title"].isNotNull(), made)
+
+
+def tables_of_contents(works: DataFrame, pages: DataFrame, site: SiteRules) -> DataFrame:
+    """A row for each work: title, author, toc_url, story, end, novel_type and subtitles, an array of entries in order.
+
+    works has work_id, toc_url and info (as info() gives it, or null where there was no information page); pages has
+    work_id, page_no and html. Without information or its title the first page of contents is asked for them; works that
+    have no title there either are left out. Short stories get their single entry, the others those of their pages.
+    """
+    first = pages.groupBy("work_id").agg(F.min_by("html", "page_no").alias("_page"))
+    listed = contents(pages, site).groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "index", "href", "chapter", "subtitle", "file_subtitle", "subdate", "subupdate"))).alias("_rows"))
+    known = F.coalesce(F.col("info.title"), F.lit("")) != ""
+    names = ("title", "writer", "story", "end", "novel_type")
+    same = [F.col(f"info.{n}").alias(n) for n in names]
+    dates = F.struct(F.col("info.general_firstup").alias("first"), F.coalesce("info.novelupdated_at", "info.general_lastup").alias("last"))
+    rows = works.join(first, "work_id", "left").join(listed, "work_id", "left")
+    rows = rows.withColumns({"_info": F.when(known, F.struct(*same)).otherwise(page_info(F.col("_page"), site)), "_dates": F.when(known, dates)}).where("_info is not null")
+    entry = short_story_entry(F.col("_info.title"), F.col("_dates.first"), F.col("_dates.last"))
+    many = F.transform(F.coalesce("_rows", F.array()), lambda r: F.struct(*[r[n].alias(n) for n in ("index", "href", "chapter", "subtitle", "file_subtitle", "subdate", "subupdate")]))
+    listing = F.when(F.coalesce("_info.novel_type", F.lit(1)) == 1, many).otherwise(entry).alias("subtitles")
+    return rows.select("work_id", "_info.title", F.col("_info.writer").alias("author"), "toc_url", "_info.story", "_info.end", "_info.novel_type", listing)
+
+
 def element(source: Column, site: SiteRules) -> Column:
     """Introduction, body and postscript of an episode's page."""
     if site.raw("text_by_class"):

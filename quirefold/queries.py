@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import html, markup, normalize, strings
 from quirefold.functions.tokens import hide, restore, stash
-from quirefold.operators import assemble, catalog, diff, toc
+from quirefold.operators import assemble, catalog, diff, illustrations, toc
 from quirefold.plans.books import books
 from quirefold.plans.normalize import normalize as normalize_all
 from quirefold.sources import rules, store
+from quirefold.sources.shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: What stages do to a text t, in SQL.
+STAGE: dict[str, str] = {}
 
 SAMPLE = (
     "\nｶﾞｷﾞ ﾊﾟか゛カ゛ウ゛—\n「一行目\n　二行目『中\n 身』」と、\n　続く、\n　「開く\n==========\n消える\n==========\nII章 第II章 vii IX\n"
@@ -34,6 +37,10 @@ ANNOTATED = (
 )
 
 
+#: SAMPLE and what stages hide: URLs, notes of illustrations, sentences, headings.
+SPANS = SAMPLE + "\n見よhttps://example.com/A?b=c~d よ［＃挿絵（a.png）入る］［＃挿絵（http://x/y.jpg）入る］ほ\n「Hello world」 abcDEFGH ABCDEFGH ab\n　―第―\n　－２章\n＜３＞\n四―\n"
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -78,10 +85,12 @@ def add_stage(name: str, change, sql: str | None, sample: str = SAMPLE) -> None:
     """A query of a column function over documents with a sample behind them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", change(F.concat("text", F.lit(sample))).alias("out"))
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        return docs.select("doc_id", F.concat("text", F.lit(sample)).alias("t")).select("doc_id", change(F.col("t")).alias("out"))
 
     QUERIES[name] = run
     if sql:
+        STAGE[name] = sql
         SQL[name] = f"select doc_id, {sql} as out from (select doc_id, text || {lit(sample)} as t from documents)"
 
 
@@ -158,85 +167,137 @@ def site_resolve(spark, sf_dir):
 
 
 @query(
-    """select * from (values (1, '小説家になろう', 'n1234ab', 'https://ncode.syosetu.com/n1234ab/'),
-      (2, '小説家になろう', 'n9aa', 'https://ncode.syosetu.com/n9aa/'), (3, null, null, null),
-      (4, 'ノクターン・ムーンライト', 'n7z', 'https://novel18.syosetu.com/n7z/'),
-      (5, 'ノクターン・ムーンライト', 'n55b', 'https://novel18.syosetu.com/n55b/'), (6, null, null, null)) t(target_id, site, code, toc_url)"""
+    """with c as (select c_custkey, c_custkey % 5 as k from customer), r as (
+      select c_custkey, case when k in (0, 1) then '小説家になろう' when k = 4 or k = 3 and c_custkey in (select s_suppkey from supplier) then 'ノクターン・ムーンライト' end as site,
+             case k when 0 then 'n' || c_custkey || 'ab' when 1 then 'n' || c_custkey || 'aa' when 3 then 'n' || c_custkey || 'z' when 4 then 'n' || c_custkey || 'b' end as code from c)
+    select c_custkey, site, case when site is not null then code end as code,
+      case site when '小説家になろう' then 'https://ncode.syosetu.com/' || code || '/' when 'ノクターン・ムーンライト' then 'https://novel18.syosetu.com/' || code || '/' end as toc_url from r"""
 )
 def target_resolution(spark, sf_dir):
-    targets = [(1, " https://ncode.syosetu.com/N1234AB/5/ "), (2, "N9AA"), (3, "https://elsewhere.example/n1a"), (4, "17"), (5, "https://novel18.syosetu.com/n55b"), (6, "18")]
-    works = spark.createDataFrame([(17, "https://novel18.syosetu.com/N7Z/")], "id long, toc_url string")
-    return toc.resolve_targets(spark.createDataFrame(targets, "target_id int, target string"), works, rules.builtin()).drop("target")
+    """Customers as targets: URLs of two sites and of none, codes, and numbers of works, which suppliers are."""
+    key = F.col("c_custkey").cast("string")
+    forms = [F.concat(F.lit(" https://ncode.syosetu.com/N"), key, F.lit("AB/5/ ")), F.concat(F.lit("N"), key, F.lit("aa")), F.concat(F.lit("https://elsewhere.example/n"), key, F.lit("a")), key, F.concat(F.lit("https://novel18.syosetu.com/n"), key, F.lit("b"))]
+    target = rules.chain([(F.col("c_custkey") % 5 == i, form) for i, form in enumerate(forms)], F.lit(None).cast("string"))
+    works = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("https://novel18.syosetu.com/N"), F.col("s_suppkey").cast("string"), F.lit("Z/")).alias("toc_url"))
+    return toc.resolve_targets(table(spark, sf_dir, "customer").select("c_custkey", target.alias("target")), works, rules.builtin()).drop("target")
+
+
+_ENTRY_SQL = """
+with t as (select conv_id as work_id, turn, (turn + 1)::varchar as index, rtrim('T' || regexp_replace(text[1:12], '[^A-Za-z]', ' ', 'g')) as title from conversations),
+entry as (select work_id, turn as ordinal, index, '/n1a/' || index || '/' as href, case when turn % 4 = 0 then '章' || index else '' end as chapter,
+  title || ': 話' as subtitle, title || '： 話' as file_subtitle, '2024/01/02 10:00' as subdate, case when turn % 3 = 0 then '2024/02/01 09:00' else '' end as subupdate from t)
+"""
+
+
+def _contents_pages(spark, sf_dir):
+    """Conversations as pages of contents, two turns a page; each but the last links to the next one."""
+    number = (F.col("turn") + 1).cast("string")
+    title = F.rtrim(F.concat(F.lit("T"), F.regexp_replace(F.substring("text", 1, 12), "[^A-Za-z]", " ")))
+    chapter = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('<div class="p-eplist__chapter-title">章'), number, F.lit("</div>\n"))).otherwise("")
+    changed = F.when(F.col("turn") % 3 == 0, '<span title="2024/02/01 09:00 改稿">（<u>改</u>）</span>').otherwise("")
+    episode = F.concat(chapter, F.lit('<div class="p-eplist__sublist">\n<a href="/n1a/'), number, F.lit('/" class="p-eplist__subtitle">\n'), title, F.lit(':\t 話\t </a>\n<div class="p-eplist__update">\n2024/01/02 10:00\n'), changed, F.lit("</div>\n</div>\n"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work_id"), F.col("turn"), F.floor(F.col("turn") / 2).alias("page_no"), episode.alias("e"))
+    pages = turns.groupBy("work_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "e"))), lambda x: x.e), "").alias("e"))
+    last = turns.groupBy("work_id").agg(F.max("page_no").alias("last"))
+    link = F.when(F.col("page_no") < F.col("last"), '<a href="/n1a/?p=2" class="c-pager__item c-pager__item--next">').otherwise("")
+    return pages.join(last, "work_id").select("work_id", "page_no", F.concat("e", link).alias("html"))
 
 
-_EPISODES = (
-    '<div class="p-eplist__chapter-title">第一章</div>\n<div class="p-eplist__sublist">\n<a href="/n1a/1/" class="p-eplist__subtitle">\nは\tじめ </a>\n<div class="p-eplist__update">\n2024/01/01 10:00\n</div>\n</div>'
-    '<div class="p-eplist__sublist">\n<a href="/n1a/2/" class="p-eplist__subtitle">\n二: 話</a>\n<div class="p-eplist__update">\n2024/01/02 10:00<span title="2024/02/01 09:00 改稿">（<u>改</u>）</span>\n</div>\n</div>'
+@query(_ENTRY_SQL + "select * from entry")
+def contents_pages(spark, sf_dir):
+    """Entries of pages of contents, one page after another."""
+    return toc.contents(_contents_pages(spark, sf_dir), rules.builtin()[0]).withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+@query(
+    _ENTRY_SQL
+    + """select work_id, case work_id % 4 when 0 then '題' when 1 then '短' else 'T' end as title, case when work_id % 4 < 2 then '著者' else '' end as author,
+      case when work_id % 4 = 1 then 1 else count(*) end as subtitles, case when work_id % 4 = 1 then '短|None|None' else string_agg(subtitle || '|' || subdate || '|' || subupdate, ',' order by ordinal) end as shown
+    from entry where work_id % 4 <> 3 group by work_id"""
 )
-_NEXT = '<a href="/n1a/?p=2" class="c-pager__item c-pager__item--next">'
+def tables_of_contents(spark, sf_dir):
+    """Works with an information page (series or short), works whose page of contents has the title, and works without one."""
+    kind = F.col("work_id") % 4
+    site = rules.SiteRules({**rules.builtin()[0].values, "title": ["<h1>(?<title>.+?)</h1>", "<h9>(?<title>.+?)</h9>"]})
+    pages = _contents_pages(spark, sf_dir).withColumn("html", F.when(kind == 2, F.concat(F.lit("<h9>T</h9>"), F.col("html"))).otherwise(F.col("html")))
+    empty = F.lit(None).cast("timestamp_ntz")
+    info = F.struct(F.when(kind == 0, "題").otherwise("短").alias("title"), F.lit("著者").alias("writer"), F.lit("").alias("story"), F.lit(False).alias("end"), F.when(kind == 1, 2).otherwise(1).alias("novel_type"), empty.alias("general_firstup"), empty.alias("novelupdated_at"), empty.alias("general_lastup"))
+    works = pages.select("work_id").distinct().select("work_id", F.lit("https://example.com/").alias("toc_url"), F.when(kind < 2, info).alias("info"))
+    rows = toc.tables_of_contents(works, pages, site)
+    shown = F.array_join(F.transform("subtitles", lambda x: F.concat_ws("|", x.subtitle, x.subdate, x.subupdate)), ",")
+    return rows.select("work_id", "title", "author", F.size("subtitles").cast("long").alias("subtitles"), shown.alias("shown"))
 
 
 @query(
-    """select * from (values (1, 0, '1', '/n1a/1/', '第一章', 'はじめ', 'はじめ', '2024/01/01 10:00', ''),
-      (1, 1, '2', '/n1a/2/', '', '二: 話', '二： 話', '2024/01/02 10:00', '2024/02/01 09:00'),
-      (1, 2, '3', '/n1a/3/', '', 'は', 'は', '2024/01/01 10:00', '')) t(work_id, ordinal, index, href, chapter, subtitle, file_subtitle, subdate, subupdate)"""
+    """select conv_id as work_id, case when conv_id % 3 = 0 then '不明' else 'w' || conv_id end as title, '不明' as author, '' as sitename,
+      case when conv_id % 2 = 0 then 2 else 1 end as novel_type, count(*) as general_all_no, 100 * sum((turn % 2)::int)::int // count(*)::int as percent from conversations group by 1"""
 )
-def contents_pages(spark, sf_dir):
-    """Entries of pages of contents: the second page is reached by a link, the third has none before it."""
-    third = _EPISODES.split("</div>\n</div>")[0].replace("第一章", "").replace("/1/", "/3/").replace("じめ ", "").replace("は\t", "は") + "</div>\n</div>"
-    third = third.partition("</div>\n")[2]
-    pages = [(1, 1, _EPISODES + _NEXT), (1, 2, third), (1, 3, _EPISODES)]
-    return toc.contents(spark.createDataFrame(pages, "work_id int, page_no int, html string"), rules.builtin()[0]).withColumn("ordinal", F.col("ordinal").cast("int"))
+def work_metadata(spark, sf_dir):
+    """Rows of works out of tables of contents, with the percentage of odd turns as progress."""
+    t = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("work_id")).agg(F.collect_list("turn").alias("subtitles"), F.sum(F.col("turn") % 2).alias("odd"))
+    title = F.when(F.col("work_id") % 3 != 0, F.concat(F.lit("w"), F.col("work_id").cast("string")))
+    t = t.select(F.col("work_id").cast("string").alias("toc_url"), title.alias("title"), F.lit("").alias("author"), F.lit(None).cast("string").alias("sitename"), F.when(F.col("work_id") % 2 == 0, 2).alias("novel_type"), "subtitles", "odd")
+    share = t.select("toc_url", diff.progress(F.col("odd"), F.size("subtitles")).alias("percent"))
+    rows = toc.metadata(t).join(share, "toc_url")
+    return rows.select(F.col("toc_url").cast("long").alias("work_id"), "title", "author", "sitename", "novel_type", F.col("general_all_no").cast("long").alias("general_all_no"), "percent")
 
 
 _INFO_PAGE = (
-    '<h1 class="p-infotop-title">\n<a href="/x">題 &amp; 名</a></h1><td class="p-infotop-data__value">{kind}</td> 全{parts}部<dt class="p-infotop-data__title">あらすじ</dt>\n'
-    '<dd class="p-infotop-data__value">一<br>二</dd><dt class="p-infotop-data__title">作者名</dt><dd class="p-infotop-data__value"><a href="/u">著者</a></dd>'
+    '<h1 class="p-infotop-title">\n<a href="/x">題 &amp; {name}</a></h1><td class="p-infotop-data__value">{kind}</td> 全{parts}部<dt class="p-infotop-data__title">あらすじ</dt>\n'
+    '<dd class="p-infotop-data__value">{story}<br>二</dd><dt class="p-infotop-data__title">作者名</dt><dd class="p-infotop-data__value"><a href="/u">著者</a></dd>'
     '<dt class="p-infotop-data__title">掲載日</dt><dd class="p-infotop-data__value">2024/01/02 03:04</dd><dt class="p-infotop-data__title">最終掲載日</dt><dd class="p-infotop-data__value">2024年01月02日 03時04分</dd>'
 )
 
 
 @query(
-    """select * from (values (1, '題 & 名', '著者', true, 1, '一' || chr(10) || '二', timestamp '2024-01-02 03:04:00', null::timestamp),
-      (2, '題 & 名', '著者', false, 2, '一' || chr(10) || '二', timestamp '2024-01-02 03:04:00', null::timestamp),
-      (3, '題 & 名', '著者', false, 1, '一' || chr(10) || '二', timestamp '2024-01-02 03:04:00', null::timestamp),
-      (4, '', '', false, 1, '', null::timestamp, null::timestamp)) t(page_id, title, writer, ended, novel_type, story, first_up, last_up)"""
+    """select c_custkey, case when k < 3 then '題 & ' || c_name else '' end as title, case when k < 3 then '著者' else '' end as writer, k = 0 as ended,
+      case when k = 1 and c_custkey % 3 < 2 then 2 else 1 end as novel_type, case when k < 3 then c_mktsegment || chr(10) || '二' else '' end as story,
+      case when k < 3 then timestamp '2024-01-02 03:04:00' end as first_up, null::timestamp as last_up from (select *, c_custkey % 4 as k from customer)"""
 )
 def info_pages(spark, sf_dir):
-    pages = [(1, _INFO_PAGE.format(kind="完結済", parts=9)), (2, _INFO_PAGE.format(kind="短編", parts=1)), (3, _INFO_PAGE.format(kind="短編", parts=2)), (4, "nothing")]
-    rows = spark.createDataFrame(pages, "page_id int, html string").select("page_id", toc.info(F.col("html"), rules.builtin()[0]).alias("i"))
-    return rows.select("page_id", "i.title", "i.writer", F.col("i.end").alias("ended"), "i.novel_type", "i.story", F.col("i.general_firstup").alias("first_up"), F.col("i.general_lastup").alias("last_up"))
+    """Information pages of complete works, short stories (which have at most one part), unfinished ones, and other pages."""
+    k = F.col("c_custkey") % 4
+    html_of = F.lit(_INFO_PAGE)
+    values = {"kind": F.when(k == 0, "完結済").when(k == 1, "短編").otherwise("連載中"), "parts": (F.col("c_custkey") % 3).cast("string"), "name": F.col("c_name"), "story": F.col("c_mktsegment")}
+    for name, value in values.items():
+        html_of = F.replace(html_of, F.lit("{" + name + "}"), value)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", toc.info(F.when(k < 3, html_of).otherwise("nothing"), rules.builtin()[0]).alias("i"))
+    return rows.select("c_custkey", "i.title", "i.writer", F.col("i.end").alias("ended"), "i.novel_type", "i.story", F.col("i.general_firstup").alias("first_up"), F.col("i.general_lastup").alias("last_up"))
 
 
-@query("select * from (values (1, '題', true, 3), (2, null, null, null), (3, null, null, null), (4, null, null, null)) t(reply_id, title, ended, parts)")
+@query("select o_orderkey, case when k < 2 then o_orderpriority end as title, case when k < 2 then k = 0 end as ended, case when k < 2 then o_custkey::int end as parts from (select *, o_orderkey % 5 as k from orders)")
 def api_replies(spark, sf_dir):
-    replies = [(1, '[{"allcount":1},{"title":"題","end":0,"general_all_no":3}]'), (2, "<html>"), (3, '[{"allcount":1}]'), (4, '[{"allcount":0},{"title":"x"}]')]
-    rows = spark.createDataFrame(replies, "reply_id int, reply string").select("reply_id", toc.api_info(F.col("reply")).alias("i"))
-    return rows.select("reply_id", "i.title", F.col("i.end").alias("ended"), F.col("i.general_all_no").alias("parts"))
+    """Replies about orders: complete, unfinished, not JSON, too short, or with another count."""
+    k = F.col("o_orderkey") % 5
+    item = F.to_json(F.struct(F.col("o_orderpriority").alias("title"), k.alias("end"), F.col("o_custkey").alias("general_all_no")))
+    reply = F.concat(F.lit('[{"allcount":'), F.when(k == 4, "0").otherwise("1"), F.lit("}"), F.when(k == 3, "").otherwise(F.concat(F.lit(","), item)), F.lit("]"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", toc.api_info(F.when(k == 2, "<html>").otherwise(reply)).alias("i"))
+    return rows.select("o_orderkey", "i.title", F.col("i.end").alias("ended"), F.col("i.general_all_no").alias("parts"))
 
 
 @query(
-    """select * from (values (1, '前 & ' || chr(10) || '書き', '｜漢字《かんじ》' || chr(10) || '本文', '', 'text')) t(page_id, introduction, body, postscript, data_type)"""
+    """select conv_id, turn, '前 & ' || chr(10) || role as introduction, '｜漢字《かんじ》' || chr(10) || rtrim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) as body,
+      case when turn % 2 = 0 then role else '' end as postscript, 'text' as data_type from conversations"""
 )
 def episode_elements(spark, sf_dir):
-    page = '<div class="js-novel-text p-novel__text p-novel__text--preface"><p>前 &amp; </p>書き</div><div class="js-novel-text p-novel__text">\n<p><ruby>漢字<rt>かんじ</rt></ruby></p><i>本文</i> </div>'
-    return spark.createDataFrame([(1, page)], "page_id int, html string").select("page_id", toc.element(F.col("html"), rules.builtin()[0]).alias("e")).select("page_id", "e.*")
+    """Turns as pages of episodes, every second one with an afterword."""
+    div = '<div class="js-novel-text p-novel__text{0}">'
+    words = F.regexp_replace("text", "[^A-Za-z]+", " ")
+    after = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(div.replace("{0}", " p-novel__text--afterword")), F.col("role"), F.lit("</div>"))).otherwise("")
+    page = F.concat(F.lit(div.replace("{0}", " p-novel__text--preface") + "<p>前 &amp; </p>"), F.col("role"), F.lit("</div>" + div.replace("{0}", "") + "\n<p><ruby>漢字<rt>かんじ</rt></ruby></p><i>"), words, F.lit("</i> </div>"), after)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", toc.element(page, rules.builtin()[0]).alias("e")).select("conv_id", "turn", "e.*")
 
 
 @query(
-    """select * from (values (1, '一' || chr(10) || '｜漢字《かんじ》＊'), (2, '［＃太字］b［＃太字終わり］［＃斜体］i［＃斜体終わり］［＃取消線］s［＃取消線終わり］≪x≫'),
-      (3, '［＃挿絵（https://h.example/a/c.png）入る］'), (4, '［＃挿絵（https://h.example/d.png）入る］'), (5, 'plain')) t(id, note_text)"""
+    f"""select page_id, case page_id % 5 when 0 then '一' || chr(10) || '｜漢字《かんじ》＊' when 1 then '［＃太字］' || page_id || '［＃太字終わり］［＃斜体］i［＃斜体終わり］［＃取消線］s［＃取消線終わり］≪x≫'
+      when 2 then '［＃挿絵（' || regexp_extract(url, '^https?://[^?#]*/') || 'c.png）入る］' when 3 then '［＃挿絵（' || regexp_extract(url, '^{_TOP}') || '/d.png）入る］' else 'plain' end as note_text from pages"""
 )
 def annotated_fragments(spark, sf_dir):
-    rows = [
-        (1, "一\r\n<BR /><ruby><u>漢</u>字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>＊"),
-        (2, "<b>b</b><I>i</I><s>s</s>《x》"),
-        (3, '<img alt="" src="c.png" width="1">'),
-        (4, '<img alt="" src="/d.png">'),
-        (5, "<ruby><u>plain</u></ruby>"),
-    ]
-    df = spark.createDataFrame(rows, "id int, html string")
-    return df.select("id", html.annotated(F.col("html"), F.lit("https://h.example/a/b.html")).alias("note_text"))
+    """Fragments under the addresses of pages: ruby, styles, images by relative and by absolute path, marks without a base."""
+    k = F.col("page_id") % 5
+    fragment = F.when(k == 0, "一\r\n<BR /><ruby><u>漢</u>字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>＊").when(k == 1, F.concat(F.lit("<b>"), F.col("page_id").cast("string"), F.lit("</b><I>i</I><s>s</s>《x》")))
+    fragment = fragment.when(k == 2, '<img alt="" src="c.png" width="1">').when(k == 3, '<img alt="" src="/d.png">').otherwise("<ruby><u>plain</u></ruby>")
+    return table(spark, sf_dir, "pages").select("page_id", html.annotated(fragment, F.col("url")).alias("note_text"))
 
 
 @query(
@@ -538,12 +599,14 @@ def raw_paths(spark, sf_dir):
 
 
 @query(
-    """select * from (values (1, 'image/png', 'png'), (2, 'image/jpeg', 'jpg'), (3, 'image/png', null)) t(id, media_type, extension)"""
+    """select o_orderkey, case k when 1 then 'image/jpeg' else 'image/png' end as media_type, case k when 0 then 'png' when 1 then 'jpg' end as extension
+    from (select o_orderkey, o_orderkey % 3 as k from orders)"""
 )
 def media_types(spark, sf_dir):
-    rows = [(1, "a.PNG", "image/png; q=1"), (2, "b.x.jpg", "image/jpeg"), (3, "none", "text/html")]
-    df = spark.createDataFrame(rows, "id int, name string, mime string")
-    return df.select("id", strings.media_type(F.col("name")).alias("media_type"), strings.extension(F.col("mime")).alias("extension"))
+    k = F.col("o_orderkey") % 3
+    name = F.concat(F.col("o_orderkey").cast("string"), F.when(k == 0, ".PNG").when(k == 1, ".x.jpg").otherwise(""))
+    mime = F.when(k == 0, "image/png; q=1").when(k == 1, "image/jpeg").otherwise("text/html")
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.media_type(name).alias("media_type"), strings.extension(mime).alias("extension"))
 
 
 # -- scalar functions -----------------------------------------------------------------------------------------------------
@@ -613,8 +676,26 @@ add_stage("stage_page_break", n.page_breaks, sql_sub("t", ("\\n{10,}", "\n［＃
 add_stage("user_rules", lambda t: n.user_rules(t, [(r"(\w+)ing\b", r"<\1>"), ("[broken", "x"), ("the", "$")]), sql_sub("replace(" + sql_sub("t", (r"([0-9A-Za-z_]+)ing\b", r"<\1>")) + ", '[broken', 'x')", ("the", "$")))
 
 
-def _stash_roundtrip(t):
-    return restore(hide(t, n.KANJI_NUMBER, "漢数字"), "漢数字", stash(t, n.KANJI_NUMBER))
+def _kept(pattern: str, kind: str, change, shown=None):
+    """change, while the matches of the pattern are hidden."""
+    return lambda t: restore(change(hide(t, pattern, kind)), kind, F.transform(stash(t, pattern), shown) if shown else stash(t, pattern))
+
+
+def sql_kept(pattern: str, change: str) -> str:
+    """What lies between the matches, x[1], as `change` says."""
+    return f"array_to_string(list_transform(list_zip(string_split_regex(t, {lit(pattern)}), regexp_extract_all(t, {lit(pattern)})), lambda x: coalesce({change}, '') || coalesce(x[2], '')), '')"
+
+
+_NOTE, _WIDE = "(?-s)［＃挿絵（.+?）入る］", f"translate(x[1], {lit(_LATIN)}, {lit(_WIDE_LATIN)})"
+_RUN = rf"[{n.WORD}.,!?'\" &:;\-]+"
+_SENTENCE = f"contains(x[2], ' ') or length(x[2]) >= {n.SENTENCE_LENGTH} and regexp_matches(x[2], '\\p{{Ll}}')"
+_HEADING_SQL = n.HEADING.replace("(?md)^[ 　\\t]*(?:", "(?m)^[ 　\\t]*((?:").removesuffix("$") + ")$"
+add_stage("stage_illustrations", _kept(n.ILLUSTRATION, "挿絵", n.wide_latin), sql_kept(_NOTE, _WIDE), SPANS)
+add_stage("stage_urls", _kept(n.URL, "ＵＲＬ", n.wide_latin), sql_kept(n.URL, _WIDE), SPANS)
+add_stage("stage_sentences", _kept(n.SENTENCE, "英文", n.wide_latin), sql_rewrite("t", _RUN, f"case when {_SENTENCE} then x[2] else translate(x[2], {lit(_LATIN)}, {lit(_WIDE_LATIN)}) end"), SPANS)
+add_stage("stage_headings", _kept(n.HEADING, "章見出し", lambda t: t, n.heading), sql_sub("t", (_HEADING_SQL, r"　　　［＃ゴシック体］\1［＃ゴシック体終わり］")), SPANS)
+add_stage("ampersands", strings.ampersands, sql_pairs(sql_sub("t", ("(?i)&amp;", chr(0xE100)), ("&", "&amp;")), [(chr(0xE100), "&amp;")]), ANNOTATED + " &AMP; &lt; &amp;amp;".lower())
+_stash_roundtrip = _kept(n.KANJI_NUMBER, "漢数字", lambda t: t)
 
 
 add_stage("stash_roundtrip", _stash_roundtrip, "t")
@@ -653,18 +734,66 @@ add_stage("line_parse", markup.xhtml, f"array_to_string(list_transform(string_sp
 add_stage("line_pictures", lambda t: F.array_join(F.transform(markup.pictures(t), lambda p: p.filename), ","), "'a.png'", ANNOTATED)
 
 
-@query()
+def _chain_sql() -> str:
+    """The stages of a body in order, with what they hide in columns of its own; a step each."""
+    steps = [f"select doc_id, text || {lit(SPANS)} as t from documents"]
+    then = lambda *names: steps.extend(f"select * replace ({STAGE[x]} as t) from s{{at}}" for x in names)
+    token = lambda kind: lit(f"［＃{kind}＝\ue010］")
+
+    def hide_in(kind: str, pattern: str, where: str = "true", shown: str = "h") -> None:
+        steps.append(f"select *, list_transform(list_filter(regexp_extract_all(t, {lit(pattern)}), lambda h: {where.replace('x[2]', 'h')}), lambda h: {shown}) as {kind} from s{{at}}")
+        steps.append(f"select * replace ({sql_rewrite('t', pattern, f'case when {where} then {token(kind)} else x[2] end')} as t) from s{{at}}")
+
+    def put_back(kind: str) -> None:
+        steps.append(f"select * replace (array_to_string(list_transform(list_zip(string_split(t, {token(kind)}), {kind}), lambda x: coalesce(x[1], '') || coalesce(x[2], '')), '') as t) from s{{at}}")
+
+    then("stage_kana", "stage_join_brackets", "stage_join_lines", "stage_comments")
+    hide_in("挿絵", _NOTE)
+    hide_in("ＵＲＬ", n.URL)
+    then("stage_site_tags", "stage_roman")
+    hide_in("英文", _RUN, _SENTENCE)
+    then("stage_latin", "stage_symbols")
+    hide_in("章見出し", _HEADING_SQL, shown="'　　　［＃ゴシック体］' || ltrim(h, ' 　' || chr(9)) || '［＃ゴシック体終わり］'")
+    then("stage_decimal")
+    hide_in("漢数字", n.KANJI_NUMBER)
+    hide_in("半角数字", n.NUMBER)
+    then("stage_kanji_digits", "stage_reconvert", "stage_kanji_units")
+    put_back("漢数字")
+    then("stage_mark_space", "stage_ellipses", "stage_mark_font", "stage_readings", "stage_indent", "stage_half_indent", "stage_pack_blank")
+    for kind in ("ＵＲＬ", "挿絵", "英文", "半角数字", "章見出し"):
+        put_back(kind)
+    made = ", ".join(f"s{i} as ({x.replace('{at}', str(i - 1))})" for i, x in enumerate(steps))
+    return f"with {made} select doc_id, t as normalized from s{len(steps) - 1}"
+
+
+@query(_chain_sql())
 def full_pipeline(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(SAMPLE)).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(SPANS)).alias("text"))
     return normalize_all(docs).select("doc_id", "normalized")
 
 
+_IMAGES_SQL = "case when doc_id % 3 = 0 then '［＃挿絵（' || doc_id || '.png）入る］' else '' end"
+
+
+@query(f"select doc_id, replace(text, '［', '') || 'a' || {_IMAGES_SQL} || '［＃挿絵（b.png）入る］' || {_IMAGES_SQL} as linked from documents")
+def illustrations_linked(spark, sf_dir):
+    """Documents with notes of an image that a third of them have stored, of a stored file, and of an image that isn't there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    url = F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string"))
+    note = F.concat(F.lit("［＃挿絵（"), url, F.lit("）入る］"))
+    texts = docs.select("doc_id", F.concat(F.replace("text", F.lit("［"), F.lit("")), F.lit("a"), note, F.lit("［＃挿絵（b.png）入る］［＃挿絵（http://none/）入る］"), note).alias("linked"))
+    images = docs.where("doc_id % 3 = 0").select(url.alias("url"), F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("filename"))
+    return illustrations.link(texts, images, "doc_id", "linked")
+
+
 @query(
-    """select doc_id, '［＃ここから前書き］' || chr(10) || '　Ａ' || chr(10) || '［＃ここで前書き終わり］' as introduction,
-      '第［＃縦中横］12［＃縦中横終わり］章（３）' as chapter_name from documents"""
+    f"""select doc_id, '［＃ここから前書き］' || chr(10) || case when i = '' then '' else '　' end || translate(i, {lit(_LATIN)}, {lit(_WIDE_LATIN)}) || chr(10) || '［＃ここで前書き終わり］' as introduction,
+      '第［＃縦中横］12［＃縦中横終わり］章（' || case when length(c) = 2 then '［＃縦中横］' || c || '［＃縦中横終わり］' else translate(c, '{_D}', '{_W}') end || '）' as chapter_name
+    from (select doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g')[1:5] as i, length(text)::varchar as c from documents)"""
 )
 def text_kinds(spark, sf_dir):
     """Kinds of short texts: an introduction between markers, a chapter's name."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("A").alias("i"), F.lit("第12章(3)").alias("c"))
+    n_chars = F.length("text").cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 5).alias("i"), F.concat(F.lit("第12章("), n_chars, F.lit(")")).alias("c"))
     done = normalize_all(normalize_all(docs, "i", "introduction", out_col="introduction"), "c", "chapter", out_col="chapter_name")
     return done.select("doc_id", "introduction", "chapter_name")

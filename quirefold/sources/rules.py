@@ -120,6 +120,20 @@ def match(text: Column, patterns: list[Rule]) -> Column:
     return F.struct(*out)
 
 
+def multi_match(text: Column, site: SiteRules, keys: list[str], known: dict[str, str] | None = None) -> Column:
+    """A struct of the named groups of several rules, each a pattern or a list of patterns: of every rule its first pattern
+    that the text has; a later rule's groups replace those of the same name. Null where no rule with the group matched."""
+    found: dict[str, Column] = {}
+    for key in keys:
+        value = site.resolve(key, known)
+        patterns = [Rule("(?s)" + SiteRules({**site.values, key: v}).resolve(key, known)) for v in (value if isinstance(value, list) else [value]) if isinstance(v, str)]
+        names = dict.fromkeys(n for p in patterns if _compiles(p) for n in p.groups)
+        if names:
+            groups = match(text, patterns)
+            found |= {n: F.coalesce(groups[n], found[n]) if n in found else groups[n] for n in names}
+    return F.struct(*[c.alias(n) for n, c in found.items()]) if found else F.lit(None).cast("struct<>")
+
+
 def _compiles(pattern: str) -> bool:
     """A rule that isn't a pattern is skipped."""
     try:

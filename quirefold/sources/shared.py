@@ -1,4 +1,4 @@
-"""Where driver and executors meet: the folder of spark.checkpoint.dir, and frames written there."""
+"""Where driver and executors meet: the folder of spark.checkpoint.dir, frames written there, small tables on all cores."""
 
 from __future__ import annotations
 
@@ -25,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it has no more splits than these: a file of one row group would else be one task's work.
+    Larger tables have splits for all cores and stay as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

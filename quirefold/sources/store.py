@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.sources.shared import cut
+
 SECTIONS = T.StructType(
     [T.StructField("work_id", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in ("index", "href", "chapter", "subtitle", "file_subtitle", "subdate", "subupdate")]
@@ -50,6 +52,22 @@ def write_sections(sections: DataFrame, path: str, mode: str = "append") -> None
     sections.select(SECTIONS.names).write.mode(mode).json(path)
 
 
+def write_contents(tables: DataFrame, path: str) -> None:
+    """Tables of contents as Parquet; those of works that are in `tables` replace what was stored, the others stay."""
+    spark = tables.sparkSession
+    stored = read_or_empty(spark, path, tables.schema)
+    kept = stored.join(tables.select("work_id").distinct(), "work_id", "left_anti")
+    cut(kept.select(tables.columns).unionByName(tables)).write.mode("overwrite").parquet(path)
+
+
+def write_raw(pages: DataFrame, path: str) -> None:
+    """Raw pages (work_id, index, file_subtitle, html) as Parquet rows of work_id, path and html: many small pages a file.
+    Names that would leave their folder are an error."""
+    name = raw_name(F.col("index"), F.coalesce("file_subtitle", F.lit("")))
+    checked = F.when(inside(name), name).otherwise(F.raise_error(F.concat(F.lit("leaves its folder: "), name)))
+    pages.select("work_id", checked.alias("path"), "html").write.mode("append").parquet(path)
+
+
 def raw_name(index: Column, subtitle: Column) -> Column:
     return F.concat(F.lit("raw/"), index, F.lit(" "), subtitle, F.lit(".html"))
 

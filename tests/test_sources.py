@@ -3,9 +3,10 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import functions as F
 
 from quirefold.functions import html, strings
-from quirefold.operators import assemble, catalog, diff
+from quirefold.operators import assemble, catalog, diff, illustrations, toc
 from quirefold.plans.books import books
 from quirefold.sources import rules, settings, store
+from quirefold.sources.shared import spread
 from quirefold.streaming.snapshots import follow
 
 
@@ -123,3 +124,52 @@ def test_books(spark):
     assert 'href="Text/titlepage.xhtml">空' in made[2].read("OEBPS/toc.xhtml").decode()
     images = spark.createDataFrame([(1, 1, "a.png", None), (1, 2, "a.png", bytearray(b"x")), (1, 3, "a.png", bytearray(b"y"))], "work_id long, idx long, filename string, data binary")
     assert [(r.idx, bytes(r.data)) for r in assemble.first_images(images).collect()] == [(2, b"x")]
+
+
+def test_multi_match(spark):
+    site = rules.SiteRules({"top": "x", "a": [r"(bad", r"(?<p>q)", r"(?<p>\d)(?<q>z)?"], "b": r"(?<q>[x-z])\\k<top>", "c": "none"})
+    df = spark.createDataFrame([("1zyx",), ("5",), ("zx",), ("",), (None,)], "t string")
+    got = [tuple(r.m) for r in df.select(rules.multi_match(F.col("t"), site, ["a", "missing", "b", "c"]).alias("m")).collect()]
+    assert got == [("1", "y"), ("5", ""), (None, "z"), (None, None), (None, None)]
+
+
+def test_stored_contents_and_raw_pages(spark, tmp_path):
+    path, raw = str(tmp_path / "toc"), str(tmp_path / "raw")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "work_id long, title string")
+    store.write_contents(first, path)
+    store.write_contents(spark.createDataFrame([(2, "c"), (3, "d")], first.schema), path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    pages = spark.createDataFrame([(1, "1", "始め", "<p>"), (1, "2", None, None)], "work_id long, index string, file_subtitle string, html string")
+    store.write_raw(pages, raw)
+    assert {r.path for r in spark.read.parquet(raw).collect()} == {"raw/1 始め.html", "raw/2 .html"}
+    with pytest.raises(Exception, match="leaves its folder"):
+        store.write_raw(pages.withColumn("index", F.lit("../../x")), raw)
+
+
+def test_linked_illustrations(spark):
+    note = "［＃挿絵（{}）入る］".format
+    rows = [(1, note("http://a") + "x" + note("http://b") + note("c.png")), (1, note("http://b")), (2, None), (None, note("http://a")), (3, ""), (4, "p<i1|2>\nq<i3|4>")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    images = spark.createDataFrame([("http://a", "a2.png"), ("http://a", "a1.png"), ("http://b", None), ("http://2.x/i1/", "i1.jpg")], "url string, filename string")
+    got = [r.text for r in illustrations.link(texts, images, "id", "text", "http://{0}.x/{1}/").orderBy(F.col("id").asc_nulls_first(), F.length("text").desc()).collect()]
+    assert got == ["", note("a1.png") + "x" + note("c.png"), "", None, "", "p" + note("i1.jpg") + "q"]
+    assert illustrations.link(texts.limit(0), images, "id", "text").count() == 0
+
+
+def test_contents_without_information(spark):
+    site = rules.builtin()[0]
+    info = "title string, writer string, story string, end boolean, novel_type int, general_firstup timestamp_ntz, novelupdated_at timestamp_ntz, general_lastup timestamp_ntz"
+    works = spark.createDataFrame([(1, "u", ("", "w", "", False, 1, None, None, None)), (2, "u", None), (3, "u", ("t", "w", "s", True, 1, None, None, None))], f"work_id long, toc_url string, info struct<{info.replace(' string', ':string').replace(' boolean', ':boolean').replace(' int', ':int').replace(' timestamp', ':timestamp')}>")
+    pages = spark.createDataFrame([(1, 1, "<h1>page &amp; title</h1>")], "work_id long, page_no int, html string")
+    assert [r.work_id for r in toc.tables_of_contents(works, pages, site).collect()] == [3]
+    titled = rules.SiteRules({**site.values, "title": "<h1>(?<title>.+?)</h1>", "story": "<h2>(?<story>.+?)</h2>"})
+    got = {r.work_id: r for r in toc.tables_of_contents(works, pages, titled).collect()}
+    assert set(got) == {1, 3} and (got[1].title, got[1].author, got[1].story, got[1].subtitles) == ("page & title", "", "", [])
+    assert (got[3].title, got[3].end, got[3].subtitles) == ("t", True, [])
+
+
+def test_spread(spark):
+    small = spark.range(100).coalesce(1)
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(100).repartition(50)
+    assert spread(wide) is wide
