@@ -2,7 +2,7 @@
 
 Writing: each page becomes one record of WARC/1.1. Of pages with equal payloads of at least REVISIT bytes, that with the
 largest id is a response and the others revisit it. Each task sorts its pages by URL key, time and id and writes them as
-text files of at most FILE_RECORDS records: a record ends in CR LF CR LF, the last LF being the line end of Spark's text
+text files, bounded by records and bytes (CLASSES): a record ends in CR LF CR LF, the last LF being the line end of Spark's text
 writer, so archives are written wherever Spark can write and a lost task's files are written again.
 
 Index: each archive file is a run of captures in order. Ranges of (URL key, time, id) are dealt to tasks; a task merges
@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import cut
 
 REVISIT = 1000
-FILE_RECORDS = 1000
+#: Largest payload in bytes, and records a file, by class of size: no file has more than 256 MB and a header a record, but
+#: for those of a single record.
+CLASSES = ((1 << 18, 1000), (1 << 22, 64), (None, 1))
+#: Index rows in a range of the merge, about: what a task holds.
+RANGE_ROWS = 200_000
 #: Digests of repeated payloads that are broadcast at most; beyond, Spark joins as it sees fit.
 BROADCAST = 200_000
 EOL = "\r\n"
@@ -91,11 +95,21 @@ def record() -> Column:
     return F.concat(head, F.lit(EOL), block, F.lit("\r\n\r"))
 
 
+def _size_class(payload_bytes: Column) -> Column:
+    """The first of CLASSES that the payload fits into."""
+    bounds = [limit for limit, _ in CLASSES if limit is not None]
+    return sum((F.when(payload_bytes > b, 1).otherwise(0) for b in bounds), F.lit(0))
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+    """Archives of pages, each sorted by URL key and time; files are bounded by records and, through CLASSES, by bytes."""
     rows = plan_records(pages, id_col, url_col, payload_col)
     rows = rows.withColumn("captured", captured_at(F.col("page_id"))).withColumn("url_key", url_key(F.col("url")))
-    rows = rows.sortWithinPartitions("url_key", "captured", "page_id")
-    rows.select(record().alias("value")).write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    sizes = F.octet_length(F.coalesce(payload_col, F.lit("")).cast("string"))
+    found = {r[0] for r in pages.select(_size_class(sizes)).distinct().collect()}  # at most as many as classes
+    for n in sorted(found | {0}):
+        run = rows.where(_size_class(F.col("payload_bytes")) == n).sortWithinPartitions("url_key", "captured", "page_id")
+        run.select(record().alias("value")).write.mode("append" if n else "overwrite").option("maxRecordsPerFile", CLASSES[n][1]).text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -205,7 +219,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged_index(records: DataFrame) -> DataFrame:
-    """records with url_key, part and seq: all captures, in order of URL key, time and id by (part, seq)."""
+    """records with url_key, part and seq: all captures, in order of URL key, time and id by (part, seq). There are as many
+    ranges as keep each to about RANGE_ROWS rows of the index, so a task's memory doesn't grow with the table."""
     rows = cut(records.withColumn("url_key", url_key(F.col("url"))))  # read twice: for the ranges' bounds, too
-    ranges = rows.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("run", "run_seq")
+    n = max(records.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    ranges = rows.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("run", "run_seq")
     return ranges.mapInArrow(_merge, READ_SCHEMA + ", url_key string, part int, seq long")

@@ -38,6 +38,22 @@ def test_round_trip(spark, tmp_path):
     assert len({r.run for r in index}) > 1
 
 
+def test_files_by_bytes_and_ranges_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", ((999, 50), (1200, 3), (None, 1)))
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    rows = pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "a"))
+    sizes = [len(list(warc.parse(p.read_bytes()))) for p in (tmp_path / "a").glob("part-*")]
+    largest = [max((len(r["payload"]) for r in warc.parse(p.read_bytes())), default=0) for p in (tmp_path / "a").glob("part-*")]
+    assert all(n <= (50 if m <= 999 else 3 if m <= 1200 else 1) for n, m in zip(sizes, largest))
+    index = warc.merged_index(warc.read_archives(spark, str(tmp_path / "a"))).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in index), key=str) == brute(rows)
+    assert len({r.part for r in index}) > 20
+    order = [(r.url_key, r.captured, -(1 << 63) if r.page_id is None else r.page_id) for r in sorted(index, key=lambda r: (r.part, r.seq))]
+    assert order == sorted(order)
+
+
 def test_empty(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
     assert warc.merged_index(warc.read_archives(spark, str(tmp_path / "a"))).count() == 0
