@@ -8,7 +8,7 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, langid, minhash, packing, piece_codec, sharding, spotsigs, topk, toxicity, warc
+from quirefold.llm import chat, impact_index, langid, minhash, packing, pii, piece_codec, runs, sharding, spotsigs, topk, toxicity, warc
 from quirefold.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,52 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(docs, near=packing.near_clusters(docs))
 
 
+@query
+def op11_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query
+def op12_disclosed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def said(spans) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    base = [k for k in pii.KINDS if k != "term"]
+    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, hex_of(said(F.filter("spans", lambda s: s.kind != "term"))).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@query
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("-1000 * longest.length div longest.period").alias("exponent_milli"),
+        hex_of(F.array_join(lines, "")).alias("runs_sha256"),
+        hex_of(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the texts, by a hash of the id, all words from one on repeat a stretch of words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    rows = rows.withColumn("a", F.expr("g % nullif(size(words), 0)"))
+    rows = rows.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, get(words, cast(a + (i - a) % p as int)))), ' ')")
+    return rows.select("doc_id", F.when(F.size("words") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
 @query
 def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.perspectives(table(spark, sf_dir, "conversations"))
@@ -154,3 +200,50 @@ with v as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+
+SQL["op11_impact_index"] = f"""
+with d as (select row_number() over () as row, doc_id, {_TERMS} as terms from documents
+), said as (select row, doc_id, len(terms) as n, unnest(terms) as term from d
+), tf as (select row, any_value(doc_id) as doc_id, any_value(n) as n, term, count(*) as tf from said group by row, term
+), totals as (select count(*) filter (len(terms) > 0)::bigint as docs, sum(len(terms))::bigint as terms from d
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, totals group by term, docs
+), asked as (select distinct item_id, unnest({_TERMS}) as term from benchmark
+), scored as (
+  select item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::bigint as score
+  from asked join weights using (term) join tf using (term), totals group by item_id, row, doc_id
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0
+)
+select * from ranked where rank <= 50
+"""
+
+#: The CRC-32 of the digits of an id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(str_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda c, b:
+  list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+SQL["op13_harmonic_runs"] = f"""
+with d as (
+  select row_number() over () as row, doc_id, coalesce({_CRC}, 1) as h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), a as (select *, len(words) as n, h // 10 as g, case when h % 10 = 0 and len(words) > 0 then (h // 10) % len(words) end as a from d
+), p as (select *, 1 + (n - a) // (3 + g % 8) as p from a
+), w as (
+  select row, n, unnest(range(n)) as i, unnest(case when a is null then words else list_transform(range(n), lambda i: words[1 + case when i < a then i else a + (i - a) % p end]) end) as word from p
+), same as (
+  select x.row, x.i, y.i - x.i as q from w x join w y on x.row = y.row and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+), islands as (select *, i - row_number() over (partition by row, q order by i) as island from same
+), stretches as (select row, q, min(i) as start, count(*) + q as length from islands group by row, q, island
+), r as (select row, start, length, min(q) as period from stretches where length >= greatest(6, 4 * q) group by row, start, length
+), summed as (
+  select row, count(*) as n_runs, max((length, -start, -period)) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from r group by row
+), kept as (
+  select row, string_agg(word, ' ' order by i) as collapsed from w
+  where not exists (select 1 from r where r.row = w.row and w.i >= r.start + r.period and w.i < r.start + r.length) group by row
+)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, (-best[2])::bigint as start, best[1]::bigint as length, (-best[3])::bigint as period,
+       (1000 * best[1] // -best[3])::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from d left join summed using (row) left join kept using (row)
+"""
