@@ -118,8 +118,10 @@ def op12_disclosed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     def said(spans) -> F.Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
-    base = [k for k in pii.KINDS if k != "term"]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in base]
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS if k != "term"]
     return found.select("doc_id", *counts, hex_of(said(F.filter("spans", lambda s: s.kind != "term"))).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
