@@ -1,9 +1,10 @@
 import random
 import re
 from collections import defaultdict
+from hashlib import sha256
 from math import log2
 
-from quirefold.llm import pii
+from quirefold.llm import pii, queries
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -83,3 +84,17 @@ def test_around():
     long = "x" * 500 + " near 1.2.3.4 near " + "y" * 500
     (start, _, end), = pii.base_spans(long)
     assert pii.around(pii.masked(long, [(start, 1, end)]), start, end) == ["near"]
+
+
+def test_query(spark):
+    data = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in queries.op12_disclosed_terms(spark, data).collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for doc_id, text in docs:
+        r, spans = rows[doc_id], plain(text or "")
+        said = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in spans) for i in range(4)]
+        assert r.base_sha256 == sha256(said.encode()).hexdigest()
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("term")) == said
+    assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows.values()) > 5
