@@ -19,7 +19,7 @@ PAGE_BREAK, SEPARATOR, HALF = "［＃改ページ］", "［＃区切り線］",
 #: Paired notes and their elements.
 SPANS = (("ゴシック体", "<b>", "</b>"), ("縦中横", '<span class="tcy">', "</span>"), ("濁点", '<span class="dakuten">', "</span>"))
 SESAME = ('<em class="sesame">', "</em>")
-KANJI = r"一-鿿㐀-䶿豈-﫿仝々〆〇ヶ"
+KANJI = r"\u4E00-\u9FFF\u3400-\u4DBF\uF900-\uFAFF\u4EDD\u3005\u3006\u3007\u30F6"
 PICTURE = r"(?U)^[\s　]*［＃挿絵（(.+?)）入る］\s*$"
 # -------------------------------------------------------------------------------------------------------------------
 

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions.patterns import java_rule
 from quirefold.functions.strings import replace_all
 from quirefold.functions.tokens import rewrite
 
@@ -27,7 +28,7 @@ SYMBOLS_FROM = "-=+/*'\"\\%$#&!?<>＜＞()|‐,._;:[]"
 SYMBOLS_TO = "－＝＋／＊‘”￥％＄＃＆！？〈〉〈〉（）｜－，．＿；：［］"
 ROMAN = dict(zip("II III IV VI VII VIII IX ii iii iv vi vii viii ix".split(), "ⅡⅢⅣⅥⅦⅧⅨⅱⅲⅳⅵⅶⅷⅸ"))
 #: What no space is put before after ! and ?.
-CLOSING = r"」］\]』】〉》〕＞>≫)）\"'〟　☆★♪\[［―"
+CLOSING = r"」］\]』】〉》〕＞>≫)）\"'〟　☆★♪［―"
 RUBY_BASE = "一-龠Ａ-Ｚａ-ｚA-Za-z"
 READING = "ぁ-んァ-ヶーゝゞ・Ａ-Ｚａ-ｚA-Za-z 　"
 ILLUSTRATION = "(?d)［＃挿絵（.+?）入る］"
@@ -46,29 +47,16 @@ _TOP, _BOTTOM, _NUM = r"[－―<＜〈\-]", r"[－―>＞〉\-]", f"[0-9０-９{
 HEADING = rf"(?md)^[ 　\t]*(?:{_TOP}+{_NUM}{_BOTTOM}*|{_TOP}*{_NUM}{_BOTTOM}+)$"
 
 
-def user_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Replacement rules in order; a pattern that isn't one is taken literally."""
+def user_rules(text: Column, rules: list[tuple[str, str]] | Column) -> Column:
+    """Replacement rules in order; a rule that isn't one is taken literally (see patterns). A column holds an array of structs
+    (pattern, replacement) that patterns.java_rule has made."""
+    if isinstance(rules, Column):
+        return F.aggregate(rules, text, lambda done, rule: F.regexp_replace(done, rule.pattern, rule.replacement))
     for pattern, replacement in rules:
-        try:
-            re.compile(pattern)
-        except re.error:
-            text = F.replace(text, F.lit(pattern), F.lit(replacement))
-        else:
-            text = F.regexp_replace(text, pattern.replace("(?P<", "(?<"), java_replacement(replacement))
+        text = F.regexp_replace(text, *map(F.lit, java_rule(pattern, replacement)))
     return text
 
 
-def java_replacement(replacement: str) -> str:
-    r"""\1 and \g<name> as $1 and ${name}; all else literally."""
-    out, at = "", 0
-    for m in re.finditer(r"\\(\d{1,2})|\\g<(\w+)>|\\n|\\t|\\\\", replacement):
-        out += replacement[at : m.start()].replace("\\", "\\\\").replace("$", r"\$")
-        name = m[1] or m[2]
-        out += (f"${name}" if name.isdigit() else f"${{{name}}}") if name else {r"\n": "\n", r"\t": "\t"}.get(m[0], r"\\")
-        at = m.end()
-    return out + replacement[at:].replace("\\", "\\\\").replace("$", r"\$")
-
-
 def full_kana(text: Column) -> Column:
     """Stage 1: half-width kana full-width, marks joined to their kana, em dashes made bars."""
     wide = F.translate(text, HALF_KANA, FULL_KANA)
