@@ -143,7 +143,7 @@ def digits_by_letters(text: Column) -> Column:
     return rewrite(rewrite(text, f"[Ａ-Ｚａ-ｚ]{run}", wide), f"{run}[Ａ-Ｚａ-ｚ{UNIT_SIGNS}]", wide)
 
 
-def kanji_units(text: Column, least_zeros: int) -> Column:
+def kanji_units(text: Column, least_zeros: int | Column) -> Column:
     """Stage 13: numbers with so many 〇 or more get 万, 億, 兆, 京; the lowest four digits stay positional. Numbers of
     more than twenty digits stay as they are."""
     kanji = lambda d: F.translate(d, DIGITS, KANJI_DIGITS)
@@ -173,11 +173,12 @@ def space_after_marks(text: Column) -> Column:
     return F.regexp_replace(spaced, "([!?！？]+) ", "$1　")
 
 
-def ellipses(text: Column, middle_dots: bool = True) -> Column:
+def ellipses(text: Column, middle_dots: bool | Column = True) -> Column:
     """Stage 16: three or more ・ become … for each three begun; 。。。, ．．． and ── too."""
-    if middle_dots:
+    if isinstance(middle_dots, Column) or middle_dots:
         dots = F.regexp_replace(text, "・{3}", "\ue030")
-        text = F.replace(F.regexp_replace(dots, "\ue030・{1,2}", "\ue030\ue030"), F.lit("\ue030"), F.lit("…"))
+        dots = F.replace(F.regexp_replace(dots, "\ue030・{1,2}", "\ue030\ue030"), F.lit("\ue030"), F.lit("…"))
+        text = F.when(middle_dots, dots).otherwise(text) if isinstance(middle_dots, Column) else dots
     return replace_all(text, (("。。。", "…"), ("．．．", "…"), ("──", "――")))
 
 
@@ -187,16 +188,21 @@ def fractions(text: Column) -> Column:
     return F.regexp_replace(text, f"({digit}+)／({digit}+)", "$2分の$1")
 
 
-def dates(text: Column, form: str = "%Y年%m月%d日") -> Column:
-    """Stage 17: 20yy／m／d in a strftime form; days that don't exist stay."""
+def java_date_form(form: str) -> str:
+    """A strftime form as Java's."""
     names = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%-m": "M", "%d": "dd", "%-d": "d", "%j": "DDD", "%H": "HH", "%M": "mm", "%S": "ss", "%%": "'%'"}
     parts = re.split(r"(%-?.)", form)
-    java = "".join(names.get(p, "") if i % 2 else ("'" + p.replace("'", "''") + "'" if p else "") for i, p in enumerate(parts))
+    return "".join(names.get(p, "") if i % 2 else ("'" + p.replace("'", "''") + "'" if p else "") for i, p in enumerate(parts))
+
+
+def dates(text: Column, form: str | Column = "%Y年%m月%d日") -> Column:
+    """Stage 17: 20yy／m／d in a strftime form (a column holds Java's); days that don't exist stay."""
+    java = form if isinstance(form, Column) else F.lit(java_date_form(form))
 
     def change(hit: Column) -> Column:
         plain = F.translate(hit, WIDE_DIGITS + "／", DIGITS + "/")
         day = F.try_to_timestamp(plain, F.lit("yyyy/M/d")).cast("timestamp_ntz")
-        return F.coalesce(F.date_format(day, java), hit)
+        return F.coalesce(F.call_function("date_format", day, java), hit)
 
     return rewrite(text, r"20\p{Nd}{2}／\p{Nd}{1,2}／\p{Nd}{1,2}", change)
 
@@ -237,6 +243,9 @@ def pack_blank_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\n{4,}", "\n\n\n")
 
 
-def page_breaks(text: Column, threshold: int = 10) -> Column:
-    """Stage 24: so many line ends together become the note of a new page."""
-    return F.regexp_replace(text, f"\n{{{threshold},}}", "\n［＃改ページ］\n")
+def page_breaks(text: Column, threshold: int | Column = 10) -> Column:
+    """Stage 24: so many line ends together become the note of a new page. A threshold below 0 fits nowhere."""
+    if isinstance(threshold, Column):
+        least = F.greatest(threshold, F.lit(0)).cast("string")
+        return F.when(threshold < 0, text).otherwise(F.regexp_replace(text, F.concat(F.lit("\n{"), least, F.lit(",}")), F.lit("\n［＃改ページ］\n")))
+    return text if threshold < 0 else F.regexp_replace(text, f"\n{{{threshold},}}", "\n［＃改ページ］\n")

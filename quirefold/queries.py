@@ -18,7 +18,8 @@ from quirefold.functions.tokens import hide, restore, stash
 from quirefold.operators import assemble, catalog, diff, illustrations, toc
 from quirefold.plans.books import books
 from quirefold.plans.normalize import normalize as normalize_all
-from quirefold.sources import rules, store
+from quirefold.plans.normalize import normalize_by_work
+from quirefold.sources import rules, settings, store
 from quirefold.sources.shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,7 +662,7 @@ def _units_sql() -> str:
 
 
 add_stage("stage_kanji_units", lambda t: n.kanji_units(t, 3), _units_sql())
-add_stage("stage_mark_space", n.space_after_marks, sql_sub("t", (f"([!?！？]+)([^!?！？ {n.CLOSING}])", r"\1　\2"), ("([!?！？]+) ", r"\1　")))
+add_stage("stage_mark_space", n.space_after_marks, sql_sub("t", (r"([!?！？]+)([^!?！？ 」］\]』】〉》〕＞>≫)）\"'〟　☆★♪［―])", r"\1　\2"), ("([!?！？]+) ", r"\1　")))
 add_stage("stage_ellipses", n.ellipses, sql_pairs(sql_rewrite("t", "・{3,}", "repeat('…', ((length(x[2]) + 2) // 3)::bigint)"), [("。。。", "…"), ("．．．", "…"), ("──", "――")]))
 add_stage("stage_fractions", n.fractions, sql_sub("t", (f"([{_K}０-９]+)／([{_K}０-９]+)", r"\2分の\1")))
 _PLAIN_DAY = f"translate(x[2], {lit(_W + '／')}, '{_D}/')"
@@ -673,7 +674,12 @@ add_stage("stage_indent", n.indent, sql_sub("t", ("(?m)^[ 　\\t]*(――)", r"
 add_stage("stage_half_indent", n.half_indent, sql_sub("t", ("(?m)^[ 　\\t]*([〔「『(（【〈《≪〝])", r"［＃二分アキ］\1")))
 add_stage("stage_pack_blank", n.pack_blank_lines, sql_sub("t", ("\\n{4,}", "\n\n\n")))
 add_stage("stage_page_break", n.page_breaks, sql_sub("t", ("\\n{10,}", "\n［＃改ページ］\n")))
-add_stage("user_rules", lambda t: n.user_rules(t, [(r"(\w+)ing\b", r"<\1>"), ("[broken", "x"), ("the", "$")]), sql_sub("replace(" + sql_sub("t", (r"([0-9A-Za-z_]+)ing\b", r"<\1>")) + ", '[broken', 'x')", ("the", "$")))
+_RULES = [(r"(\w+)ing\b", r"<\1>"), ("[broken", "x"), (r"(?P<t>th)(?P<r_2>e)(?!\w)", r"\g<r_2>$\g<t>"), ("(?i)ÉE", r"\1"), (r"\d{2,}", r"#\g<0>"), ("é+$", "E")]
+#: The same, word by word; what names a group that isn't there stays literal, and the last rule sees the sample's end alone.
+_ING = sql_rewrite("t", r"[\p{L}\p{N}_]+", "case when ends_with(x[2], 'ing') and length(x[2]) > 3 then '<' || x[2][:-4] || '>' else x[2] end")
+_THE = sql_rewrite("j", r"[\p{L}\p{N}_]+", "case when ends_with(x[2], 'the') then x[2][:-4] || 'e$th' else x[2] end")
+_RULES_SQL = sql_sub(sql_pairs(f"(select {_THE} from (select replace({_ING}, '[broken', 'x') as j))", [("(?i)ÉE", r"\1")]), (r"\p{Nd}{2,}", r"#\0"), ("é+$", "E"))
+add_stage("user_rules", lambda t: n.user_rules(t, _RULES), _RULES_SQL, "\nübing singing the théé [broken ４２ 7 (?i)ÉE ing aing\nééé")
 
 
 def _kept(pattern: str, kind: str, change, shown=None):
@@ -712,7 +718,7 @@ def _inline_sql(e: str) -> str:
         e = sql_pairs(e, [(f"{k}1", a), (f"{k}2", b)])
     e = sql_pairs(e, [(f"{chr(0xE101)}S1", markup.SESAME[0]), (f"{chr(0xE101)}S2", markup.SESAME[1]), (chr(0xE102), "｜")])
     ruby = r"<ruby>\1<rt>\2</rt></ruby>"
-    return sql_sub(e, ("(?-s)｜(.+?)《(.+?)》", ruby), (f"(?-s)([{markup.KANJI}]+)《(.+?)》", ruby), ("(?-s)［＃(.+?)］", '<span class="note" hidden="">[\\1]</span>'))
+    return sql_sub(e, ("(?-s)｜(.+?)《(.+?)》", ruby), (r"(?-s)([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{4EDD}\x{3005}\x{3006}\x{3007}\x{30F6}]+)《(.+?)》", ruby), ("(?-s)［＃(.+?)］", '<span class="note" hidden="">[\\1]</span>'))
 
 
 def _line_sql() -> str:
@@ -734,10 +740,21 @@ add_stage("line_parse", markup.xhtml, f"array_to_string(list_transform(string_sp
 add_stage("line_pictures", lambda t: F.array_join(F.transform(markup.pictures(t), lambda p: p.filename), ","), "'a.png'", ANNOTATED)
 
 
-def _chain_sql() -> str:
+#: Settings of works by the rest of their number by 4, as the files of a work hold them; the last has no files.
+_FILES_BY_WORK = [
+    ("enable_convert_num_to_kanji=false\nenable_auto_indent=false\nenable_transform_fraction=true\nenable_illust=false\nenable_erase_introduction=true", "; rules\n(\\w+)ing\\b\t<\\1>\n[broken\tx\n"),
+    ("[global]\nenable_alphabet_force_zenkaku=TRUE\nenable_ruby=0\nenable_transform_date=true\nenable_convert_page_break=true\nenable_pack_blank_line=false", r"\d{2,}" + "\t" + r"#\g<0>" + "\n"),
+    ("enable_half_indent_bracket=false\nenable_kanji_num_with_units=false\nenable_auto_join_line=false\nenable_auto_join_in_brackets=false\nenable_convert_horizontal_ellipsis=false\nenable_dakuten_font=false\nunknown=1", None),
+]
+_SETTINGS = [settings.load(*(x or "" for x in f)) for f in _FILES_BY_WORK] + [settings.Settings()]
+_RULES_BY_WORK = [f"replace({_ING}, '[broken', 'x')", sql_sub("t", (r"\p{Nd}{2,}", r"#\0")), "t", "t"]
+_FEW_ELLIPSES = sql_pairs("t", [("。。。", "…"), ("．．．", "…"), ("──", "――")])
+
+
+def _chain_sql(s=_SETTINGS[-1], rules: str = "t", where: str = "true") -> str:
     """The stages of a body in order, with what they hide in columns of its own; a step each."""
-    steps = [f"select doc_id, text || {lit(SPANS)} as t from documents"]
-    then = lambda *names: steps.extend(f"select * replace ({STAGE[x]} as t) from s{{at}}" for x in names)
+    steps = [f"select doc_id, text || {lit(SPANS)} as t from documents where {where}", f"select * replace ({rules} as t) from s0"]
+    then = lambda *names: steps.extend(f"select * replace ({STAGE.get(x, x)} as t) from s{{at}}" for x in names)
     token = lambda kind: lit(f"［＃{kind}＝\ue010］")
 
     def hide_in(kind: str, pattern: str, where: str = "true", shown: str = "h") -> None:
@@ -747,20 +764,41 @@ def _chain_sql() -> str:
     def put_back(kind: str) -> None:
         steps.append(f"select * replace (array_to_string(list_transform(list_zip(string_split(t, {token(kind)}), {kind}), lambda x: coalesce(x[1], '') || coalesce(x[2], '')), '') as t) from s{{at}}")
 
-    then("stage_kana", "stage_join_brackets", "stage_join_lines", "stage_comments")
-    hide_in("挿絵", _NOTE)
+    some = lambda *named: then(*(x for on, x in named if on))
+    then("stage_kana")
+    some((s.enable_auto_join_in_brackets, "stage_join_brackets"), (s.enable_auto_join_line, "stage_join_lines"))
+    then("stage_comments")
+    hidden = ["ＵＲＬ"]
+    if s.enable_illust:
+        hide_in("挿絵", _NOTE)
+        hidden.append("挿絵")
+    else:
+        then(sql_sub("t", (_NOTE, "")))
     hide_in("ＵＲＬ", n.URL)
     then("stage_site_tags", "stage_roman")
-    hide_in("英文", _RUN, _SENTENCE)
+    if not s.enable_alphabet_force_zenkaku:
+        hide_in("英文", _RUN, _SENTENCE)
+        hidden.append("英文")
     then("stage_latin", "stage_symbols")
     hide_in("章見出し", _HEADING_SQL, shown="'　　　［＃ゴシック体］' || ltrim(h, ' 　' || chr(9)) || '［＃ゴシック体終わり］'")
     then("stage_decimal")
-    hide_in("漢数字", n.KANJI_NUMBER)
-    hide_in("半角数字", n.NUMBER)
-    then("stage_kanji_digits", "stage_reconvert", "stage_kanji_units")
-    put_back("漢数字")
-    then("stage_mark_space", "stage_ellipses", "stage_mark_font", "stage_readings", "stage_indent", "stage_half_indent", "stage_pack_blank")
-    for kind in ("ＵＲＬ", "挿絵", "英文", "半角数字", "章見出し"):
+    if s.enable_convert_num_to_kanji:
+        hide_in("漢数字", n.KANJI_NUMBER)
+        hide_in("半角数字", n.NUMBER)
+        hidden.append("半角数字")
+        then("stage_kanji_digits")
+    else:
+        then("stage_wide_numbers")
+    then("stage_reconvert")
+    some((s.enable_kanji_num_with_units, "stage_kanji_units"))
+    if s.enable_convert_num_to_kanji:
+        put_back("漢数字")
+    then("stage_mark_space", "stage_ellipses" if s.enable_convert_horizontal_ellipsis else _FEW_ELLIPSES)
+    some(
+        (s.enable_transform_fraction, "stage_fractions"), (s.enable_transform_date, "stage_dates"), (s.enable_dakuten_font, "stage_mark_font"), (s.enable_ruby, "stage_readings"), (s.enable_auto_indent, "stage_indent"),
+        (s.enable_half_indent_bracket, "stage_half_indent"), (s.enable_pack_blank_line, "stage_pack_blank"), (s.enable_convert_page_break, "stage_page_break"),
+    )
+    for kind in (*hidden, "章見出し"):
         put_back(kind)
     made = ", ".join(f"s{i} as ({x.replace('{at}', str(i - 1))})" for i, x in enumerate(steps))
     return f"with {made} select doc_id, t as normalized from s{len(steps) - 1}"
@@ -772,6 +810,15 @@ def full_pipeline(spark, sf_dir):
     return normalize_all(docs).select("doc_id", "normalized")
 
 
+@query(" union all ".join(f"select * from ({_chain_sql(s, r, f'doc_id % 4 = {i}')})" for i, (s, r) in enumerate(zip(_SETTINGS, _RULES_BY_WORK, strict=True))))
+def settings_by_work(spark, sf_dir):
+    """Documents of four works, three of which have settings and rules of their own, normalised in one plan."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(SPANS)).alias("text"), (F.col("doc_id") % 4).alias("work_id"))
+    texts = F.array(*[F.struct(F.lit(a).cast("string").alias("ini"), F.lit(b).cast("string").alias("replacements")) for a, b in _FILES_BY_WORK])
+    files = docs.select("work_id").distinct().select("work_id", F.get(texts, F.col("work_id").cast("int")).alias("f")).where("f is not null").select("work_id", "f.*")
+    return normalize_by_work(docs, settings.by_work(files)).select("doc_id", "normalized")
+
+
 _IMAGES_SQL = "case when doc_id % 3 = 0 then '［＃挿絵（' || doc_id || '.png）入る］' else '' end"
 
 

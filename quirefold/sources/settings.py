@@ -1,11 +1,20 @@
-"""Settings of text normalisation, and the small files they come in (driver side)."""
+"""Settings of text normalisation, and the small files they come in: for one run on the driver, or by work as a table."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quirefold.functions.normalize import java_date_form
+from quirefold.functions.patterns import java_rule
+
 
 @dataclass
 class Settings:
@@ -81,6 +90,54 @@ def load(ini: str = "", replacements: str = "", keep_deletions: bool = False) ->
     return Settings(**known, replace_pattern=parse_replacements(replacements, keep_deletions))
 
 
+_TYPES = {bool: T.BooleanType(), int: T.IntegerType(), str: T.StringType()}
+RULES = T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("replacement", T.StringType())]))
+
+
+def _typed(value: Any, default: Any) -> Any:
+    """A value as its setting has it: truth of anything for flags; a text where a number should be is none."""
+    if isinstance(default, bool):
+        return bool(value)
+    if isinstance(default, int):
+        return None if isinstance(value, str) or abs(value) >= 2**31 else int(value)
+    return str(value)
+
+
+def by_work(files: DataFrame, work_col: str = "work_id", keep_deletions: bool = False) -> DataFrame:
+    """A row of settings for each row of files: a work's key, ini and replacements, the texts of its two files (null: no file).
+
+    Columns are the names of Settings, java_date_format, and rules, ready to be folded over a text. What an INI text doesn't
+    name is null and means the default. Rows aren't gathered: each work's small files are read where they lie.
+    """
+    plain = Settings()
+    kinds = {n: _TYPES[type(getattr(plain, n))] for n in NAMES}
+    schema = T.StructType([files.schema[work_col], *(T.StructField(n, k) for n, k in kinds.items()), T.StructField("java_date_format", T.StringType()), T.StructField("rules", RULES)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for work, ini, replacements in zip(frame[work_col], frame["ini"], frame["replacements"], strict=True):
+                found = parse_ini(ini or "")
+                values = [_typed(found[n], getattr(plain, n)) if n in found else None for n in NAMES]
+                form = found.get("date_format")
+                rules = [java_rule(*r) for r in parse_replacements(replacements or "", keep_deletions)]
+                rows.append([work, *values, None if form is None else java_date_form(str(form)), rules])
+            made = pd.DataFrame(rows, columns=schema.names)
+            yield made.astype({n: "boolean" if isinstance(k, T.BooleanType) else "Int32" for n, k in kinds.items() if not isinstance(k, T.StringType)})
+
+    return files.select(work_col, F.col("ini").cast("string").alias("ini"), F.col("replacements").cast("string").alias("replacements")).mapInPandas(run, schema)
+
+
+def read_by_work(spark: SparkSession, folder: str) -> DataFrame:
+    """(work, ini, replacements) of the folders below a folder, work being the folder's name: setting.ini and replace.txt, as far
+    as they are there. Both are read by Spark, so any store that it reads will do."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{setting.ini,replace.txt}").option("recursiveFileLookup", "true").load(folder)
+    parts = F.split("path", "/")
+    named = files.select(F.element_at(parts, -2).alias("work"), F.element_at(parts, -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("text")))
+    return named.groupBy("work").agg(of("setting.ini").alias("ini"), of("replace.txt").alias("replacements"))
+
+
 class KeyValues:
     """A small store of named values in scopes; `local` values hide `global` ones."""
 
