@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.functions.html import annotated, body_text
 from quirefold.functions.strings import parse_date, pretreat, safe_filename, strip
 from quirefold.sources.rules import SiteRules, chain, match, multi_match
+from quirefold.sources.shared import cut
 
 # Fixed values ------------------------------------------------------------------------------------------------------
 #: Classes of the parts of an episode's page.
@@ -61,17 +62,61 @@ def entries(source: Column, site: SiteRules) -> Column:
 
 def contents(pages: DataFrame, site: SiteRules, work_col: str = "work_id", page_col: str = "page_no", html_col: str = "html") -> DataFrame:
     """One row an episode: the entries of a work's pages of contents, one page after another, up to the first page that
-    has none or has no link to a next one; ordinal is their order."""
+    has none or has no link to a next one; ordinal is their order. Pages are in order here; linked_pages puts them in order."""
     source = pretreat(F.col(html_col))
     following = site.pattern("toc_next_url", {"ncode": r"[^/]+"})
     found = pages.select(work_col, page_col, entries(source, site).alias("entries"), source.rlike(following).alias("more"))
     before = Window.partitionBy(work_col).orderBy(page_col).rowsBetween(Window.unboundedPreceding, -1)
     cont = F.coalesce(F.bool_and(F.col("more") & (F.size("entries") > 0)).over(before), F.lit(True))
-    kept = found.withColumn("go", cont).where("go").withColumn("first", F.coalesce(F.sum(F.size("entries")).over(before), F.lit(0)))
+    return _listed(found.withColumn("go", cont).where("go"), work_col, page_col)
+
+
+def _listed(found: DataFrame, work_col: str, page_col: str) -> DataFrame:
+    """Entries of pages, numbered through a work."""
+    before = Window.partitionBy(work_col).orderBy(page_col).rowsBetween(Window.unboundedPreceding, -1)
+    kept = found.withColumn("first", F.coalesce(F.sum(F.size("entries")).over(before), F.lit(0)))
     rows = kept.select(work_col, "first", F.posexplode("entries").alias("at", "e"))
     return rows.select(work_col, (F.col("first") + F.col("at")).alias("ordinal"), "e.*")
 
 
+def linked_pages(works: DataFrame, pages: DataFrame, site: SiteRules) -> DataFrame:
+    """(work_id, page_no, url, entries) of all pages of contents of works (work_id, toc_url), following the link of each page.
+
+    pages has url and html, in no order, of any number of works: a page is found by its own address (of pages that repeat
+    one, the first by html). A link counts if it has the code that its own page's address has. The first page of a work is
+    that of its toc_url; a chain ends at a page without a link, before one that isn't there or (but for the first) has no
+    entries, and where it comes back to a page that it had.
+
+    Pointers are doubled: after k rounds each page knows the page 2 ** k links on, and each work its first 2 ** k pages, so
+    a chain of n pages takes about log2(n) joins, whatever the number of works.
+    """
+    source = pretreat(F.col("html"))
+    address = site.pattern("url")
+    code = F.when(address.found(F.col("url")), address.group(F.col("url"), "ncode"))
+    link = site.pattern("toc_next_url", {"ncode": F.col("_code")})
+    coded = pages.where("url is not null").groupBy("url").agg(F.min("html").alias("html")).withColumn("_code", code)
+    following = F.when(link.found(source), F.concat(F.lit(site.resolve("top_url")), link.group(source, "toc_next_url")))
+    read = cut(coded.select("url", entries(source, site).alias("entries"), following.alias("next")))
+    known = read.where(F.size("entries") > 0).select(F.col("url").alias("next"))
+    jump = cut(read.where("next is not null").select("url", "next").join(known, "next", "left_semi"))
+    chain = cut(works.where("toc_url is not null").select("work_id", F.col("toc_url").alias("url"), F.lit(0).alias("page_no")).join(read.select("url"), "url", "left_semi").distinct())
+    n, step = chain.count(), 1
+    while n:
+        further = chain.join(jump, "url").select("work_id", F.col("next").alias("url"), (F.col("page_no") + step).alias("page_no"))
+        grown = cut(chain.unionByName(further).groupBy("work_id", "url").agg(F.min("page_no").alias("page_no")))
+        chain, before, n = grown, n, grown.count()
+        if n == before:
+            break
+        jump = cut(jump.join(jump.select(F.col("url").alias("next"), F.col("next").alias("_to")), "next").select("url", F.col("_to").alias("next")))
+        step *= 2
+    return chain.join(read.select("url", "entries"), "url").select("work_id", "page_no", "url", "entries")
+
+
+def linked_contents(works: DataFrame, pages: DataFrame, site: SiteRules) -> DataFrame:
+    """What contents() gives, of pages that are found by their links (see linked_pages)."""
+    return _listed(linked_pages(works, pages, site), "work_id", "page_no")
+
+
 def short_story_entry(title: Column, first_up: Column, updated: Column) -> Column:
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     return F.array(

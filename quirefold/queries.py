@@ -210,6 +210,42 @@ def contents_pages(spark, sf_dir):
     return toc.contents(_contents_pages(spark, sf_dir), rules.builtin()[0]).withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
+_ADDRESS = "https://ncode.syosetu.com/n"
+
+
+@query(
+    _ENTRY_SQL.replace("with ", "with pages as (select conv_id, max(turn) // 2 as last from conversations group by 1), ", 1)
+    + "select entry.* from entry where not (work_id % 5 = 0 and ordinal >= 4)"
+)
+def linked_contents(spark, sf_dir):
+    """Pages without numbers, found by the links between them: of every fifth work the third page is missing, of every
+    seventh the last page links back to the second; other last pages link to another work."""
+    pages = _contents_pages(spark, sf_dir)
+    last = pages.groupBy("work_id").agg(F.max("page_no").alias("last"))
+    own = F.concat(F.lit("/n"), F.col("work_id").cast("string"), F.lit("a/"))
+    page = lambda k: F.concat(F.lit("?p="), k.cast("string"))
+    to = F.when(F.col("page_no") < F.col("last"), F.concat(own, page(F.col("page_no") + 2))).when((F.col("work_id") % 7 == 0) & (F.col("last") > 0), F.concat(own, page(F.lit(2)))).otherwise(F.concat(F.lit("/n"), (F.col("work_id") + 1).cast("string"), F.lit("a/?p=2")))
+    link = F.concat(F.lit('<a href="'), to, F.lit('" class="c-pager__item c-pager__item--next">'))
+    url = F.concat(F.lit("https://ncode.syosetu.com"), own, F.when(F.col("page_no") > 0, page(F.col("page_no") + 1)).otherwise(""))
+    linked = pages.join(last, "work_id").where("not (work_id % 5 = 0 and page_no = 2)").select(url.alias("url"), F.concat(F.regexp_replace("html", "<a [^>]*c-pager[^>]*>", ""), link).alias("html"))
+    works = last.select("work_id", F.concat(F.lit("https://ncode.syosetu.com"), own).alias("toc_url"))
+    return toc.linked_contents(works, linked, rules.builtin()[0]).withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+@query(
+    r"""select conv_id, turn, role as speaker, regexp_extract(body, '(?s)' || role || ': *([a-z]+)', 1) as said,
+      coalesce(nullif(regexp_extract(body, 'turn\[' || turn || '\]=(\w+)', 1), ''), 'none') as mark
+    from (select conv_id, turn, role, 'by ' || role || ' in turn[' || turn || ']; x: no ' || role || ': ' || lower(text) || ' turn[' || (turn // 2 * 3) || ']=m' || turn as body from conversations)"""
+)
+def patterns_by_row(spark, sf_dir):
+    """Rules that refer to what earlier rules found in the same text: a speaker's name, and a place with brackets in it."""
+    site = rules.SiteRules({"who": r"by (?<speaker>\w+) in (?<place>turn\[\d+\])", "said": r"\\k<speaker>: *(?<said>[a-z]+)", "mark": [r"\\k<nothing>(?<mark>x)", r"\\k<place>=(?<mark>\w+)"]})
+    number = F.col("turn").cast("string")
+    text = F.concat(F.lit("by "), "role", F.lit(" in turn["), number, F.lit("]; x: no "), "role", F.lit(": "), F.lower("text"), F.lit(" turn["), (F.floor(F.col("turn") / 2) * 3).cast("string"), F.lit("]=m"), number)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.multi_match(text, site, ["who", "said", "mark"]).alias("f"))
+    return rows.select("conv_id", "turn", "f.speaker", F.coalesce("f.said", F.lit("")).alias("said"), F.coalesce("f.mark", F.lit("none")).alias("mark"))
+
+
 @query(
     _ENTRY_SQL
     + """select work_id, case work_id % 4 when 0 then '題' when 1 then '短' else 'T' end as title, case when work_id % 4 < 2 then '著者' else '' end as author,

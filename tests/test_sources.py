@@ -27,7 +27,8 @@ def test_settings():
 def test_rules(tmp_path):
     site = rules.builtin()[0]
     assert site.resolve("toc_url", {"ncode": "n1a"}) == "https://ncode.syosetu.com/n1a/"
-    assert site.resolve("toc_url", {"ncode": ""}) == "https://ncode.syosetu.com/\\\\k<ncode>/"
+    assert site.resolve("toc_url", {"ncode": ""}) == "https://ncode.syosetu.com//"
+    assert site.resolve("toc_url") == "https://ncode.syosetu.com/\\\\k<ncode>/"
     assert site.resolve("novel_type_string")["短編"] == 2
     assert site.pattern("subtitles").groups == {"chapter": 1, "href": 2, "index": 3, "subtitle": 4, "subdate": 5, "subupdate": 6}
     (tmp_path / "b.json").write_text('{"name": "b"}')
