@@ -12,9 +12,10 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.functions.strings import cover_start, media_type, wrap, xml_escape
 
@@ -57,6 +58,8 @@ CONTAINER = HEAD + (
     '    <rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/>\n  </rootfiles>\n</container>'
 )
 MIMETYPE = "application/epub+zip"
+#: When a work was changed that has no date.
+UNDATED = "1970-01-01T00:00:00Z"
 # -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -100,7 +103,7 @@ def chapters(sections: DataFrame, work: str = "work_id", order: str = "idx") ->
 
 def section_pages(sections: DataFrame) -> DataFrame:
     """(work_id, path, content) of each section."""
-    page = fill(SECTION, title=xml_escape(F.col("title")), body=F.col("body"))
+    page = fill(SECTION, title=xml_escape(F.coalesce("title", F.lit(""))), body=F.coalesce("body", F.lit("")))
     return sections.select("work_id", F.concat(F.lit("OEBPS/Text/"), filename(F.col("idx"))).alias("path"), page.alias("content"))
 
 
@@ -109,7 +112,7 @@ def _toc_line() -> Column:
     close = F.when(F.col("starts") & F.col("was_in"), "      </ol>\n      </li>\n").otherwise("")
     start = F.when(F.col("starts"), F.concat(F.lit("      <li><span>"), xml_escape(F.col("in_chapter")), F.lit("</span>\n      <ol>\n"))).otherwise("")
     indent = F.when(F.col("in_chapter").isNotNull(), "        ").otherwise("      ")
-    return F.concat(close, start, indent, F.lit('<li><a href="Text/'), filename(F.col("idx")), F.lit('">'), xml_escape(F.col("title")), F.lit("</a></li>\n"))
+    return F.concat(close, start, indent, F.lit('<li><a href="Text/'), filename(F.col("idx")), F.lit('">'), xml_escape(F.coalesce("title", F.lit(""))), F.lit("</a></li>\n"))
 
 
 def outlines(sections: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def outlines(sections: DataFrame) -> DataFrame:
     by = Window.partitionBy("work_id").orderBy("idx")
     lines = chapters(sections).withColumn("was_in", F.lag("in_chapter").over(by).isNotNull())
     order = F.row_number().over(by).cast("string")
-    point = F.concat(F.lit('    <navPoint id="navPoint-'), order, F.lit('" playOrder="'), order, F.lit('">\n      <navLabel><text>'), xml_escape(F.col("title")), F.lit('</text></navLabel>\n      <content src="Text/'), filename(F.col("idx")), F.lit('"/>\n    </navPoint>\n'))
+    point = F.concat(F.lit('    <navPoint id="navPoint-'), order, F.lit('" playOrder="'), order, F.lit('">\n      <navLabel><text>'), xml_escape(F.coalesce("title", F.lit(""))), F.lit('</text></navLabel>\n      <content src="Text/'), filename(F.col("idx")), F.lit('"/>\n    </navPoint>\n'))
     name = F.regexp_replace(filename(F.col("idx")), r"\.xhtml$", "")
     item = F.concat(F.lit('\n    <item id="'), name, F.lit('" href="Text/'), name, F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
     ref = F.concat(F.lit('\n    <itemref idref="'), name, F.lit('"/>'))
@@ -135,11 +138,12 @@ def package_files(works: DataFrame, sections: DataFrame, images: DataFrame | Non
         kinds = F.concat(F.lit('" href="Images/'), xml_escape(F.col("filename")), F.lit('" media-type="'), media_type(F.col("filename")), F.lit('"/>'))
         of = images.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("idx", kinds.alias("rest")))).alias("pics"))
         shown = shown.join(of, "work_id", "left")
-        pics = F.array_join(F.transform(F.coalesce("pics", F.array().cast("array<struct<idx:bigint,rest:string>>")), lambda p, i: F.concat(F.lit('\n    <item id="img'), i.cast("string"), p.rest)), "")
+        pics = F.array_join(F.transform(F.coalesce("pics", F.array().cast(of.schema["pics"].dataType)), lambda p, i: F.concat(F.lit('\n    <item id="img'), i.cast("string"), p.rest)), "")
     else:
         pics = F.lit("")
     title, author = xml_escape(F.coalesce("title", F.lit(""))), xml_escape(F.coalesce("author", F.lit("")))
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    book_id, modified = F.coalesce("book_id", F.col("work_id").cast("string")), F.coalesce("modified", F.lit(UNDATED))
     source = F.when(part("sitename") == "", "").otherwise(F.concat(F.lit('\n  <p class="source">'), xml_escape(part("sitename")), F.lit("</p>")))
     lines = wrap(F.coalesce("title", F.lit("")), 10)
     spans = F.transform(lines, lambda t, i: F.concat(F.lit('      <tspan x="300" dy="'), F.when(i == 0, "0").otherwise("60"), F.lit('">'), xml_escape(t), F.lit("</tspan>\n")))
@@ -147,9 +151,9 @@ def package_files(works: DataFrame, sections: DataFrame, images: DataFrame | Non
     files = {
         "mimetype": F.lit(MIMETYPE),
         "META-INF/container.xml": F.lit(CONTAINER),
-        "OEBPS/content.opf": fill(OPF, book_id=F.col("book_id"), title=title, author=author, modified=F.col("modified"), items=F.concat(part("items"), pics), refs=part("refs")),
+        "OEBPS/content.opf": fill(OPF, book_id=book_id, title=title, author=author, modified=modified, items=F.concat(part("items"), pics), refs=part("refs")),
         "OEBPS/toc.xhtml": fill(CONTENTS, items=F.when(part("toc") == "", empty).otherwise(part("toc"))),
-        "OEBPS/toc.ncx": fill(NCX, book_id=F.col("book_id"), title=title, points=part("points")),
+        "OEBPS/toc.ncx": fill(NCX, book_id=book_id, title=title, points=part("points")),
         "OEBPS/Text/cover.xhtml": fill(COVER, title=title, author=author, start=cover_start(F.size(lines)).cast("string"), lines=F.array_join(spans, "")),
         "OEBPS/Text/titlepage.xhtml": fill(TITLE_PAGE, title=title, author=author, source=source),
     }
@@ -162,34 +166,58 @@ def first_images(images: DataFrame) -> DataFrame:
     return images.where("data is not null").groupBy("work_id", "filename").agg(F.min_by(F.struct("idx", "data"), "idx").alias("f")).select("work_id", "f.idx", "filename", "f.data")
 
 
-def _zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for work, files in _works(frames):
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for path, content in sorted(files, key=lambda f: (f[0] != "mimetype", f[0])):
-                entry = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
-                entry.compress_type = zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED
-                z.writestr(entry, bytes(content))
-        yield pd.DataFrame({"work_id": [work], "archive": [out.getvalue()]})
-
-
-def _works(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """Works whose rows follow one another, across batches."""
+def _archive(files: list[tuple[str, bytes | None]]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        before = None
+        for path, content in sorted(files, key=lambda f: (f[0] != "mimetype", f[0])):
+            if path == before:
+                raise ValueError(f"two files of one name: {path}")
+            if content is None:
+                raise ValueError(f"a file without content: {path}")
+            entry = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
+            entry.compress_type = zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED
+            z.writestr(entry, content)
+            before = path
+    return out.getvalue()
+
+
+def _works(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Works whose rows follow one another, across batches; a file's bytes are copied when its work comes."""
     work, files = None, []
-    for frame in frames:
-        for w, path, content in zip(frame["work_id"].tolist(), frame["path"], frame["content"]):
+    for batch in batches:
+        for i, w in enumerate(batch.column(0).to_pylist()):
             if files and w != work:
                 yield work, files
                 files = []
             work = w
-            files.append((path, content))
+            files.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
     if files:
         yield work, files
 
 
+def archives_or_errors(files: DataFrame) -> DataFrame:
+    """(work_id, archive, error): the files (path, content as binary) of each work as one archive, the media type first and
+    stored, the others by path; or what kept it from being made. A task builds one work at a time, from batches of rows that
+    Spark sizes."""
+    kind = files.schema["work_id"]
+    schema = T.StructType([kind, T.StructField("archive", T.BinaryType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for work, own in _works(batches):
+            archive = error = None
+            try:
+                archive = _archive(own)
+            except Exception as e:  # whatever one work's files do, the others go on
+                error = f"{type(e).__name__}: {e}"
+            yield pa.RecordBatch.from_arrays([pa.array([work]), pa.array([archive], pa.binary()), pa.array([error], pa.string())], names=schema.names)
+
+    rows = files.select("work_id", "path", F.col("content").cast("binary").alias("content")).where("work_id is not null and path is not null")
+    # by a hash of the key: a repartition by the key itself is dropped where the rows come from joins by it, and these joins
+    # may be planned anew while the query runs
+    return rows.repartition(F.xxhash64("work_id")).sortWithinPartitions("work_id", "path").mapInArrow(run, schema)
+
+
 def archives(files: DataFrame) -> DataFrame:
-    """(work_id, archive): the files (path, content as binary) of each work as one archive: the media type first and
-    stored, the others by path. A task holds one work at a time."""
-    kind = files.schema["work_id"].dataType.simpleString()
-    rows = files.select("work_id", "path", F.col("content").cast("binary").alias("content")).repartition("work_id").sortWithinPartitions("work_id", "path")
-    return rows.mapInPandas(_zipped, f"work_id {kind}, archive binary")
+    """(work_id, archive) of the works whose archives can be made."""
+    return archives_or_errors(files).where("error is null").drop("error")

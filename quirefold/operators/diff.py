@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators import outcomes
+
 #: Rows of the old snapshot that are broadcast at most; beyond, both are shuffled by the keys.
 BROADCAST = 100_000
 
@@ -36,12 +38,24 @@ def snapshot_diff(new: DataFrame, old: DataFrame, keys: tuple[str, ...] = ("work
     return out.where("reason is not null") if changed_only else out
 
 
-def run_status(judged: DataFrame, known: DataFrame, key: str = "work_id") -> DataFrame:
-    """A row for each work of judged (snapshot_diff of all rows): episodes, changed, is_new, new_arrivals, status."""
+def run_status(judged: DataFrame, known: DataFrame, key: str = "work_id", failed: DataFrame | None = None) -> DataFrame:
+    """A row for each work of judged (snapshot_diff of all rows): episodes, changed, is_new, new_arrivals, status. Works of
+    `failed` (key, error) are there too, with status failed, nothing new, and their error in a column of its own."""
     sums = judged.groupBy(key).agg(F.count("*").alias("episodes"), F.count("reason").alias("changed"))
     old = known.select(key).distinct().withColumn("_known", F.lit(True))
-    rows = sums.join(old, key, "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
-    return rows.withColumns({"new_arrivals": F.col("is_new") | (F.col("changed") > 0), "status": F.when(F.col("is_new") | (F.col("changed") > 0), "ok").otherwise("none")})
+    rows = sums
+    if failed is not None:
+        first = failed.where("error is not null").groupBy(key).agg(F.min("error").alias("error"))
+        rows = sums.join(first, key, "full").withColumns({"episodes": F.coalesce("episodes", F.lit(0)), "changed": F.coalesce("changed", F.lit(0))})
+    rows = rows.join(old, key, "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+    arrived = F.col("is_new") | (F.col("changed") > 0)
+    if failed is not None:
+        arrived = arrived & F.col("error").isNull()
+    status = F.when(arrived, outcomes.OK).otherwise(outcomes.NONE)
+    if failed is not None:
+        status = F.when(F.col("error").isNotNull(), outcomes.FAILED).otherwise(status)
+    rows = rows.withColumns({"new_arrivals": arrived, "status": status})
+    return rows if failed is None else rows.select(*[c for c in rows.columns if c != "error"], "error")
 
 
 def progress(done: Column, total: Column) -> Column:

@@ -9,18 +9,19 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import html, markup, normalize, strings
 from quirefold.functions.tokens import hide, restore, stash
-from quirefold.operators import assemble, catalog, diff, illustrations, toc
-from quirefold.plans.books import books
+from quirefold.operators import assemble, catalog, diff, illustrations, outcomes, toc
+from quirefold.plans.books import books, books_or_errors
 from quirefold.plans.normalize import normalize as normalize_all
 from quirefold.plans.normalize import normalize_by_work
 from quirefold.sources import rules, settings, store
-from quirefold.sources.shared import spread
+from quirefold.sources.shared import cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -608,26 +609,6 @@ def package_files(spark, sf_dir):
     return _package(spark, sf_dir)
 
 
-def _entries(frames):
-    """Names of the entries of each archive, in order, and whether all can be read."""
-    for frame in frames:
-        found = [zipfile.ZipFile(io.BytesIO(a)) for a in frame.pop("archive")]
-        yield frame.assign(names=["|".join(z.namelist()) for z in found], sound=[z.testzip() is None for z in found])
-
-
-@query(
-    """select conv_id as work_id, 'mimetype|META-INF/container.xml|OEBPS/Styles/style.css|OEBPS/Text/cover.xhtml|' ||
-      string_agg('OEBPS/Text/section_' || lpad((turn + 1)::varchar, 4, '0') || '.xhtml', '|' order by turn) ||
-      '|OEBPS/Text/titlepage.xhtml|OEBPS/content.opf|OEBPS/toc.ncx|OEBPS/toc.xhtml' as names, true as sound from conversations group by 1"""
-)
-def archives(spark, sf_dir):
-    """A package of each conversation, from stored sections: normalised, parsed, assembled, zipped; its entries, read back."""
-    s = _sections(spark, sf_dir)
-    element = F.struct(F.when(F.col("role") == "system", F.col("body")).otherwise("").alias("introduction"), F.when(F.col("role") != "system", F.col("body")).otherwise("").alias("body"), F.lit("").alias("postscript"), F.lit("text").alias("data_type"))
-    stored = s.select("work_id", F.col("idx").cast("string").alias("index"), F.col("title").alias("subtitle"), "chapter", element.alias("element"))
-    return books(_works(s), stored).mapInPandas(_entries, "work_id long, names string, sound boolean")
-
-
 @query("select conv_id, turn, 'raw/' || turn || ' ' || role || '.html' as path, turn % 3 <> 0 as fine from conversations")
 def raw_paths(spark, sf_dir):
     path = store.raw_name(F.col("turn").cast("string"), F.col("role"))
@@ -787,9 +768,9 @@ _RULES_BY_WORK = [f"replace({_ING}, '[broken', 'x')", sql_sub("t", (r"\p{Nd}{2,}
 _FEW_ELLIPSES = sql_pairs("t", [("。。。", "…"), ("．．．", "…"), ("──", "――")])
 
 
-def _chain_sql(s=_SETTINGS[-1], rules: str = "t", where: str = "true") -> str:
-    """The stages of a body in order, with what they hide in columns of its own; a step each."""
-    steps = [f"select doc_id, text || {lit(SPANS)} as t from documents where {where}", f"select * replace ({rules} as t) from s0"]
+def _chain_sql(s=_SETTINGS[-1], rules: str = "t", where: str = "true", source: str = f"select doc_id, text || {lit(SPANS)} as t from documents", shown: str = "doc_id, t as normalized") -> str:
+    """The stages of a body in order, with what they hide in columns of its own; a step each. source has the texts as t."""
+    steps = [f"select * from ({source}) where {where}", f"select * replace ({rules} as t) from s0"]
     then = lambda *names: steps.extend(f"select * replace ({STAGE.get(x, x)} as t) from s{{at}}" for x in names)
     token = lambda kind: lit(f"［＃{kind}＝\ue010］")
 
@@ -837,7 +818,7 @@ def _chain_sql(s=_SETTINGS[-1], rules: str = "t", where: str = "true") -> str:
     for kind in (*hidden, "章見出し"):
         put_back(kind)
     made = ", ".join(f"s{i} as ({x.replace('{at}', str(i - 1))})" for i, x in enumerate(steps))
-    return f"with {made} select doc_id, t as normalized from s{len(steps) - 1}"
+    return f"with {made} select {shown} from s{len(steps) - 1}"
 
 
 @query(_chain_sql())
@@ -855,6 +836,69 @@ def settings_by_work(spark, sf_dir):
     return normalize_by_work(docs, settings.by_work(files)).select("doc_id", "normalized")
 
 
+#: Sections as they are stored: system turns are introductions.
+_LINES_SQL = f"array_to_string(list_transform(string_split(t, chr(10)), lambda l: {_line_sql()}), chr(10))"
+_STORED_SQL = "select conv_id as work_id, turn + 1 as idx, coalesce(text[1:12], '') as title, role, text as t from conversations"
+_NORMALIZED_SQL = _chain_sql(source=_STORED_SQL, shown="work_id, idx, title, case when role = 'system' then '［＃ここから前書き］' || chr(10) || t || chr(10) || '［＃ここで前書き終わり］' else t end as t")
+_PAGES_SQL = (
+    "select work_id, 'OEBPS/Text/section_' || lpad(idx::varchar, 4, '0') || '.xhtml' as path, "
+    + lit(assemble.SECTION).replace("{title}", f"' || {_ESCAPED} || '").replace("{body}", f"' || {_LINES_SQL} || '")
+    + f" as content from ({_NORMALIZED_SQL})"
+)
+_ALL_FILES_SQL = f"select * from ({SQL['package_files']}) union all select * from ({_PAGES_SQL}) union all select distinct conv_id, 'OEBPS/Styles/style.css', {lit(assemble.STYLE)} from conversations"
+
+
+def _entries(frames):
+    """Names of the entries of each archive, in order, whether all can be read, and a hash of names and contents."""
+    for frame in frames:
+        found = [zipfile.ZipFile(io.BytesIO(a)) for a in frame.pop("archive")]
+        hashes = [sha256("".join(f"{x}\n{z.read(x).decode()}\n" for x in z.namelist()).encode()).hexdigest() for z in found]
+        yield frame.assign(names=["|".join(z.namelist()) for z in found], sound=[z.testzip() is None for z in found], content_sha256=hashes)
+
+
+def _stored(sections):
+    intro = F.col("role") == "system"
+    element = F.struct(F.when(intro, F.col("body")).otherwise("").alias("introduction"), F.when(~intro, F.col("body")).otherwise("").alias("body"), F.lit("").alias("postscript"), F.lit("text").alias("data_type"))
+    return sections.select("work_id", F.col("idx").cast("string").alias("index"), F.col("title").alias("subtitle"), "chapter", element.alias("element"))
+
+
+_ARCHIVES_SQL = f"""select work_id, string_agg(path, '|' order by path <> 'mimetype', path) as names, true as sound,
+    sha256(string_agg(path || chr(10) || content || chr(10), '' order by path <> 'mimetype', path)) as content_sha256 from ({_ALL_FILES_SQL}) group by 1"""
+
+
+@query(_ARCHIVES_SQL)
+def archives(spark, sf_dir):
+    """A package of each conversation, from stored sections: normalised, parsed, assembled, zipped; its entries, read back."""
+    s = _sections(spark, sf_dir)
+    return books(_works(s), _stored(s)).mapInPandas(_entries, "work_id long, names string, sound boolean, content_sha256 string")
+
+
+@query(
+    f"""select conv_id as work_id, case when conv_id % 5 = 0 or conv_id % 7 = 0 then 'failed' when conv_id % 3 = 0 then 'none' else 'ok' end as status,
+      case when conv_id % 5 = 0 then 'an index that isn''t a number: ' || case when conv_id % 10 = 0 then 'x' else 'null' end when conv_id % 7 = 0 then 'leaves its folder: ../x.png' end as error,
+      case when conv_id % 5 <> 0 and conv_id % 7 <> 0 then content_sha256 end as content_sha256
+    from (select distinct conv_id from conversations) join ({_ARCHIVES_SQL}) on conv_id = work_id"""
+)
+def failing_works(spark, sf_dir):
+    """Packages where some works have a section of no number or an image of a forbidden name: they fail, with a message, and
+    all other archives are whole. Works without changes have status none."""
+    s = _sections(spark, sf_dir)
+    five = F.col("work_id") % 5 == 0
+    odd = _stored(s.where("idx = 1")).where(five).withColumn("index", F.when(F.col("work_id") % 10 == 0, "x"))
+    images = s.select("work_id").distinct().select("work_id", F.when(F.col("work_id") % 7 == 0, "../x.png").otherwise("unused.png").alias("filename"), F.lit(b"x").alias("data"))
+    works = _works(s)
+    made = cut(books_or_errors(works, _stored(s).unionByName(odd), images=images))
+    kept = made.where("error is null").drop("error").mapInPandas(_entries, "work_id long, names string, sound boolean, content_sha256 string")
+    told = outcomes.report(works, works.where("work_id % 3 <> 0"), [made.select("work_id", "error")])
+    return told.join(kept.select("work_id", "content_sha256"), "work_id", "left")
+
+
+@query(f"select count(*) as works, (count(*) - count(error))::bigint as success, count(error)::bigint as errors, count(*) filter (where status = 'ok')::bigint as changed from ({SQL['failing_works']})")
+def run_counters(spark, sf_dir):
+    """The counts of the run above."""
+    return outcomes.counters(failing_works(spark, sf_dir))
+
+
 _IMAGES_SQL = "case when doc_id % 3 = 0 then '［＃挿絵（' || doc_id || '.png）入る］' else '' end"
 
 
