@@ -148,12 +148,14 @@ def info(source: Column, site: SiteRules, fix_dates: bool = False) -> Column:
 
 
 def api_info(reply: Column) -> Column:
-    """A reply of a metadata service as JSON: two maps, the first with allcount 1; else null. end 0 means complete."""
-    kind = "array<struct<allcount:string,title:string,writer:string,story:string,novel_type:string,end:string,general_all_no:string,general_firstup:string,general_lastup:string,novelupdated_at:string>>"
+    """A reply of a metadata service, as JSON: two maps, the first with allcount 1; else null. The kind is what `noveltype` says,
+    1 if it says nothing; end 0 means complete. A reply as YAML goes through sources.yaml_text.to_json first."""
+    kind = "array<struct<allcount:string,title:string,writer:string,story:string,noveltype:string,end:string,general_all_no:string,general_firstup:string,general_lastup:string,novelupdated_at:string>>"
     rows = F.from_json(reply, kind)
     item = F.get(rows, 1)
     fine = (F.size(rows) >= 2) & (F.get(rows, 0).allcount == "1") & item.isNotNull()
-    return F.when(fine, F.struct(item.title.alias("title"), item.writer.alias("writer"), item.story.alias("story"), item.novel_type.try_cast("int").alias("novel_type"), (item.end == "0").alias("end"), item.general_all_no.try_cast("int").alias("general_all_no"), item.general_firstup.alias("general_firstup"), item.general_lastup.alias("general_lastup"), item.novelupdated_at.alias("novelupdated_at")))
+    same = [item[n].alias(n) for n in ("general_firstup", "general_lastup", "novelupdated_at")]
+    return F.when(fine, F.struct(item.title.alias("title"), F.coalesce(item.writer, F.lit("")).alias("writer"), item.story.alias("story"), F.coalesce(item.noveltype.try_cast("int"), F.lit(1)).alias("novel_type"), (item.end == "0").alias("end"), item.general_all_no.try_cast("int").alias("general_all_no"), *same))
 
 
 def metadata(toc: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ from quirefold.sources.store import in_order, inside
 
 
 def bodies(sections: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """sections (work_id, index, subtitle, chapter, element) as (work_id, idx, title, chapter, body, images)."""
-    rows = in_order(sections).select("work_id", F.col("ordinal").alias("idx"), F.col("subtitle").alias("title"), "chapter", "element.*")
+    """sections (work_id, index, subtitle, chapter, element) as (work_id, idx, title, chapter, body, images). A section
+    without subtitle is titled by its place."""
+    rows = in_order(sections).select("work_id", F.col("ordinal").alias("idx"), F.coalesce("subtitle", F.concat(F.lit("第"), F.col("ordinal").cast("string"), F.lit("話"))).alias("title"), "chapter", "element.*")
     for kind in ("introduction", "body", "postscript"):
         markup = F.when(F.col("data_type") == "html", annotated(F.col(kind))).otherwise(F.col(kind))
         rows = normalize(rows.withColumn(kind, F.coalesce(markup, F.lit(""))), kind, kind, settings, out_col="_done")

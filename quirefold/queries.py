@@ -20,7 +20,7 @@ from quirefold.operators import assemble, catalog, diff, illustrations, outcomes
 from quirefold.plans.books import books, books_or_errors
 from quirefold.plans.normalize import normalize as normalize_all
 from quirefold.plans.normalize import normalize_by_work
-from quirefold.sources import rules, settings, store
+from quirefold.sources import rules, settings, store, yaml_text
 from quirefold.sources.shared import cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,6 +313,30 @@ def api_replies(spark, sf_dir):
     return rows.select("o_orderkey", "i.title", F.col("i.end").alias("ended"), F.col("i.general_all_no").alias("parts"))
 
 
+@query("select o_orderkey, case when k < 2 then '題: ' || o_clerk end as title, case when k < 2 then o_comment_ || chr(10) || '  deeper' || chr(10) || chr(10) || '# end' || chr(10) end as story, case when k < 2 then k = 0 end as ended, case when k < 2 then case when k = 0 then 2 else 1 end end as novel_type from (select *, o_orderkey % 5 as k, o_orderpriority as o_clerk, o_orderstatus || ': x' as o_comment_ from orders)")
+def yaml_replies(spark, sf_dir):
+    """The same in YAML, with quotes, a literal block and comments: complete, unfinished, broken, no sequence, another count."""
+    k = F.col("o_orderkey") % 5
+    head = F.concat(F.lit("---\n-\n  allcount: "), F.when(k == 4, "0").otherwise("1"), F.lit("  # of all\n-\n  title: "))
+    title = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("'題: "), "o_orderpriority", F.lit("'"))).otherwise(F.concat(F.lit('"\\u984c: '), "o_orderpriority", F.lit('"')))
+    story = F.concat(F.lit("\n  story: |\n    "), "o_orderstatus", F.lit(": x\n      deeper\n\n    # end\n  end: "), k.cast("string"))
+    reply = F.concat(head, title, story, F.when(k == 0, "\n  noveltype: 2\n").otherwise("\n"), F.when(k == 2, "  'open\n").otherwise(""))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 3, "<html><body>none</body></html>").otherwise(reply).alias("reply"))
+    found = rows.select("o_orderkey", toc.api_info(yaml_text.to_json(F.col("reply"))).alias("i"))
+    return found.select("o_orderkey", "i.title", "i.story", F.col("i.end").alias("ended"), "i.novel_type")
+
+
+@query("select conv_id as work_id, (turn + 1)::varchar as index, text[1:12] as subtitle, case when turn % 7 = 3 then null else text || chr(10) || role end as body, role as data_type from conversations")
+def yaml_sections(spark, sf_dir):
+    """Sections as YAML maps, read again."""
+    s = table(spark, sf_dir, "conversations")
+    body = F.when(F.col("turn") % 7 != 3, F.concat("text", F.lit("\n"), "role"))
+    empty = F.lit(None).cast("string")
+    sections = s.select(F.col("conv_id").alias("work_id"), (F.col("turn") + 1).cast("string").alias("index"), *[empty.alias(c) for c in ("href", "chapter", "file_subtitle", "subdate", "subupdate", "download_time")], F.substring("text", 1, 12).alias("subtitle"), F.struct(empty.alias("introduction"), body.alias("body"), empty.alias("postscript"), F.col("role").alias("data_type")).alias("element"))
+    again = sections.select(F.from_json(yaml_text.to_json(store.section_yaml(sections)), store.SECTIONS).alias("s")).select("s.*")
+    return again.select("work_id", "index", "subtitle", "element.body", "element.data_type")
+
+
 @query(
     """select conv_id, turn, '前 & ' || chr(10) || role as introduction, '｜漢字《かんじ》' || chr(10) || rtrim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) as body,
       case when turn % 2 = 0 then role else '' end as postscript, 'text' as data_type from conversations"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from quirefold.functions.normalize import java_date_form
 from quirefold.functions.patterns import java_rule
+from quirefold.sources import yaml_text
 
 
 @dataclass
@@ -139,10 +141,25 @@ def read_by_work(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class KeyValues:
-    """A small store of named values in scopes; `local` values hide `global` ones."""
-
-    def __init__(self, scopes: dict[str, dict[str, Any]] | None = None):
-        self.scopes = scopes or {"local": {}, "global": {}}
+    """A small store of named values in scopes; `local` values hide `global` ones. A scope is kept as one YAML file, a folder
+    for each scope being given; without folders everything is in memory alone."""
+
+    def __init__(self, scopes: dict[str, dict[str, Any]] | None = None, name: str = "settings", folders: dict[str, str | Path] | None = None):
+        self.name, self.folders = name, {k: Path(v) for k, v in (folders or {}).items()}
+        self.scopes = scopes or {k: {} for k in (self.folders or ("local", "global"))}
+        for scope in self.folders:
+            self.scopes[scope] = self._read(scope) | self.scopes.get(scope, {})
+
+    def _path(self, scope: str) -> Path:
+        return self.folders[scope] / f"{self.name}.yaml"
+
+    def _read(self, scope: str) -> dict[str, Any]:
+        """What a scope's file holds; no file, or one that isn't a map, holds nothing."""
+        try:
+            found = yaml_text.load(self._path(scope).read_text(encoding="utf-8"))
+        except (OSError, ValueError):
+            found = None
+        return found if isinstance(found, dict) else {}
 
     def get(self, name: str, default: Any = None) -> Any:
         return next((s[name] for s in self.scopes.values() if name in s), default)
@@ -152,3 +169,12 @@ class KeyValues:
 
     def delete(self, name: str, scope: str = "local") -> None:
         self.scopes[scope].pop(name, None)
+
+    def save(self) -> None:
+        """Writes each scope beside its file and puts it in the file's place, so a run that dies leaves the old one whole."""
+        for scope in self.folders:
+            path = self._path(scope)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            fresh = path.with_suffix(".yaml.new")
+            fresh.write_text(yaml_text.dump(self.scopes[scope]), encoding="utf-8")
+            fresh.replace(path)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.sources import yaml_text
 from quirefold.sources.shared import cut
 
 SECTIONS = T.StructType(
@@ -18,6 +19,8 @@ SECTIONS = T.StructType(
     ]
 )
 CORRUPT = "_corrupt_record"
+#: What stands between the documents of a YAML file.
+BETWEEN = "\n---\n"
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -28,13 +31,32 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def read_yaml(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The maps of all .yaml files (and of write_sections' own) below a folder by a schema, with work (the folder above the file's own), file and warning:
+    null, or why all other columns are null. A file holds one map, or several with lines of --- between them.
+
+    Files are listed, read and split by Spark, so any store that it reads will do; the driver reads none. A file without a
+    character gives no row.
+    """
+    options = {"lineSep": BETWEEN, "recursiveFileLookup": "true", "pathGlobFilter": "{*.yaml,part-*}"}
+    rows = spark.read.options(**options).text(path).select(F.regexp_replace("value", r"\A\x{feff}?---\r?\n", "").alias("text"), F.col("_metadata.file_path").alias("file"))
+    rows = rows.withColumn("json", yaml_text.to_json(F.col("text")))
+    warning = F.when(F.col("json").isNull(), "can't be read").when(~F.col("json").startswith("{"), "isn't a map")
+    folder = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -3), F.lit("+"), F.lit("%2B")))
+    parsed = F.from_json(F.when(warning.isNull(), F.col("json")), schema)
+    return rows.select(folder.alias("work"), "file", warning.alias("warning"), parsed.alias("s")).select("work", "file", "warning", "s.*")
+
+
 def read_sections(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
-    """Sections as JSON lines or Parquet. Lines that aren't sections are left out; of rows that repeat a work's index the
-    last download counts, so a renamed episode replaces its old file."""
+    """Sections as JSON lines, YAML files or Parquet. Lines and files that aren't sections are left out (read_yaml tells which
+    files); of rows that repeat a work's index the last download counts, so a renamed episode replaces its old file. A YAML
+    section without work_id is of the work that its folder is named after, if that is a number."""
     if form == "json":
         schema = T.StructType([*SECTIONS.fields, T.StructField(CORRUPT, T.StringType())])
         rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
         rows = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    elif form == "yaml":
+        rows = read_yaml(spark, path, SECTIONS).where("warning is null").withColumn("work_id", F.coalesce("work_id", F.col("work").try_cast("long"))).select(SECTIONS.names)
     else:
         rows = spark.read.schema(SECTIONS).parquet(path)
     last = rows.where(F.col("index").isNotNull()).groupBy("work_id", "index").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("work_id", "index")]), F.coalesce("download_time", F.lit(""))).alias("r"))
@@ -48,8 +70,21 @@ def in_order(sections: DataFrame) -> DataFrame:
     return sections.where(number.isNotNull()).withColumn("ordinal", F.row_number().over(by))
 
 
-def write_sections(sections: DataFrame, path: str, mode: str = "append") -> None:
-    sections.select(SECTIONS.names).write.mode(mode).json(path)
+def write_sections(sections: DataFrame, path: str, mode: str = "append", form: str = "json") -> None:
+    """Sections as JSON lines, or as YAML files of up to 1,000 maps each."""
+    if form == "json":
+        sections.select(SECTIONS.names).write.mode(mode).json(path)
+    else:
+        rows = sections.select(section_yaml(sections).alias("value"))
+        rows.write.mode(mode).options(lineSep=BETWEEN, maxRecordsPerFile="1000").text(path)
+
+
+def section_yaml(sections: DataFrame) -> Column:
+    """A section as a YAML map, a line for each name."""
+    parts = [f.name for f in SECTIONS["element"].dataType.fields]
+    texts = {n: F.col(n) for n in SECTIONS.names if n not in ("work_id", "element")}
+    element = {n: F.col(f"element.{n}") for n in parts}
+    return F.concat(F.lit("work_id: "), F.coalesce(F.col("work_id").cast("string"), F.lit("null")), F.lit("\n"), yaml_text.block_map(texts | {"element": element}))
 
 
 def write_contents(tables: DataFrame, path: str) -> None:
