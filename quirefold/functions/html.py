@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quirefold.functions.strings import BODY_ENTITIES, replace_all, strip
 from quirefold.functions.tokens import rewrite
 
+#: Schemes of URLs that others can be relative to.
+RELATIVE = ("", "http", "https", "ftp", "file", "sftp", "ws", "wss")
 #: Tags and the notes that stand for them.
 NOTES = (("b", "太字"), ("i", "斜体"), ("s", "取消線"))
 
@@ -36,25 +38,48 @@ def style_notes(text: Column) -> Column:
     return text
 
 
+def _parts(url: Column) -> dict[str, Column]:
+    """Scheme, host (null where a URL has none), path, parameters of its last segment, query and fragment."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "[\t\r\n]", "")
+    part = lambda n: F.regexp_extract(plain, r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z", n)
+    path = part(4)
+    kept = F.regexp_extract(path, r"(?s)\A((?:.*/)?[^/;]*)", 1)
+    return {"scheme": F.lower(part(1)), "host": F.when(part(2) != "", part(3)), "path": kept, "params": F.substring(path, F.length(kept) + 2, F.length(path)), "query": part(5), "fragment": part(6)}
+
+
+def _joined(p: dict[str, Column]) -> Column:
+    ahead = lambda sign, c: F.when(c == "", "").otherwise(F.concat(F.lit(sign), c))
+    slash = F.when(p["host"].isNotNull() & (p["path"] != "") & ~p["path"].startswith("/"), "/").otherwise("")
+    scheme = F.when(p["scheme"] == "", "").otherwise(F.concat(p["scheme"], F.lit(":")))
+    host = F.when(F.coalesce(p["host"], F.lit("")) == "", "").otherwise(F.concat(F.lit("//"), p["host"]))
+    return F.concat(scheme, host, slash, p["path"], ahead(";", p["params"]), ahead("?", p["query"]), ahead("#", p["fragment"]))
+
+
 def resolve(src: Column, base: Column) -> Column:
-    """A reference as an absolute URL, for the forms that pages use: absolute, //host, /path, ?query, #part, relative."""
-    scheme = F.regexp_extract(base, r"^([\w+.-]+):", 1)
-    root = F.regexp_extract(base, r"^([\w+.-]+://[^/?#]*)", 1)
-    path = F.regexp_extract(base, r"^[\w+.-]+://[^/?#]*([^?#]*)", 1)
-    folder = F.when(path.contains("/"), F.regexp_replace(path, r"[^/]*$", "")).otherwise("/")
-    joined = F.concat(folder, src)
-    for _ in range(4):  # a/./b and a/x/../b, up to four levels
-        joined = F.regexp_replace(F.regexp_replace(joined, r"/\.(?=/|$)", ""), r"/(?!\.\./)[^/?#]+/\.\.(?=/|$)", "")
-    joined = F.regexp_replace(joined, r"^(?:/\.\.)+(?=/|$)", "")
-    return (
-        F.when(src.rlike(r"^[A-Za-z][\w+.-]*:"), src)
-        .when(src.startswith("//"), F.concat(scheme, F.lit(":"), src))
-        .when(src.startswith("/"), F.concat(root, src))
-        .when(src == "", base)
-        .when(src.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), src))
-        .when(src.startswith("?"), F.concat(root, path, src))
-        .otherwise(F.concat(root, joined))
-    )
+    """A reference as an absolute URL, as the standard library joins them: segments of both paths go through a stack, from
+    which .. takes the last one, however many there are; queries and fragments are never touched."""
+    s, b = _parts(src), _parts(base)
+    scheme = F.when(s["scheme"] == "", b["scheme"]).otherwise(s["scheme"])
+    folder = F.split(b["path"], "/", -1)
+    folder = F.when(F.element_at(folder, -1) == "", folder).otherwise(F.slice(folder, 1, F.size(folder) - 1))
+    own = F.split(s["path"], "/", -1)
+    all_ = F.when(s["path"].startswith("/"), own).otherwise(F.concat(folder, own))
+    # empty segments inside a joined path go, those of a path of its own stay
+    middle = F.when(s["path"].startswith("/"), own).otherwise(F.filter(all_, lambda x, i: (x != "") | (i == 0) | (i == F.size(all_) - 1)))
+
+    def step(stack: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).when(x == ".", stack).otherwise(F.concat(stack, F.array(x)))
+
+    walked = F.aggregate(middle, F.array().cast("array<string>"), step)
+    walked = F.when(F.element_at(all_, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    path = F.array_join(walked, "/")
+    here = (s["path"] == "") & (s["params"] == "")
+    joined = _joined({"scheme": scheme, "host": b["host"], "path": F.when(path == "", "/").otherwise(path), "params": s["params"], "query": s["query"], "fragment": s["fragment"]})
+    same = _joined({"scheme": scheme, "host": b["host"], "path": b["path"], "params": b["params"], "query": F.when(s["query"] == "", b["query"]).otherwise(s["query"]), "fragment": s["fragment"]})
+    whole = _joined(s | {"scheme": scheme})
+    elsewhere = (scheme != b["scheme"]) | ~scheme.isin(*RELATIVE)
+    found = F.when(elsewhere, src).when(F.coalesce(s["host"], F.lit("")) != "", whole).when(here, same).otherwise(joined)
+    return F.when(base == "", src).when(src == "", base).otherwise(found)
 
 
 def images(text: Column, base: Column | None = None) -> Column:

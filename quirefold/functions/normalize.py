@@ -217,13 +217,26 @@ def mark_font(text: Column) -> Column:
 def readings(text: Column) -> Column:
     """Stage 20: base≪reading≫ and base（kana） become ruby; ｜ before the bracket keeps it from that. Bars become notes.
 
-    A kept ≪reading≫ keeps its brackets even where the line has （ before it.
+    A line is read from left to right, in spans of what lies before a reading (at least one character) and the reading. A
+    kept ≪reading≫ has （） afterwards if its span has a （, so what stands before it on the line, but not before the last reading,
+    counts. Spans only start behind another one or a line end, so a line without readings is read once.
     """
     bar = "\ue029"
-    t = F.regexp_replace(text, f"([{RUBY_BASE}]+)≪([^≪]+?)≫", f"{bar}$1《$2》")
-    t = F.regexp_replace(t, "｜≪([^≪]+?)≫", "≪$1≫")
-    t = F.regexp_replace(t, f"([{RUBY_BASE}]+)（([{READING}]{{1,20}})）", f"{bar}$1《$2》")
-    t = F.regexp_replace(t, f"｜（([{READING}]{{1,20}})）", "（$1）")
+
+    def ruby(t: Column, opened: str, reading: str, closed: str) -> Column:
+        span = rf"(?d)(?:\G|(?<=\n))(.+?){opened}({reading}){closed}"
+
+        def change(hit: Column) -> Column:
+            base, read = F.regexp_extract(hit, span, 1), F.regexp_extract(hit, span, 2)
+            kept = F.when(hit.contains("（"), F.concat(F.lit("（"), read, F.lit("）"))).otherwise(F.concat(F.lit("≪"), read, F.lit("≫")))
+            last = rf"(?<![{RUBY_BASE}])([{RUBY_BASE}]++)\z"
+            marked = F.concat(F.regexp_replace(base, last, f"{bar}$1"), F.lit("《"), read, F.lit("》"))
+            return F.when(base.endswith("｜"), F.concat(F.substring(base, F.lit(1), F.length(base) - 1), kept)).when(base.rlike(last), marked).otherwise(hit)
+
+        return F.when(t.contains(opened), rewrite(t, span, change)).otherwise(t)
+
+    t = ruby(text, "≪", "[^≪]+?", "≫")
+    t = ruby(t, "（", f"[{READING}]{{1,20}}", "）")
     return F.regexp_replace(t, f"[{bar}｜]", "※［＃縦線］")
 
 

@@ -710,7 +710,19 @@ _PLAIN_DAY = f"translate(x[2], {lit(_W + '／')}, '{_D}/')"
 add_stage("stage_dates", n.dates, sql_rewrite("t", r"20\p{Nd}{2}／\p{Nd}{1,2}／\p{Nd}{1,2}", f"coalesce(strftime(try_strptime({_PLAIN_DAY}, '%Y/%m/%d'), '%Y年%m月%d日'), x[2])"))
 add_stage("stage_mark_font", n.mark_font, sql_sub("t", ("([ぁ-ん])゛", r"［＃濁点］\1［＃濁点終わり］"), ("([ァ-ン])゛", r"［＃濁点］\1［＃濁点終わり］")))
 _BAR = chr(0xE029)
-add_stage("stage_readings", n.readings, sql_sub("t", (f"([{n.RUBY_BASE}]+)≪([^≪]+?)≫", rf"{_BAR}\1《\2》"), ("｜≪([^≪]+?)≫", r"≪\1≫"), (f"([{n.RUBY_BASE}]+)（([{n.READING}]{{1,20}})）", rf"{_BAR}\1《\2》"), (f"｜（([{n.READING}]{{1,20}})）", r"（\1）"), (f"[{_BAR}｜]", "※［＃縦線］")))
+
+
+def _ruby_sql(expr: str, opened: str, reading: str, closed: str) -> str:
+    span, chars = f"(?-s)(.+?){opened}({reading}){closed}", "一-龠Ａ-Ｚａ-ｚA-Za-z"
+    base, read = (f"regexp_extract(x[2], {lit(span)}, {i})" for i in (1, 2))
+    kept = f"{base}[:-2] || case when contains(x[2], '（') then '（' || {read} || '）' else '≪' || {read} || '≫' end"
+    return sql_rewrite(expr, span, f"case when ends_with({base}, '｜') then {kept} when regexp_matches({base}, '[{chars}]$') then regexp_replace({base}, '([{chars}]+)$', '{_BAR}\\1') || '《' || {read} || '》' else x[2] end")
+
+
+_READ_SQL = f"(select {_ruby_sql('j', '（', '[ぁ-んァ-ヶーゝゞ・Ａ-Ｚａ-ｚA-Za-z 　]{1,20}', '）')} from (select {_ruby_sql('t', '≪', '[^≪]+?', '≫')} as j))"
+#: Readings behind others, with and without bars, several a line, and brackets that are none.
+_READINGS = "\n山（x） 川｜≪かわ≫ 谷≪たに≫｜≪まま≫ 森（もり）林≪はやし≫（x）｜≪y z≫\n｜≪a≫（b）≪≪c≫\n≪d≫e≪f\ng≫ 空（そら≪h≫\n海｜（うみ）湖｜≪みずうみ≫（い）｜（ろ）\n(x）（） 石（いしいしいしいしいしいしいしいしいしいしいし）"
+add_stage("stage_readings", n.readings, sql_sub(_READ_SQL, (f"[{_BAR}｜]", "※［＃縦線］")), SAMPLE + _READINGS)
 add_stage("stage_indent", n.indent, sql_sub("t", ("(?m)^[ 　\\t]*(――)", r"　\1"), ("(?m)^([^　 \\t「『(（【〈《≪〝―…‥※［＃])", r"　\1")))
 add_stage("stage_half_indent", n.half_indent, sql_sub("t", ("(?m)^[ 　\\t]*([〔「『(（【〈《≪〝])", r"［＃二分アキ］\1")))
 add_stage("stage_pack_blank", n.pack_blank_lines, sql_sub("t", ("\\n{4,}", "\n\n\n")))

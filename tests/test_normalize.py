@@ -78,3 +78,27 @@ def test_kinds(spark):
     assert normalize(df, kind="story").first().normalized == "３話 A-１"
     assert normalize(df, kind="introduction", settings=Settings(enable_erase_introduction=True)).first().normalized == ""
     assert normalize(df.withColumn("normalized", F.lit(1)), kind="postscript").first().normalized.startswith("［＃ここから後書き］\n")
+
+
+def test_readings_in_their_line(spark):
+    import re
+
+    def plain(text):
+        def ruby(m):
+            whole, base, read = m[0], m[1], m[2]
+            if base.endswith("｜"):
+                return base[:-1] + (f"（{read}）" if "（" in whole else f"≪{read}≫")
+            own = re.search("[一-龠Ａ-Ｚａ-ｚA-Za-z]+$", base)
+            return f"{base[: own.start()]}{own[0]}《{read}》" if own else whole
+
+        for span in ("(.+?)≪([^≪]+?)≫", "(.+?)（([ぁ-んァ-ヶーゝゞ・Ａ-Ｚａ-ｚA-Za-z 　]{1,20})）"):
+            text = re.sub(span, ruby, text)
+        return re.sub("[｜]", "※［＃縦線］", text)
+
+    import random
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("山川a ｜≪≫（）≪≫（）かカ\nー。") for _ in range(draw.randrange(0, 30))) for _ in range(2000)] + ["山（x） 川｜≪かわ≫", "あ" * 5000 + "≪", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.x for r in df.select("i", n.readings(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != (None if t is None else plain(t))] == []
