@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.operators import outcomes
 from quirefold.sources import yaml_text
-from quirefold.sources.shared import cut
+from quirefold.sources.versions import Versions
 
 SECTIONS = T.StructType(
     [T.StructField("work_id", T.LongType())]
@@ -88,19 +89,36 @@ def section_yaml(sections: DataFrame) -> Column:
 
 
 def write_contents(tables: DataFrame, path: str) -> None:
-    """Tables of contents as Parquet; those of works that are in `tables` replace what was stored, the others stay."""
-    spark = tables.sparkSession
-    stored = read_or_empty(spark, path, tables.schema)
-    kept = stored.join(tables.select("work_id").distinct(), "work_id", "left_anti")
-    cut(kept.select(tables.columns).unionByName(tables)).write.mode("overwrite").parquet(path)
+    """Tables of contents; those of works that are in `tables` replace what was stored, the others stay. Only the buckets of
+    these works are read and written, and readers see the old tables until all of it is there (see sources.versions)."""
+    Versions(tables.sparkSession, path, tables.schema).upsert(tables)
 
 
-def write_raw(pages: DataFrame, path: str) -> None:
-    """Raw pages (work_id, index, file_subtitle, html) as Parquet rows of work_id, path and html: many small pages a file.
-    Names that would leave their folder are an error."""
+def read_contents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return Versions(spark, path, schema).read()
+
+
+RAW = T.StructType([T.StructField("work_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("html", T.StringType())])
+
+
+def raw_pages(pages: DataFrame) -> DataFrame:
+    """Raw pages (work_id, index, file_subtitle, html) under their names, with `error` for those whose name would leave its
+    folder: work_id, path, html, error."""
     name = raw_name(F.col("index"), F.coalesce("file_subtitle", F.lit("")))
-    checked = F.when(inside(name), name).otherwise(F.raise_error(F.concat(F.lit("leaves its folder: "), name)))
-    pages.select("work_id", checked.alias("path"), "html").write.mode("append").parquet(path)
+    rows = pages.select(F.col("work_id").cast("long").alias("work_id"), name.alias("path"), "html")
+    return outcomes.checked(rows, [(inside(F.col("path")), F.concat(F.lit("leaves its folder: "), F.coalesce("path", F.lit("null"))))])
+
+
+def write_raw(pages: DataFrame, path: str) -> None:
+    """Raw pages as rows of work_id, path and html: many small pages a file, all of a call or none. Names that would leave their
+    folder are an error; to go on without them, write where raw_pages has none."""
+    rows = raw_pages(pages)
+    checked = F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.col("error")))
+    Versions(pages.sparkSession, path, RAW).append(rows.select("work_id", checked.alias("path"), "html"))
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    return Versions(spark, path, RAW).read()
 
 
 def raw_name(index: Column, subtitle: Column) -> Column:

@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quirefold.operators.diff import snapshot_diff
-from quirefold.sources.store import read_or_empty
+from quirefold.sources.versions import BUCKETS, Versions
+
+KEYS = ["work_id", "index"]
 
 
-def follow(stream: DataFrame, schema: T.StructType, state: str, changes: str, checkpoint: str) -> StreamingQuery:
-    """Runs through what is there. state: versions of the kept snapshot, one a batch; changes: rows with a reason.
+def follow(stream: DataFrame, schema: T.StructType, state: str, changes: str, checkpoint: str, n_buckets: int = BUCKETS) -> StreamingQuery:
+    """Runs through what is there. state: the kept snapshot, in buckets of works with versions; changes: rows with a reason, a
+    folder for each batch.
 
-    A batch that is run again reads the version before it and writes its own anew, so nothing is counted twice.
+    A batch reads and writes the buckets of its own works only, so its cost follows them and not all that is kept. The state
+    notes which batch it has: one that is run again after that changes nothing, one that died before is done anew and
+    writes the same. Versions before the last two go.
     """
+    writer = md5(checkpoint.encode()).hexdigest()
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = read_or_empty(spark, f"{state}/{number - 1}", schema)
-        rows = batch.dropDuplicates(["work_id", "index"]).persist()
+        kept = Versions(batch.sparkSession, state, schema, n_buckets=n_buckets)
+        if kept.done(writer, number):
+            return
+        rows = batch.dropDuplicates(KEYS).select(schema.names).persist()
+        old = kept.read(buckets=kept.touched(rows))
         snapshot_diff(rows, old).write.mode("overwrite").parquet(f"{changes}/batch={number}")
-        kept = old.join(rows.select("work_id", "index"), ["work_id", "index"], "left_anti").select(rows.columns).unionByName(rows)
-        kept.write.mode("overwrite").parquet(f"{state}/{number}")
+        kept.upsert(rows, KEYS, writer, number)
+        kept.vacuum()
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_snapshot(spark, state: str, schema: T.StructType) -> DataFrame:
+    """What follow() keeps, after its last whole batch."""
+    return Versions(spark, state, schema).read()

@@ -139,10 +139,10 @@ def test_stored_contents_and_raw_pages(spark, tmp_path):
     first = spark.createDataFrame([(1, "a"), (2, "b")], "work_id long, title string")
     store.write_contents(first, path)
     store.write_contents(spark.createDataFrame([(2, "c"), (3, "d")], first.schema), path)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, store.read_contents(spark, path, first.schema).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     pages = spark.createDataFrame([(1, "1", "始め", "<p>"), (1, "2", None, None)], "work_id long, index string, file_subtitle string, html string")
     store.write_raw(pages, raw)
-    assert {r.path for r in spark.read.parquet(raw).collect()} == {"raw/1 始め.html", "raw/2 .html"}
+    assert {r.path for r in store.read_raw(spark, raw).collect()} == {"raw/1 始め.html", "raw/2 .html"}
     with pytest.raises(Exception, match="leaves its folder"):
         store.write_raw(pages.withColumn("index", F.lit("../../x")), raw)
 
