@@ -1,11 +1,13 @@
 """Language identification, words first: a known word scores by its log frequency in each language; an unknown one by
 the longest of its character runs that are known, from LONGEST characters down to one.
 
-The model is fitted on a bounded sample: of the LANGUAGES most frequent languages (ties by name) at most TEXTS whole texts
-each, those with the smallest hashes of their ids, one text of each id (the smallest). It keeps the WORDS most frequent
-words of a language and its RUNS most frequent runs of each length. Prediction covers all rows and whole texts.
-Languages of the sample are the only ones that can be predicted; rows without language or id teach nothing. Null, empty
-and letterless texts, and any text if nothing was learned, are `und` with score 0.
+The model is fitted on a bounded sample: of every language at most TEXTS whole texts (fewer, if there are more than SAMPLE /
+TEXTS languages, so that all have SAMPLE at most), those with the smallest hashes of their ids, one text of each id (the
+smallest). It keeps the WORDS most frequent words of a language and its RUNS most frequent runs of each length. A model has
+a number for each entry and language; with so many languages that these would be more than CELLS, each keeps a
+smaller share of its words and runs, and none is left out. Prediction covers all rows and whole texts. Languages that have
+a row to learn from are those that can be predicted; rows without language or id teach nothing. Null, empty and letterless
+texts, and any text if nothing was learned, are `und` with score 0.
 
 The score is the share of the predicted language in the likelihoods, the mean of the words' log likelihoods being
 counted as that of at most EVIDENCE independent words. Ties go to the language that is first by name. Very long texts count word by word; rows that repeat
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +34,10 @@ from quirefold.llm.common import append_by_arrow, cut
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-TEXTS, WORDS, RUNS, EVIDENCE, LANGUAGES = 2000, 20_000, 10_000, 20, 32
+TEXTS, WORDS, RUNS, EVIDENCE = 2000, 20_000, 10_000, 20
+SAMPLE, CELLS = 64_000, 16_000_000
+#: Languages whose sizes are broadcast at most; beyond, Spark joins as it sees fit.
+BROADCAST = 10_000
 #: Words whose logarithms a task keeps, and how long they are at most; longer ones are looked up each time.
 CACHE, KEPT = 100_000, 64
 
@@ -99,15 +105,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """train: which rows may be learned from; all, if None."""
     taught = docs.where(F.lit(True) if train is None else train).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     taught = taught.where(F.col(lang_col) != UNDETERMINED)
-    # only rows of low hashes are ranked, as many as TEXTS and six standard deviations on average: a language of any size
+    # only rows of low hashes are ranked, as many as texts and six standard deviations on average: a language of any size
     # sends no more to the task that ranks it
-    sizes = taught.groupBy(lang_col).agg(F.count("*").alias("of")).orderBy(F.desc("of"), lang_col).limit(LANGUAGES)
-    low = (F.col("of") * (F.shiftrightunsigned(F.xxhash64(id_col), 32) / 2.0**32)) <= TEXTS + 6 * TEXTS**0.5
+    sizes = cut(taught.groupBy(lang_col).agg(F.count("*").alias("of")))
+    n_languages = max(1, sizes.count())
+    texts = max(1, min(TEXTS, SAMPLE // n_languages))
+    share = min(1.0, CELLS / ((WORDS + LONGEST * RUNS) * n_languages**2))
+    n_words, n_runs = (max(1, int(n * share)) for n in (WORDS, RUNS))
+    low = (F.col("of") * (F.shiftrightunsigned(F.xxhash64(id_col), 32) / 2.0**32)) <= texts + 6 * texts**0.5
+    sizes = F.broadcast(sizes) if n_languages <= BROADCAST else sizes
     order = Window.partitionBy(lang_col).orderBy(F.shiftrightunsigned(F.xxhash64(id_col), 32), id_col)
-    chosen = taught.select(id_col, lang_col).join(F.broadcast(sizes), lang_col).where(low).select(id_col, lang_col).distinct()
-    chosen = cut(chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS).select(id_col, F.col(lang_col).alias("lang")))
+    chosen = taught.select(id_col, lang_col).join(sizes, lang_col).where(low).select(id_col, lang_col).distinct()
+    chosen = cut(chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts).select(id_col, F.col(lang_col).alias("lang")))
     told = taught.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # LANGUAGES * TEXTS ids at most
+    # SAMPLE ids, or one a language
     sample = told.join(F.broadcast(chosen), [id_col, "lang"]).groupBy(id_col, "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,27 +141,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counted = cut(sample.repartition(8).mapInArrow(count, "lang string, n int, run string, seen long").groupBy("lang", "n", "run").agg(F.sum("seen").alias("seen")))
     top = Window.partitionBy("lang", "n").orderBy(F.desc("seen"), "run")
-    kept = counted.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(RUNS))
+    kept = counted.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= F.when(F.col("n") == 0, n_words).otherwise(n_runs))
     totals = {(r.lang, r.n): r.all for r in counted.groupBy("lang", "n").agg(F.sum("seen").alias("all")).collect()}
     languages = sorted({lang for lang, _ in totals})
     column = {lang: i for i, lang in enumerate(languages)}
-    tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
-    seen: dict[int, list[np.ndarray]] = {n: [] for n in range(LONGEST + 1)}
-    for r in kept.select("lang", "n", "run", "seen").collect():
-        at = tables[r.n].setdefault(r.run, len(tables[r.n]))
-        if at == len(seen[r.n]):
-            seen[r.n].append(np.zeros(len(languages)))
-        seen[r.n][at][column[r.lang]] = r.seen
+    tables: dict[int, dict[str, int]] = {}
     logs = {}
-    for n, rows in seen.items():
+    rows = kept.select("lang", "n", "run", "seen").toArrow()  # CELLS / languages at most
+    for n in range(LONGEST + 1):
+        own = rows.filter(pc.equal(rows.column("n"), n))
+        runs = pc.unique(own.column("run"))
+        tables[n] = {r: i for i, r in enumerate(runs.to_pylist())}
+        seen = np.zeros((len(runs), len(languages)))
+        at = pc.index_in(own.column("run"), runs).to_numpy()
+        seen[at, np.array([column[x] for x in own.column("lang").to_pylist()], int)] = own.column("seen").to_numpy()
         all_ = np.array([totals.get((lang, n), 0) for lang in languages], float)
-        logs[n] = np.log((np.array(rows).reshape(len(rows), len(languages)) + 0.5) / (all_ + 0.5 * (len(rows) + 1)))
+        logs[n] = np.log((seen + 0.5) / (all_ + 0.5 * (len(runs) + 1)))
     return Model(languages, tables, logs)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (all, if None), the predicted language and its score."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # WORDS and RUNS entries of LANGUAGES at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # CELLS numbers at most
 
     def build():
         own = shared.value

@@ -40,6 +40,8 @@ BATCH = 50_000
 BROADCAST = 1_000_000
 #: Documents that are signed together, and rows of buckets and texts that a task gets together.
 SIGNED, ROWS, TEXTS = 512, 8192, 512
+#: Shingles of the texts that a task gets together: rows count, and so does their length.
+SHINGLES = 2_000_000
 #: Classes of a block where all are compared, and of a chunk that is compared with a center.
 BLOCK = 256
 U = np.uint64
@@ -270,10 +272,11 @@ def _to_center(group: pa.Table, similarity: int) -> pa.Table:
     return pa.table({"a": pa.array([int(ids[center])] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
 
-def bundled(df: DataFrame, keys: list[str], rows: int, of: int, f: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
-    """f of each group of df by `keys` (numbers). Groups go to tasks in bundles of about `of` of all the `rows`: most are of
-    a few rows, and a call of Python for each would cost more than its work."""
-    bundles = max(1, -(-rows // of))
+def bundled(df: DataFrame, keys: list[str], rows: int, of: int, f: Callable[[pa.Table], pa.Table], schema, shingles: int = 0) -> DataFrame:
+    """f of each group of df by `keys` (numbers). Groups go to tasks in bundles of about `of` of all the `rows`, or SHINGLES of all
+    the `shingles` of their texts if that is less: most are of a few rows, and a call of Python for each would cost more
+    than its work."""
+    bundles = max(1, -(-rows // of), -(-shingles // SHINGLES))
 
     def run(bundle: pa.Table) -> pa.Table:
         bundle = bundle.drop_columns("bundle").sort_by([(k, "ascending") for k in keys]).combine_chunks()
@@ -287,6 +290,11 @@ def bundled(df: DataFrame, keys: list[str], rows: int, of: int, f: Callable[[pa.
     return df.withColumn("bundle", F.pmod(F.xxhash64(*keys), F.lit(bundles))).groupBy("bundle").applyInArrow(run, schema)
 
 
+def _parts(rows, shingles):
+    """Parts that a group is cut into: of BLOCK rows and of SHINGLES shingles at most, on average."""
+    return F.ceil(F.greatest(rows / BLOCK, shingles / SHINGLES)).cast("int")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, hash, text), once each, of the wanted ids and hashes of texts."""
     few = wanted.count() <= BROADCAST
@@ -310,26 +318,27 @@ def linked(docs: DataFrame, made: DataFrame, similarity: int = SIMILARITY) -> Da
     shared = cut(keyed.join(centers.where(F.struct("center.id", "center.hash") != F.col("last")).drop("last"), "key"))
 
     met = shared.where((F.col("id") > F.col("center.id")) & fit(F.col("n"), F.col("center.n")))
-    most = met.groupBy("id", "hash", F.col("center.id").alias("a"), F.col("center.hash").alias("a_hash")).agg(F.count("*").alias("buckets"))
-    most = most.groupBy("id", "hash").agg(F.max(F.struct("buckets", "a", "a_hash")).alias("m"))
-    pairs = cut(most.select("id", "hash", "m.a", "m.a_hash"))
-    chunks = cut(pairs.groupBy("a", "a_hash").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")))
+    most = met.groupBy("id", "hash", F.col("center.id").alias("a"), F.col("center.hash").alias("a_hash")).agg(F.count("*").alias("buckets"), F.first("n").alias("n"))
+    most = most.groupBy("id", "hash").agg(F.max(F.struct("buckets", "a", "a_hash", "n")).alias("m"))
+    pairs = cut(most.select("id", "hash", "m.a", "m.a_hash", "m.n"))
+    n_pairs, n_shingles = pairs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chunks = cut(pairs.groupBy("a", "a_hash").agg(_parts(F.count("*"), F.sum("n")).alias("chunks")))
     texts = _texts(docs, pairs.select("id", "hash").unionByName(pairs.select(F.col("a").alias("id"), F.col("a_hash").alias("hash"))).distinct())
     dealt = pairs.join(chunks, ["a", "a_hash"]).withColumn("chunk", F.pmod(F.xxhash64("id", "hash"), F.col("chunks")).cast("int"))
     members = texts.join(dealt, ["id", "hash"]).select("a", "a_hash", "chunk", "id", "text", F.lit(True).alias("member"))
     held = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(F.col("a").alias("id"), F.col("a_hash").alias("hash"), "chunk")
     middle = texts.join(held, ["id", "hash"]).select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), "chunk", "id", "text", F.lit(False).alias("member"))
     to_center = lambda group: _to_center(group, similarity)
-    links = cut(bundled(members.unionByName(middle), ["a", "a_hash", "chunk"], 2 * pairs.count(), TEXTS, to_center, "a long, b long"))
+    links = cut(bundled(members.unionByName(middle), ["a", "a_hash", "chunk"], 2 * n_pairs, TEXTS, to_center, "a long, b long", 2 * n_shingles))
     known = components(links)
 
     state = shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tried = pairs.withColumn("tried", F.struct("a", "a_hash")).select("id", "hash", "tried")
     state = state.join(tried, ["id", "hash"], "left").withColumn("new", (F.col("id") > F.col("center.id")) & ~F.coalesce(F.col("tried") == F.struct("center.id", "center.hash"), F.lit(False)))
     state = cut(state.select("key", "band", "id", "hash", "n", "component", "new"))
-    apart = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("of"), F.max("new").alias("new"))
+    apart = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("of"), F.sum("n").alias("all"), F.max("new").alias("new"))
     # where a bucket has two classes, they have been compared unless their sizes keep them apart
-    blocks = F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks")
+    blocks = _parts(F.col("of"), F.col("all")).alias("blocks")
     apart = cut(apart.where("low < high and (of > 2 or new)").select("key", "of", blocks))
     rows = apart.agg(F.sum(F.col("of") * F.col("blocks"))).first()[0] or 0
     rest = state.join(apart.drop("of"), "key").withColumn("part", F.pmod(F.xxhash64("id", "hash"), F.col("blocks")).cast("int"))
@@ -337,12 +346,12 @@ def linked(docs: DataFrame, made: DataFrame, similarity: int = SIMILARITY) -> Da
     group = ["key", "low", "high"]
     rest = rest.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "band", "part", "id", "hash", "n", "component", "sig")
     open_ = cut(bundled(rest, group, rows, ROWS, lambda g: _promising(g, similarity), rest.schema))
-    n_open = open_.count()
+    n_open, n_shingles = open_.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not n_open:
         return known
     texts = _texts(docs, open_.select("id", "hash").distinct())
     # cut, so that no task feeds two Python workers at once: Spark keeps workers, and what they hold, for later stages
-    more = cut(bundled(texts.join(open_, ["id", "hash"]), group, n_open, TEXTS, lambda g: _compare(g, similarity), "a long, b long"))
+    more = cut(bundled(texts.join(open_, ["id", "hash"]), group, n_open, TEXTS, lambda g: _compare(g, similarity), "a long, b long", n_shingles))
     return components(links.unionByName(more))
 
 
