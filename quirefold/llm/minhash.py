@@ -20,7 +20,7 @@ is lost but by chances of MISS, and no rows of pairs are made.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ SIMILARITY = 80  # per cent
 MISS = 3e-7
 #: Elements that take a level together.
 BATCH = 50_000
+#: Levels in which slots are traced back, and bytes of texts whose words are hashed at once.
+TRACED, BYTES = 8, 1_000_000
 #: Ids that are broadcast at most; beyond, Spark joins as it sees fit.
 BROADCAST = 1_000_000
 #: Documents that are signed together, and rows of buckets and texts that a task gets together.
@@ -79,46 +81,71 @@ class _Powers:
         return self.up, self.down
 
 
-def word_hashes(data: np.ndarray, powers: _Powers) -> np.ndarray:
-    """One 64-bit hash of each word of UTF-8 bytes."""
+def word_hashes(data: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit hash of each word of UTF-8 bytes, and where the words start."""
     space = SPACES[data]
     edges = np.flatnonzero(np.concatenate([[True], space]) != np.concatenate([space, [True]]))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, U)
+        return np.zeros(0, U), starts
     up, down = powers.to(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(LETTERS[data] * up[: len(data)], out=sums[1:])
     words = (sums[ends] - sums[starts]) * down[starts]
-    return mix(words + (ends - starts).astype(U) * ODD)
+    return mix(words + (ends - starts).astype(U) * ODD), starts
 
 
-def shingle_set(text: str | None, powers: _Powers) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = word_hashes(np.frombuffer((text or "").encode(), np.uint8), powers)
-    if not len(words):
-        return words
-    width = min(SHINGLE, len(words))
-    runs = np.zeros(len(words) - width + 1, U)
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """One 64-bit hash of each run of so many words."""
+    runs = np.zeros(max(0, len(words) - width + 1), U)
     for k in range(width):
         runs = mix(runs * ODD + words[k : k + len(runs)])
-    runs += U(width)
-    runs.sort()
-    return runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
+    return runs + U(width)
+
+
+def distinct(runs: np.ndarray) -> np.ndarray:
+    runs = np.sort(runs)
+    return runs[np.concatenate([[True], runs[1:] != runs[:-1]])] if len(runs) else runs
+
+
+def shingle_sets(texts: list[bytes], powers: _Powers) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text. Words and runs of all texts are hashed at once."""
+    words, starts = word_hashes(np.frombuffer(b" ".join(texts), np.uint8), powers)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    last = np.searchsorted(starts, ends).tolist()
+    runs = shingles(words, SHINGLE)
+    found, first = [], 0
+    for end in last:
+        n = end - first
+        found.append(distinct(runs[first : end - SHINGLE + 1] if n >= SHINGLE else shingles(words[first:end], n) if n else words[:0]))
+        first = end
+    return found
+
+
+def shingle_set(text: str | None, powers: _Powers) -> np.ndarray:
+    return shingle_sets([(text or "").encode()], powers)[0]
 
 
 def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    """Signatures, one row a set: the level above, a 48-bit rank below. Sets must not be empty."""
+    """Signatures, one row a set: the level above, a 48-bit rank below. Sets must not be empty.
+
+    In the first levels the slot that an element visits is traced back through the swaps of its levels before; the few elements
+    that go on have their order of the slots written out.
+    """
     sizes = np.array([len(s) for s in sets])
     items = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     best = np.full(len(sets) * slots, ~U(0))
+    swaps: list[np.ndarray] = []  # of each level, the place that it was exchanged with
     order = None  # of the slots, for each element
     for level in range(slots):
         drawn = mix(items + U((2 * level + 1) * int(ODD) % 2**64))
         at = level + ((mix(drawn ^ ODD) >> U(32)) * U(slots - level) >> U(32)).astype(np.int64)
         if order is None:
             slot = at
+            for i in range(level - 1, -1, -1):
+                slot = np.where(slot == swaps[i], i, slot)
+            swaps.append(at)
         else:
             every = np.arange(len(items))
             slot = order[every, at].astype(np.int64)
@@ -128,12 +155,15 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
         if full.all():
             break
         left = ~full[owner]
-        if order is None:
-            order = np.broadcast_to(np.arange(slots, dtype=np.uint16), (int(left.sum()), slots)).copy()
-            order[np.arange(len(order)), at[left]] = 0
-        elif not left.all():
-            order = order[left]
-        items, owner = items[left], owner[left]
+        if not left.all():
+            items, owner, swaps = items[left], owner[left], [x[left] for x in swaps]
+            order = order if order is None else order[left]
+        if level == TRACED - 1:
+            order = np.broadcast_to(np.arange(slots, dtype=np.uint16), (len(items), slots)).copy()
+            every = np.arange(len(items))
+            for i, x in enumerate(swaps):
+                order[every, x], order[every, i] = order[every, i], order[every, x]
+            swaps = []
     return best.reshape(-1, slots)
 
 
@@ -165,12 +195,22 @@ def features(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         def signed(sets: list[np.ndarray]) -> list[bytes]:
             return [row.tobytes() for row in short_slots(super_minhash(sets, bands_ * rows_), bands_, rows_)]
 
+        def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+            held, n = [], 0
+            for x in texts.cast(pa.binary()):
+                held.append(x.as_py() or b"")
+                n += len(held[-1])
+                if n >= BYTES:
+                    yield from shingle_sets(held, powers)
+                    held, n = [], 0
+            if held:
+                yield from shingle_sets(held, powers)
+
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
             sizes, halves, sigs = [], [[], []], []
             pending: list[np.ndarray] = []
             held = 0
-            for x in columns[0]:
-                s = shingle_set(x.as_py(), powers)
+            for s in sets_of(columns[0]):
                 sizes.append(len(s))
                 for salt, half in enumerate(halves):
                     half.append(int(np.bitwise_xor.reduce(mix(s * ODD + U(salt))).view(np.int64)) if len(s) else None)
