@@ -949,14 +949,16 @@ def illustrations_linked(spark, sf_dir):
     return illustrations.link(texts, images, "doc_id", "linked")
 
 
+_CHAPTER_SQL = f"'第［＃縦中横］12［＃縦中横終わり］章（' || case when length(c) = 2 then '［＃縦中横］' || c || '［＃縦中横終わり］' else translate(c, '{_D}', '{_W}') end || '）'"
+
+
 @query(
-    f"""select doc_id, '［＃ここから前書き］' || chr(10) || case when i = '' then '' else '　' end || translate(i, {lit(_LATIN)}, {lit(_WIDE_LATIN)}) || chr(10) || '［＃ここで前書き終わり］' as introduction,
-      '第［＃縦中横］12［＃縦中横終わり］章（' || case when length(c) = 2 then '［＃縦中横］' || c || '［＃縦中横終わり］' else translate(c, '{_D}', '{_W}') end || '）' as chapter_name
-    from (select doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g')[1:5] as i, length(text)::varchar as c from documents)"""
+    f"""select doc_id, '［＃ここから前書き］' || chr(10) || normalized || chr(10) || '［＃ここで前書き終わり］' as introduction, {_CHAPTER_SQL} as chapter_name
+    from ({_chain_sql(source="select doc_id, text as t from documents")}) join (select doc_id, length(text)::varchar as c from documents) using (doc_id)"""
 )
 def text_kinds(spark, sf_dir):
-    """Kinds of short texts: an introduction between markers, a chapter's name."""
-    n_chars = F.length("text").cast("string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 5).alias("i"), F.concat(F.lit("第12章("), n_chars, F.lit(")")).alias("c"))
+    """Kinds of texts: whole texts as introductions between markers, a chapter's name."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.col("text").alias("i"), F.concat(F.lit("第12章("), F.length("text").cast("string"), F.lit(")")).alias("c"))
     done = normalize_all(normalize_all(docs, "i", "introduction", out_col="introduction"), "c", "chapter", out_col="chapter_name")
     return done.select("doc_id", "introduction", "chapter_name")
