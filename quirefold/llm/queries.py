@@ -26,6 +26,8 @@ def hex_of(text) -> F.Column:
 
 @query
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and decoded text of every document, by the hashes of both. A null text is empty; rows that repeat an id or a text are coded
+    each; an empty table gives no rows; columns but doc_id and text aren't read."""
     from public_tokenizers import path
 
     model = path("piece_bpe_32k.model")
@@ -40,6 +42,8 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents alike by 85 per cent or more. Nulls, empty texts and repeated ids: see minhash. An empty table gives no
+    rows; columns but doc_id and text aren't read."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=85)
 
 
@@ -52,6 +56,8 @@ TOXIC = 0.7
 
 @query
 def op10_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned from rows whose remainder isn't 1. Nulls, repeated ids and labels that disagree: see toxicity.
+    An empty table, or one without toxic labels, gives scores next to 0; columns but doc_id and text aren't read."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=crc_mod(3) != 1)
     scored = toxicity.score(docs, model, keep=["doc_id"])
@@ -60,6 +66,8 @@ def op10_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from rows whose remainder isn't 0. Nulls, ties and repeated rows: see langid. An empty
+    table gives no rows; columns but doc_id, text and lang aren't read."""
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs, train=crc_mod(5) != 0), keep=["doc_id"])
     return found.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "lang_pred", "score")
@@ -67,6 +75,8 @@ def op7_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text. Nulls, repeated ids and ties: see spotsigs. An empty table gives no rows; other
+    columns are dropped first."""
     rows = spotsigs.with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
     rows = rows.withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
     rows = spotsigs.with_signatures(rows, F.col("edited"), "edited_sigs")
@@ -83,11 +93,15 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of highest inner product for every vec_id that 20 divides. Nulls, ties and repeated ids: see topk. An empty table gives
+    no rows; columns but vec_id and embedding aren't read."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 @query
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back, as an index in order. Nulls and repeated pages: see warc. An empty table gives no
+    rows; columns but page_id, url and html aren't read, whatever their names."""
     path = f"{shared_dir(spark)}/archives/{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     index = warc.merged_index(warc.read_archives(spark, path))
@@ -96,23 +110,29 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards, under the law `bytes`. Nulls, ties and repeated rows: see sharding. An empty table gives no
+    rows; columns but doc_id and text aren't read."""
     dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in bins, under conflicts of sources and of clusters of near copies. Nulls, repeated ids and long texts: see packing. An
+    empty table gives no rows; columns but doc_id, text and source aren't read."""
     docs = table(spark, sf_dir, "documents")
     return packing.best_fit(docs, near=packing.near_clusters(docs))
 
 
 @query
 def op11_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every item of the benchmark. Nulls, ties and repeated rows: see impact_index."""
     return impact_index.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
 @query
 def op12_disclosed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data, and of terms that disclose it, in every document. Nulls, repeated rows and long texts: see pii."""
     found = pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
     def said(spans) -> F.Column:
@@ -127,6 +147,7 @@ def op12_disclosed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of which get one planted. Nulls and long texts: see runs."""
     found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
@@ -156,6 +177,8 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
 
 @query
 def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each speaker. Nulls, repeated turns and hot conversations: see chat. An empty table gives no rows;
+    columns but conv_id, turn, role and text aren't read, whatever their names."""
     views = chat.perspectives(table(spark, sf_dir, "conversations"))
     masks = F.array_join(F.transform("masks", lambda m: F.concat(m.start.cast("string"), F.lit("-"), m.end.cast("string"))), ",")
     return views.select("conv_id", "speaker", "part", "n_turns", "text", masks.alias("masks"), "char_offset")
