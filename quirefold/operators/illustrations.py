@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.strings import ILLUSTRATION, code_illustrations
+from quirefold.functions.strings import EXTENSIONS, ILLUSTRATION, code_illustrations
 from quirefold.functions.tokens import rewrite
 
 
+def basename(url: Column) -> Column:
+    """The name that an image of this URL is stored under: the last segment of its path without its last extension."""
+    path = F.regexp_replace(F.regexp_replace(url, r"(?s)[?#].*", ""), "/+$", "")
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return F.when(name.rlike(r"(?s)^.+\.[^.]+$"), F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(name)
+
+
+def stored_images(wanted: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("work_id",)) -> DataFrame:
+    """wanted (keys, url, and basename where it is given) with the filename that is stored for each, null where none is: of the
+    files (keys, filename) of that name the first in the order of EXTENSIONS, whatever other extensions there are."""
+    name = F.coalesce("basename", basename(F.col("url"))) if "basename" in wanted.columns else basename(F.col("url"))
+    places = F.create_map(*[x for i, e in enumerate(EXTENSIONS.values()) for x in (F.lit(e), F.lit(i))])
+    split = files.select(*keys, F.regexp_extract("filename", r"(?s)^(.*)\.([^.]*)$", 1).alias("_name"), F.element_at(places, F.regexp_extract("filename", r"\.([^.]*)$", 1)).alias("_place"), "filename")
+    first = split.where("_place is not null").groupBy(*keys, "_name").agg(F.min_by("filename", "_place").alias("_stored"))
+    rows = wanted.drop("filename").withColumn("_name", name).join(first, [*keys, "_name"], "left")
+    return rows.withColumnRenamed("_stored", "filename").drop("_name")
+
+
 def link(texts: DataFrame, images: DataFrame, id_col: str, text_col: str, code_template: str | None = None) -> DataFrame:
     """texts with the URLs of illustration notes replaced by the names under which images (url, filename) are stored; notes
     whose image isn't stored are removed, notes that hold no URL stay. With a template, coded tags become URLs first.

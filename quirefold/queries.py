@@ -949,6 +949,22 @@ def illustrations_linked(spark, sf_dir):
     return illustrations.link(texts, images, "doc_id", "linked")
 
 
+@query(
+    """select o_orderkey, case o_orderkey % 4 when 0 then 'i.' || o_orderkey || '.jpg' when 1 then 'i.' || o_orderkey || '.webp' when 2 then 'named.png' end as filename from orders"""
+)
+def images_stored(spark, sf_dir):
+    """Which stored file an image's URL stands for: of several extensions the first, one that isn't an image's never, a given
+    name before the URL's own, none where none is stored."""
+    k = F.col("o_orderkey") % 4
+    name = F.concat(F.lit("i."), F.col("o_orderkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    wanted = orders.select("o_orderkey", F.concat(F.lit("https://x.example/a.b/"), name, F.lit(".PNG?v=1.2/3#f")).alias("url"), F.when(k == 2, "named").alias("basename"))
+    kinds = F.when(k == 0, F.array(*map(F.lit, ("webp", "txt", "png", "jpg")))).when(k == 1, F.array(*map(F.lit, ("webp", "svg")))).otherwise(F.array(*map(F.lit, ("svg", "JPG"))))
+    files = orders.select("o_orderkey", F.explode(F.transform(kinds, lambda e: F.concat(name, F.lit("."), e))).alias("filename"))
+    named = orders.where(k == 2).select("o_orderkey", F.lit("named.png").alias("filename"))
+    return illustrations.stored_images(wanted, files.unionByName(named), ("o_orderkey",)).select("o_orderkey", "filename")
+
+
 _CHAPTER_SQL = f"'第［＃縦中横］12［＃縦中横終わり］章（' || case when length(c) = 2 then '［＃縦中横］' || c || '［＃縦中横終わり］' else translate(c, '{_D}', '{_W}') end || '）'"
 
 

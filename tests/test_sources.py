@@ -174,3 +174,14 @@ def test_spread(spark):
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(100).repartition(50)
     assert spread(wide) is wide
+
+
+def test_stored_images(spark):
+    from quirefold.operators import illustrations
+
+    names = ["https://h/a/b.c.jpg?x=/y.z", "https://h/a/", "https://h/.hidden", "b.", "x", "", None, "a/b.png#c/d.e"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(names)], "i int, url string")
+    assert [r[0] for r in df.select("i", illustrations.basename(F.col("url")).alias("n")).orderBy("i").select("n").collect()] == ["b.c", "a", ".hidden", "b.", "x", "", None, "b"]
+    files = spark.createDataFrame([(1, "b.c.webp"), (1, "b.c.png"), (1, "b.c.svg"), (2, "x.gif"), (1, "plain")], "work_id int, filename string")
+    wanted = df.withColumn("work_id", F.lit(1))
+    assert {r.i: r.filename for r in illustrations.stored_images(wanted, files).collect()} == {0: "b.c.png"} | dict.fromkeys(range(1, 8))
