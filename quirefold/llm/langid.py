@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ TEXTS, WORDS, RUNS, EVIDENCE = 2000, 20_000, 10_000, 20
 SAMPLE, CELLS = 64_000, 16_000_000
 #: Languages whose sizes are broadcast at most; beyond, Spark joins as it sees fit.
 BROADCAST = 10_000
-#: Words whose logarithms a task keeps, and how long they are at most; longer ones are looked up each time.
-CACHE, KEPT = 100_000, 64
+#: Words of a text, and numbers of words and languages, that are added up at once.
+SEGMENT, AT_ONCE = 10_000, 2_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -58,47 +58,66 @@ class Model:
     #: By length of runs, whole words under 0: the log frequency of each in each language.
     tables: dict[int, dict[str, int]]
     logs: dict[int, np.ndarray]
-    _ids: dict[str, int] = field(default_factory=dict, repr=False)
-    _rows: list[np.ndarray] = field(default_factory=list, repr=False)
-    _matrix: np.ndarray | None = field(default=None, repr=False)
 
-    def __getstate__(self):
-        return self.__dict__ | {"_ids": {}, "_rows": [], "_matrix": None}
-
-    def of_word(self, word: str) -> np.ndarray:
-        if (i := self.tables[0].get(word)) is not None:
-            return self.logs[0][i]
+    def of_words(self, found: list[str]) -> np.ndarray:
+        """The log frequencies of each word, a row each: its own, or the mean of those of its longest known runs."""
+        out = np.zeros((len(found), len(self.languages)))
+        at = np.fromiter((self.tables[0].get(w, -1) for w in found), np.int64, len(found))
+        out[at >= 0] = self.logs[0][at[at >= 0]]
+        left = np.flatnonzero(at < 0).tolist()
         for n in range(LONGEST, 0, -1):
-            known = self.tables[n]
-            if found := [known[r] for r in runs_of(word, n) if r in known]:
-                return self.logs[n][found].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-    def _id(self, word: str) -> int:
-        self._rows.append(self.of_word(word))
-        if len(word) <= KEPT:
-            self._ids[word] = len(self._rows) - 1
-        return len(self._rows) - 1
+            number = self.tables[n].get
+            done, sizes, flat, rest = [], [], [], []
+            for i in left:
+                if known := [k for r in runs_of(found[i], n) if (k := number(r)) is not None]:
+                    done.append(i)
+                    sizes.append(len(known))
+                    flat += known
+                else:
+                    rest.append(i)
+            if done:
+                starts = np.cumsum(sizes) - sizes
+                out[done] = np.add.reduceat(self.logs[n][flat], starts, axis=0) / np.array(sizes)[:, None]
+            left = rest
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language and the score of each text. Of many texts at once, each different word is looked up once."""
+        counts = np.zeros(len(texts), np.int64)
+        totals = np.zeros((len(texts), len(self.languages)))
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+
+        def flush() -> None:
+            ids: dict[str, int] = {}
+            flat = [ids.setdefault(w, len(ids)) for _, part in held for w in part]
+            sizes = np.array([len(part) for _, part in held])
+            sums = np.add.reduceat(self.of_words(list(ids))[flat], np.cumsum(sizes) - sizes, axis=0)
+            np.add.at(totals, [i for i, _ in held], sums)
+
+        for i, text in enumerate(texts if self.languages else []):
+            found = words(text)
+            counts[i] = len(found)
+            for k in range(0, len(found), SEGMENT):
+                held.append((i, found[k : k + SEGMENT]))
+                n += len(held[-1][1])
+                if n * len(self.languages) > AT_ONCE:
+                    flush()
+                    held, n = [], 0
+        if held:
+            flush()
+        out = []
+        for total, count in zip(totals, counts.tolist(), strict=True):
+            if not count:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = total * (min(count, EVIDENCE) / count)
+            best = int(total.argmax())
+            out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text)
-        if not found or not self.languages:
-            return UNDETERMINED, 0.0
-        if len(self._rows) >= CACHE:
-            self._ids, self._rows, self._matrix = {}, [], None
-        ids = self._ids
-        at = [i if (i := ids.get(w)) is not None else self._id(w) for w in found]
-        held = 0 if self._matrix is None else len(self._matrix)
-        if max(at) < held:
-            total = self._matrix[at].sum(axis=0)
-        elif len(self._rows) > 1.2 * held + 1000:
-            self._matrix = np.array(self._rows)
-            total = self._matrix[at].sum(axis=0)
-        else:
-            total = np.sum([self._rows[i] for i in at], axis=0)
-        total = total * (min(len(found), EVIDENCE) / len(found))
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return self.predict_all([text])[0]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: F.Column | None = None) -> Model:
@@ -168,7 +187,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str =
         own = shared.value
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            made = [own.predict(x.as_py()) for x in columns[0]]
+            made = own.predict_all(columns[0].to_pylist())
             return [pa.array([lang for lang, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())]
 
         return compute

@@ -38,9 +38,9 @@ def test_language_edges(spark):
 def test_known_words_come_first(spark):
     df = spark.createDataFrame([(1, "lala lala lolo", "aa"), (2, "lulu lala", "bb")], "doc_id long, text string, lang string")
     model = langid.fit(df)
-    lala = model.of_word("lala")
+    lala = model.of_words(["lala"])[0]
     assert lala[0] > lala[1] and np.array_equal(lala, model.logs[0][model.tables[0]["lala"]])
-    unseen = model.of_word("lol")  # its longest known run is ^lol
+    unseen = model.of_words(["lol"])[0]  # its longest known run is ^lol
     assert np.array_equal(unseen, model.logs[4][model.tables[4]["^lol"]])
 
 
