@@ -38,6 +38,15 @@ URL = rf"https?://[{WORD}/:%#$&?()~.=+\-]+"
 NUMBER = r"\p{Nd}[\p{Nd},]+\p{Nd}"
 KANJI_NUMBER = f"[{KANJI_DIGITS}十百千万億兆京]+"
 SENTENCE_LENGTH = 8
+LINE_TO_JOIN = "([^、])、\n　([^「『(（【<＜〈《≪…‥―])"
+COMMENT = "(?msd)^={10,}\n.*?\n={10,}$"
+BOLD = "(?iud)<b>(.+?)</b>"
+SEPARATOR = "(?md)^-{5,}$"
+DASH_LINE = "(?md)^[ 　\t]*(――)"
+LINE_TO_INDENT = r"(?md)^([^　 \t「『(（【〈《≪〝―…‥※［＃])"
+BRACKET_LINE = "(?md)^[ 　\t]*([〔「『(（【〈《≪〝])"
+MARKED_KANA = ("ぁ-ん", "ァ-ン")
+DAY = r"20\p{Nd}{2}／\p{Nd}{1,2}／\p{Nd}{1,2}"
 # -------------------------------------------------------------------------------------------------------------------
 
 _SENTENCE = WORD + r".,!?'\" &:;\-"
@@ -75,18 +84,18 @@ def join_in_brackets(text: Column) -> Column:
 
 def join_lines(text: Column) -> Column:
     """Stage 3: a line that ends in 、 is joined with the next, indented one unless that opens a bracket."""
-    return F.regexp_replace(text, "([^、])、\n　([^「『(（【<＜〈《≪…‥―])", "$1、$2")
+    return F.regexp_replace(text, LINE_TO_JOIN, "$1、$2")
 
 
 def drop_comments(text: Column) -> Column:
     """Stage 4: blocks between lines of ten or more = go."""
-    return F.regexp_replace(text, "(?msd)^={10,}\n.*?\n={10,}$", "")
+    return F.regexp_replace(text, COMMENT, "")
 
 
 def site_tags(text: Column) -> Column:
     """Stage 7: bold tags and separator lines become notes."""
-    bold = F.regexp_replace(text, "(?iud)<b>(.+?)</b>", "［＃ゴシック体］$1［＃ゴシック体終わり］")
-    return F.regexp_replace(bold, "(?md)^-{5,}$", "［＃区切り線］")
+    bold = F.regexp_replace(text, BOLD, "［＃ゴシック体］$1［＃ゴシック体終わり］")
+    return F.regexp_replace(bold, SEPARATOR, "［＃区切り線］")
 
 
 def roman_numerals(text: Column) -> Column:
@@ -204,12 +213,12 @@ def dates(text: Column, form: str | Column = "%Y年%m月%d日") -> Column:
         day = F.try_to_timestamp(plain, F.lit("yyyy/M/d")).cast("timestamp_ntz")
         return F.coalesce(F.call_function("date_format", day, java), hit)
 
-    return rewrite(text, r"20\p{Nd}{2}／\p{Nd}{1,2}／\p{Nd}{1,2}", change)
+    return rewrite(text, DAY, change)
 
 
 def mark_font(text: Column) -> Column:
     """Stage 19: kana with a mark that has no character of its own."""
-    for kana in ("ぁ-ん", "ァ-ン"):
+    for kana in MARKED_KANA:
         text = F.regexp_replace(text, f"([{kana}])゛", "［＃濁点］$1［＃濁点終わり］")
     return text
 
@@ -242,13 +251,13 @@ def readings(text: Column) -> Column:
 
 def indent(text: Column) -> Column:
     """Stage 21: lines get U+3000 in front unless they start with a blank, a bracket, a dash or a note; empty ones, too."""
-    dashes = F.regexp_replace(text, "(?md)^[ 　\t]*(――)", "　$1")
-    return F.regexp_replace(dashes, r"(?md)^([^　 \t「『(（【〈《≪〝―…‥※［＃])", "　$1")
+    dashes = F.regexp_replace(text, DASH_LINE, "　$1")
+    return F.regexp_replace(dashes, LINE_TO_INDENT, "　$1")
 
 
 def half_indent(text: Column) -> Column:
     """Stage 22: lines that open a bracket get the note of half a cell instead of blanks."""
-    return F.regexp_replace(text, "(?md)^[ 　\t]*([〔「『(（【〈《≪〝])", "［＃二分アキ］$1")
+    return F.regexp_replace(text, BRACKET_LINE, "［＃二分アキ］$1")
 
 
 def pack_blank_lines(text: Column) -> Column:

@@ -23,7 +23,6 @@ _EPISODE = (
     r'<a href="(?<href>/[^"]+?/(?<index>\d+?)/)" class="p-eplist__subtitle">\s*(?<subtitle>.+?)\s*</a>\s*'
     r'<div class="p-eplist__update">\s*(?<subdate>[0-9/: ]+?)(?:\s*<span title="(?<subupdate>.+?) 改稿">（<u>改</u>）</span>)?\s*</div>\s*</div>'
 )
-_INFO = r'<dt class="p-infotop-data__title">{0}</dt>\s*<dd class="p-infotop-data__value">(?<{1}>.+?)</dd>'
 _COMMON = {
     "scheme": "https",
     "top_url": r"\\k<scheme>://\\k<domain>",
@@ -40,10 +39,10 @@ _COMMON = {
     "nt": r'<td class="p-infotop-data__value">(?<novel_type>連載中|完結済|短編)</td>',
     "novel_type_string": {"連載中": 1, "完結済": 3, "短編": 2},
     "ga": r"全(?<general_all_no>\d+)部",
-    "s": _INFO.format("あらすじ", "story"),
-    "gf": _INFO.format("掲載日", "general_firstup"),
-    "nu": _INFO.format("最終掲載日", "novelupdated_at"),
-    "gl": _INFO.format("最終掲載日", "general_lastup"),
+    "s": r'<dt class="p-infotop-data__title">あらすじ</dt>\s*<dd class="p-infotop-data__value">(?<story>.+?)</dd>',
+    "gf": r'<dt class="p-infotop-data__title">掲載日</dt>\s*<dd class="p-infotop-data__value">(?<general_firstup>.+?)</dd>',
+    "nu": r'<dt class="p-infotop-data__title">最終掲載日</dt>\s*<dd class="p-infotop-data__value">(?<novelupdated_at>.+?)</dd>',
+    "gl": r'<dt class="p-infotop-data__title">最終掲載日</dt>\s*<dd class="p-infotop-data__value">(?<general_lastup>.+?)</dd>',
     "w": r'<dt class="p-infotop-data__title">作者名</dt>\s*<dd class="p-infotop-data__value">(?:<a href=".+?">)?(?<writer>.+?)(?:</a>)?\s*</dd>',
 }
 _SITES = (
