@@ -45,6 +45,8 @@ ROUNDING = 1e-11
 LONG = (1 << 63) - 1
 #: Hits that a block's search holds before all but the best are dropped.
 HELD = 2_000_000
+#: Numbers of queries that go to regions in one batch.
+SENT = 2_000_000
 
 
 class Page:
@@ -260,8 +262,9 @@ class Space:
         return run
 
     def reachable(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query once for each region that its bound can't rule out."""
-        for batch in batches:
+        """Each query once for each region that its bound can't rule out; batches of about SENT numbers, as each has the vectors."""
+        n = max(1, SENT // max(1, self.width * len(self.roots)))
+        for batch in (b.slice(i, n) for b in batches for i in range(0, b.num_rows, n)):
             vectors = matrix(batch.column("vector"), self.width, self.unit)
             bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
             bound = np.where(np.isnan(bound), -np.inf, lower(bound) / self.unit / self.unit)
