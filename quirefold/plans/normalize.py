@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from quirefold.functions import normalize as n
 from quirefold.functions.tokens import clean, hide, restore, stash
 from quirefold.sources.settings import NAMES, Settings
+from quirefold.sources.shared import cut
 
 KINDS = ("body", "textfile", "introduction", "postscript", "subtitle", "chapter", "story")
 #: What is restored at the end, in order.
 RESTORED = ("ＵＲＬ", "挿絵", "英文", "半角数字", "章見出し")
+#: Up to so many works' settings are broadcast; of more, each row is there once for every part of its work's texts.
+BROADCAST, PARTS = 10_000, 16
 
 
 class _Steps:
@@ -124,9 +127,11 @@ def normalize(df: DataFrame, text_col: str = "text", kind: str = "body", setting
 def normalize_by_work(df: DataFrame, settings: DataFrame, work_col: str = "work_id", text_col: str = "text", kind: str = "body", out_col: str = "normalized") -> DataFrame:
     """As normalize(), each text by the settings of its work: a row of `settings` as sources.settings.by_work makes them. A work
     without a row, and a value that is null, has the defaults. One plan serves all works, whatever their settings: flags are
-    columns and rules an array that is folded over the text. A work has one row of settings at most."""
+    columns and rules an array that is folded over the text. A work has one row of settings at most.
+
+    Texts are never gathered by their work, so few works, or one with most of the texts, are spread like any others."""
     renamed = settings.select(F.col(work_col).alias("_work"), *[F.col(c).alias(f"_s_{c}") for c in (*NAMES, "java_date_format", "rules")])
-    rows = df.join(renamed, F.col(work_col) == F.col("_work"), "left")
+    rows = _with_settings(df, cut(renamed), work_col, text_col).sortWithinPartitions("_work")  # so that a work's rules are compiled once a task
     plain = Settings()
     columns = {c: F.coalesce(f"_s_{c}", F.lit(getattr(plain, c))) for c in NAMES}
     columns["date_format"] = F.coalesce("_s_java_date_format", F.lit(n.java_date_form(plain.date_format)))
@@ -134,4 +139,12 @@ def normalize_by_work(df: DataFrame, settings: DataFrame, work_col: str = "work_
     own = {f"_s_{c}": x for c, x in columns.items()}
     rows = rows.withColumns(own | {"_s_rules": rules})
     found = normalize(rows, text_col, kind, replace(plain, **{c: F.col(f"_s_{c}") for c in NAMES}, replace_pattern=F.col("_s_rules")), out_col)
-    return found.drop("_work", "_s_java_date_format", "_s_rules", *own)
+    return found.drop("_work", "_part", "_text_part", "_s_java_date_format", "_s_rules", *own)
+
+
+def _with_settings(df: DataFrame, renamed: DataFrame, work_col: str, text_col: str) -> DataFrame:
+    if renamed.count() <= BROADCAST:
+        return df.join(F.broadcast(renamed), F.col(work_col) == F.col("_work"), "left")
+    parts = renamed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = df.withColumn("_text_part", F.pmod(F.xxhash64(text_col), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts, (F.col(work_col) == F.col("_work")) & (F.col("_text_part") == F.col("_part")), "left")

@@ -57,3 +57,25 @@ def test_characters_of_fixed_sets(spark):
     got = df.select(markup.xhtml(F.col("a")), normalize.space_after_marks(F.col("b"))).first()
     assert got[0] == "<p>한글《x》 <ruby>漢字<rt>かんじ</rt></ruby></p>"
     assert got[1] == "何！　[a] 何！］ 何?　[b"
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_one_works_texts_are_spread(spark, broadcast, monkeypatch):
+    """All texts of a work went to one task, unless Spark happened to broadcast the settings."""
+    from quirefold.plans import normalize as plan
+
+    monkeypatch.setattr(plan, "BROADCAST", broadcast, raising=False)
+    files = spark.createDataFrame([(1, FILES[1][0], None)], "work_id long, ini string, replacements string")
+    df = spark.range(400).select(F.lit(1).cast("long").alias("work_id"), F.concat(F.lit("あ"), F.col("id").cast("string")).alias("text")).repartition(4)
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        done = normalize_by_work(df, settings.by_work(files))
+        rows = done.select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert done.columns == ["work_id", "text", "normalized"] and len(rows) == 400 and len({r.task for r in rows}) > 1
+    assert {r.text: r.normalized for r in rows}["あ12"] == "　あ［＃縦中横］12［＃縦中横終わり］"
