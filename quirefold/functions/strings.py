@@ -66,9 +66,9 @@ def html_escape(text: Column) -> Column:
 
 
 def wrap(text: Column, width: int) -> Column:
-    """Pieces of `width` characters; none of an empty text."""
-    starts = F.sequence(F.lit(0), F.ceil(F.length(text) / width).cast("int") - 1)
-    return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i * width + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+    """Pieces of `width` characters; none of an empty text. One pass: to cut each piece out of the text by its number would walk
+    to it from the text's start."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def cover_start(lines: Column) -> Column:

@@ -103,3 +103,24 @@ def test_readings_in_their_line(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r.x for r in df.select("i", n.readings(F.col("t")).alias("x")).orderBy("i").collect()]
     assert [(t, g) for t, g in zip(texts, got, strict=True) if g != (None if t is None else plain(t))] == []
+
+
+def _seconds(spark, text, change):
+    import time
+
+    df = spark.createDataFrame([(text,)], "t string")
+    df.select(F.length(change(F.lit("a")))).collect()
+    began = time.perf_counter()
+    got = df.select(change(F.col("t"))).first()[0]
+    return got, time.perf_counter() - began
+
+
+def test_wrap_is_one_pass(spark):
+    """Pieces were cut out by walking from the text's start to each of them: over a minute here."""
+    from quirefold.functions import strings
+
+    text = "あ𠮷\nb" * 150_000
+    got, took = _seconds(spark, text, lambda t: F.array_join(strings.wrap(t, 7), "|"))
+    assert got == "|".join(text[i : i + 7] for i in range(0, len(text), 7)) and took < 20
+    df = spark.createDataFrame([("",), (None,), ("abc",), ("abcd",)], "t string")
+    assert [r[0] for r in df.select(strings.wrap(F.col("t"), 3)).collect()] == [[], [], ["abc"], ["abc", "d"]]
