@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.patterns import java_rule
 from quirefold.functions.strings import replace_all
-from quirefold.functions.tokens import rewrite
+from quirefold.functions.tokens import once, rewrite
 
 # Fixed values ------------------------------------------------------------------------------------------------------
 DIGITS, WIDE_DIGITS, KANJI_DIGITS = "0123456789", "０１２３４５６７８９", "〇一二三四五六七八九"
@@ -233,7 +233,7 @@ def readings(text: Column) -> Column:
     bar = "\ue029"
 
     def ruby(t: Column, opened: str, reading: str, closed: str) -> Column:
-        span = rf"(?d)(?:\G|(?<=\n))(.+?){opened}({reading}){closed}"
+        span = rf"(?md)(?:^|\G)(.[^{opened}\n]*+.*?){opened}({reading}){closed}"
 
         def change(hit: Column) -> Column:
             base, read = F.regexp_extract(hit, span, 1), F.regexp_extract(hit, span, 2)
@@ -242,10 +242,9 @@ def readings(text: Column) -> Column:
             marked = F.concat(F.regexp_replace(base, last, f"{bar}$1"), F.lit("《"), read, F.lit("》"))
             return F.when(base.endswith("｜"), F.concat(F.substring(base, F.lit(1), F.length(base) - 1), kept)).when(base.rlike(last), marked).otherwise(hit)
 
-        return F.when(t.contains(opened), rewrite(t, span, change)).otherwise(t)
+        return rewrite(t, span, change, t.contains(opened))
 
-    t = ruby(text, "≪", "[^≪]+?", "≫")
-    t = ruby(t, "（", f"[{READING}]{{1,20}}", "）")
+    t = once(ruby(text, "≪", "[^≪]+?", "≫"), lambda t: ruby(t, "（", f"[{READING}]{{1,20}}", "）"))
     return F.regexp_replace(t, f"[{bar}｜]", "※［＃縦線］")
 
 

@@ -17,6 +17,12 @@ RESERVED = "\ue010-\ue030"
 KEY = "\ue010"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for a row, however often use names it and behind whatever condition. Spark
+    would compute an expression anew wherever it is named."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def clean(text: Column) -> Column:
     return F.regexp_replace(text, f"[{RESERVED}]", "")
 
@@ -26,10 +32,11 @@ def interleave(parts: Column, hits: Column) -> Column:
     return F.array_join(F.zip_with(parts, hits, lambda p, h: F.concat(F.coalesce(p, F.lit("")), F.coalesce(h, F.lit("")))), "")
 
 
-def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """Each match of the pattern, which has no empty match, replaced by change(match)."""
+def rewrite(text: Column, pattern: str, change: Callable[[Column], Column], found: Column | None = None) -> Column:
+    """Each match of the pattern, which has no empty match, replaced by change(match). `found` can be false only for texts without
+    a match: a cheaper test than a search for the pattern."""
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
-    return F.when(text.rlike(pattern), interleave(F.split(text, pattern, -1), hits)).otherwise(text)
+    return F.when(text.rlike(pattern) if found is None else found, interleave(F.split(text, pattern, -1), hits)).otherwise(text)
 
 
 def token(kind: str) -> str:

@@ -124,3 +124,9 @@ def test_wrap_is_one_pass(spark):
     assert got == "|".join(text[i : i + 7] for i in range(0, len(text), 7)) and took < 20
     df = spark.createDataFrame([("",), (None,), ("abc",), ("abcd",)], "t string")
     assert [r[0] for r in df.select(strings.wrap(F.col("t"), 3)).collect()] == [[], [], ["abc"], ["abc", "d"]]
+
+
+def test_long_line_of_open_brackets(spark):
+    text = "山" + "≪" * 30_000 + "\n谷≪たに≫"
+    got, took = _seconds(spark, text, n.readings)
+    assert got == "山" + "≪" * 30_000 + "\n※［＃縦線］谷《たに》" and took < 20
