@@ -130,3 +130,14 @@ def test_long_line_of_open_brackets(spark):
     text = "山" + "≪" * 30_000 + "\n谷≪たに≫"
     got, took = _seconds(spark, text, n.readings)
     assert got == "山" + "≪" * 30_000 + "\n※［＃縦線］谷《たに》" and took < 20
+
+
+def test_roman_numerals_as_word_by_word(spark):
+    import random
+    import re
+
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("IVXivx  -_章5Ⅱ") for _ in range(draw.randrange(30))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.x for r in df.select("i", n.roman_numerals(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [re.sub(r"\w+", lambda m: n.ROMAN.get(m[0], m[0]), t) for t in texts]
