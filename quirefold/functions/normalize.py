@@ -49,6 +49,16 @@ MARKED_KANA = ("ぁ-ん", "ァ-ン")
 DAY = r"20\p{Nd}{2}／\p{Nd}{1,2}／\p{Nd}{1,2}"
 # -------------------------------------------------------------------------------------------------------------------
 
+
+def within(bounds: str, chars: str) -> str:
+    """A class of characters that all lie within bounds. The bounds settle most characters of a text, where a plain class would
+    compare them with each of its own."""
+    return f"[{bounds}&&[{chars}]]"
+
+
+#: KANJI_DIGITS and KANJI_NUMBER, as columns look for them.
+KANJI_DIGIT = within("〇一-四", KANJI_DIGITS)
+KANJI_RUN = within("〇一-四百", KANJI_DIGITS + "十百千万億兆京") + "+"
 _SENTENCE = WORD + r".,!?'\" &:;\-"
 #: Runs that hold a space, or have SENTENCE_LENGTH characters with a lower-case one among them.
 SENTENCE = rf"(?<![{_SENTENCE}])(?:(?=[{_SENTENCE}]* )|(?=[{_SENTENCE}]{{{SENTENCE_LENGTH}}})(?=[{_SENTENCE}]*(?U:\p{{Lower}})))[{_SENTENCE}]++"
@@ -148,9 +158,10 @@ def wide_numbers(text: Column) -> Column:
 
 def digits_by_letters(text: Column) -> Column:
     """Stage 12: kanji digits next to full-width letters or unit signs become full-width digits."""
-    run = f"[{KANJI_DIGITS}・～]+"
+    run = within("〇・～一-四", f"{KANJI_DIGITS}・～")
     wide = lambda hit: F.translate(hit, KANJI_DIGITS, WIDE_DIGITS)
-    return rewrite(rewrite(text, f"[Ａ-Ｚａ-ｚ]{run}", wide), f"{run}[Ａ-Ｚａ-ｚ{UNIT_SIGNS}]", wide)
+    before = f"(?<!{run}){run}++[Ａ-Ｚａ-ｚ{UNIT_SIGNS}]"
+    return once(rewrite(text, f"[Ａ-Ｚａ-ｚ]{run}+", wide), lambda t: rewrite(t, before, wide))
 
 
 def kanji_units(text: Column, least_zeros: int | Column) -> Column:
