@@ -61,7 +61,7 @@ def _not(flag: bool | Column) -> bool | Column:
 def _numbers(steps: _Steps, kanji: bool | Column) -> None:
     steps.then(n.decimal_points)
     steps.when(_not(kanji), n.wide_numbers)
-    steps.hide("漢数字", n.KANJI_NUMBER, flag=kanji)
+    steps.hide("漢数字", n.KANJI_RUN, flag=kanji)
     steps.hide("半角数字", n.NUMBER, flag=kanji)
     steps.when(kanji, n.kanji_digits)
 

@@ -754,7 +754,7 @@ add_stage("stage_urls", _kept(n.URL, "ＵＲＬ", n.wide_latin), sql_kept(n.URL,
 add_stage("stage_sentences", _kept(n.SENTENCE, "英文", n.wide_latin), sql_rewrite("t", _RUN, f"case when {_SENTENCE} then x[2] else translate(x[2], {lit(_LATIN)}, {lit(_WIDE_LATIN)}) end"), SPANS)
 add_stage("stage_headings", _kept(n.HEADING, "章見出し", lambda t: t, n.heading), sql_sub("t", (_HEADING_SQL, r"　　　［＃ゴシック体］\1［＃ゴシック体終わり］")), SPANS)
 add_stage("ampersands", strings.ampersands, sql_pairs(sql_sub("t", ("(?i)&amp;", chr(0xE100)), ("&", "&amp;")), [(chr(0xE100), "&amp;")]), ANNOTATED + " &AMP; &lt; &amp;amp;".lower())
-_stash_roundtrip = _kept(n.KANJI_NUMBER, "漢数字", lambda t: t)
+_stash_roundtrip = _kept(n.KANJI_RUN, "漢数字", lambda t: t)
 
 
 add_stage("stash_roundtrip", _stash_roundtrip, "t")

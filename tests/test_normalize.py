@@ -141,3 +141,13 @@ def test_roman_numerals_as_word_by_word(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r.x for r in df.select("i", n.roman_numerals(F.col("t")).alias("x")).orderBy("i").collect()]
     assert got == [re.sub(r"\w+", lambda m: n.ROMAN.get(m[0], m[0]), t) for t in texts]
+
+
+def test_classes_within_bounds(spark):
+    """Characters are compared with bounds before they are compared with a class; both must agree on all characters."""
+    import re
+
+    chars = "".join(chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000)
+    for bounded, plain in ((n.KANJI_RUN, n.KANJI_NUMBER), (n.KANJI_DIGIT, f"[{n.KANJI_DIGITS}]")):
+        got = spark.createDataFrame([(chars,)], "t string").select(F.regexp_extract_all("t", F.lit(bounded), F.lit(0))).first()[0]
+        assert "&&" in bounded and got == re.findall(plain, chars)
