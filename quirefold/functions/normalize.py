@@ -78,18 +78,19 @@ def user_rules(text: Column, rules: list[tuple[str, str]] | Column) -> Column:
 
 def full_kana(text: Column) -> Column:
     """Stage 1: half-width kana full-width, marks joined to their kana, em dashes made bars."""
-    wide = F.translate(text, HALF_KANA, FULL_KANA)
-    marked = [(k + "゛", v) for k, v in zip(VOICED_FROM, VOICED_TO)] + [(k + "゜", v) for k, v in zip(HALF_VOICED_FROM, HALF_VOICED_TO)]
-    return replace_all(wide, [*marked, ("—", "―")])
+    marked = {k + "゛": v for k, v in zip(VOICED_FROM, VOICED_TO)} | {k + "゜": v for k, v in zip(HALF_VOICED_FROM, HALF_VOICED_TO)}
+    pairs = f"[ウ-ホ](?:(?<=[{VOICED_FROM}])゛|(?<=[{HALF_VOICED_FROM}])゜)"
+    return once(F.translate(text, HALF_KANA + "—", FULL_KANA + "―"), lambda t: rewrite(t, pairs, lambda hit: lookup(hit, marked)))
 
 
 def join_in_brackets(text: Column) -> Column:
     """Stage 2: lines inside 「」, then 『』, with at most one level inside, become one."""
-    for o, c in ("「」", "『』"):
+
+    def joined(t: Column, o: str, c: str) -> Column:
         inner = f"[^{o}{c}]*+"
-        span = f"{o}{inner}(?:{o}{inner}{c}{inner})*+{c}"
-        text = rewrite(text, span, lambda hit: F.regexp_replace(hit, "\n[　 \t]*", ""))
-    return text
+        return rewrite(t, f"{o}{inner}(?:{o}{inner}{c}{inner})*+{c}", lambda hit: F.regexp_replace(hit, "\n[　 \t]*", ""))
+
+    return once(joined(text, "「", "」"), lambda t: joined(t, "『", "』"))
 
 
 def join_lines(text: Column) -> Column:
@@ -137,7 +138,7 @@ def heading(hit: Column) -> Column:
 
 def decimal_points(text: Column) -> Column:
     """Stage 11: points between digits become ・."""
-    digit = rf"[\p{{Nd}}{KANJI_DIGITS}]"
+    digit = rf"[\p{{Nd}}{KANJI_DIGIT}]"
     return F.regexp_replace(text, f"({digit}+?)[.．]({digit}+?)", "$1・$2")
 
 
@@ -169,23 +170,24 @@ def kanji_units(text: Column, least_zeros: int | Column) -> Column:
     more than twenty digits stay as they are."""
     kanji = lambda d: F.translate(d, DIGITS, KANJI_DIGITS)
 
-    def change(run: Column) -> Column:
-        number = F.regexp_replace(F.translate(run, KANJI_DIGITS, DIGITS), "^0+", "")
-        padded = F.lpad(number, 20, "0")
+    def shown(padded: Column) -> Column:
         groups = []
         for unit in range(4, 0, -1):
             four = F.substring(padded, 17 - 4 * unit, 4)
-            shown = []
+            places = []
             for place in range(3, -1, -1):
                 d = F.substring(four, 4 - place, 1)
                 name = kanji(d) if place == 0 else F.when(d == "1", "").otherwise(kanji(d))
-                shown.append(F.when(d == "0", "").otherwise(F.concat(name, F.lit(PLACES[place]))))
-            groups.append(F.when(four == "0000", "").otherwise(F.concat(*shown, F.lit(UNITS[unit]))))
-        low = kanji(F.regexp_replace(F.substring(padded, 17, 4), "^0+", ""))
+                places.append(F.when(d == "0", "").otherwise(F.concat(name, F.lit(PLACES[place]))))
+            groups.append(F.when(four == "0000", "").otherwise(F.concat(*places, F.lit(UNITS[unit]))))
+        return F.concat(*groups, kanji(F.regexp_replace(F.substring(padded, 17, 4), "^0+", "")))
+
+    def change(run: Column) -> Column:
+        number = F.regexp_replace(F.translate(run, KANJI_DIGITS, DIGITS), "^0+", "")
         zeros = F.length(run) - F.length(F.replace(run, F.lit("〇"), F.lit("")))
-        return F.when((zeros < least_zeros) | (number == "") | (F.length(number) > 20), run).otherwise(F.concat(*groups, low))
+        return F.when((zeros < least_zeros) | (number == "") | (F.length(number) > 20), run).otherwise(once(F.lpad(number, 20, "0"), shown))
 
-    return rewrite(text, f"[{KANJI_DIGITS}]+", change)
+    return rewrite(text, f"{KANJI_DIGIT}+", change)
 
 
 def space_after_marks(text: Column) -> Column:

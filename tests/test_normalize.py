@@ -126,10 +126,21 @@ def test_wrap_is_one_pass(spark):
     assert [r[0] for r in df.select(strings.wrap(F.col("t"), 3)).collect()] == [[], [], ["abc"], ["abc", "d"]]
 
 
-def test_long_line_of_open_brackets(spark):
-    text = "山" + "≪" * 30_000 + "\n谷≪たに≫"
-    got, took = _seconds(spark, text, n.readings)
-    assert got == "山" + "≪" * 30_000 + "\n※［＃縦線］谷《たに》" and took < 20
+def _named(column, name):
+    """How often the plan of a column computes from the column `name`."""
+    from pyspark.sql import SparkSession
+
+    df = SparkSession.getActiveSession().createDataFrame([("x",)], f"{name} string").select(column)
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}#") - 1
+
+
+def test_stages_search_a_text_few_times(spark):
+    """What a stage makes of a text was computed anew wherever a later part of the stage named it: 13 and more times."""
+    for stage in (n.readings, n.digits_by_letters, n.join_in_brackets, n.full_kana, n.roman_numerals):
+        assert _named(stage(F.col("sought")), "sought") <= 5
+    text = "．・" * 40_000  # a run without a letter behind it was searched from each of its characters
+    got, took = _seconds(spark, "・" * 80_000 + "Ａ一" + text, n.digits_by_letters)
+    assert got == "・" * 80_000 + "Ａ１" + text and took < 5
 
 
 def test_roman_numerals_as_word_by_word(spark):
@@ -151,3 +162,9 @@ def test_classes_within_bounds(spark):
     for bounded, plain in ((n.KANJI_RUN, n.KANJI_NUMBER), (n.KANJI_DIGIT, f"[{n.KANJI_DIGITS}]")):
         got = spark.createDataFrame([(chars,)], "t string").select(F.regexp_extract_all("t", F.lit(bounded), F.lit(0))).first()[0]
         assert "&&" in bounded and got == re.findall(plain, chars)
+
+
+def test_long_line_of_open_brackets(spark):
+    text = "山" + "≪" * 30_000 + "\n谷≪たに≫"
+    got, took = _seconds(spark, text, n.readings)
+    assert got == "山" + "≪" * 30_000 + "\n※［＃縦線］谷《たに》" and took < 20
