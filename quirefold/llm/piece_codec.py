@@ -26,8 +26,8 @@ from quirefold.llm.common import append_by_arrow
 
 SPACE = "▁"
 MAX_MODEL_BYTES = 64 << 20
-#: Entries of the caches of chunks and of pairs in a task.
-CACHE = 200_000
+#: Entries of the caches of chunks and of pairs in a task. A pair's key is one number, so more of them fit.
+CACHE, PAIRS = 200_000, 400_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Letters of words; texts are cut between these and other characters where no piece spans the cut.
 LETTER = "A-Za-zÀ-ɏ"
@@ -56,10 +56,12 @@ class PieceCodec:
         self.chars = {p for p in self.id_of if len(p) == 1}
         self._matcher()
         self._cutter()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.cache = _Chunks(self)
         self.controls = [i for i, kind in enumerate(self.types) if kind == CONTROL]
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
+        self.surfaces = pa.array(self.surface, pa.large_binary())
+        self.is_control, self.is_byte = (np.array([t == kind for t in self.types]) for kind in (CONTROL, BYTE))
 
     # -- building ---------------------------------------------------------------------------------------------------
 
@@ -107,12 +109,12 @@ class PieceCodec:
     # -- encoding ---------------------------------------------------------------------------------------------------
 
     def _fits(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             a, b = self.pieces[left], self.pieces[right]
             found = self._merged(a + b) == [a, b]
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[key] = found
         return found
@@ -206,6 +208,33 @@ class PieceCodec:
                 run = bytearray()
         return "".join([*out, _bytewise(run)])
 
+    def decode_all(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """decode() of many texts, whose ids lie one behind another: text i's from starts[i] to starts[i + 1]. What all ids stand
+        for is taken at once, and only a text with control ids before its last one, or with bytes that are no text, is
+        decoded by itself."""
+        taken = self.surfaces.take(pa.array(ids))
+        data = memoryview(taken.buffers()[2] or b"")
+        at = np.frombuffer(taken.buffers()[1], "<i8")[taken.offset : taken.offset + len(ids) + 1]
+        controls, single = (np.concatenate([[0], np.cumsum(kind[ids])]) for kind in (self.is_control, self.is_byte))
+        out = []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b == a:
+                out.append(b"")
+                continue
+            found = bytes(data[at[a] : at[b]])
+            alone = controls[b - 1] > controls[a]
+            if not alone and single[b] > single[a]:
+                try:
+                    found.decode()
+                except UnicodeDecodeError:
+                    alone = True
+            if alone:
+                found = self.decode(ids[a:b].tolist()).encode()
+            elif self.dummy and found[:1] == b" " and self.types[ids[a]] == NORMAL:
+                found = found[1:]
+            out.append(found)
+        return pa.array(out, pa.large_binary()).cast(pa.large_string())
+
 
 def _bytewise(run: bytearray) -> str:
     out, at = [], 0
@@ -252,11 +281,11 @@ def _model(path: str) -> bytes:
     return model
 
 
-def _encoded(codec: PieceCodec, texts: pa.Array) -> tuple[pa.Array, list[bytes]]:
+def _encoded(codec: PieceCodec, texts: pa.Array) -> pa.Array:
     coded = [codec.encode(x.as_py()) for x in texts]
     offsets = np.zeros(len(coded) + 1, "i4")
     np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4"))), coded
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -265,7 +294,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
     def build():
         codec = _codec(model)
-        return lambda columns: [_encoded(codec, columns[0])[0]]
+        return lambda columns: [_encoded(codec, columns[0])]
 
     return append_by_arrow(df, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], build, [text_col], keep)
 
@@ -278,8 +307,8 @@ def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", id
         codec = _codec(model)
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            ids, coded = _encoded(codec, columns[0])
-            return [ids, pa.array([codec.decode(np.frombuffer(x, "<i4").tolist()) for x in coded], pa.string())]
+            ids = _encoded(codec, columns[0])
+            return [ids, codec.decode_all(ids.values.to_numpy(), ids.offsets.to_numpy())]
 
         return compute
 
@@ -295,7 +324,8 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
         codec = _codec(model)
 
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            return [pa.array([codec.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in columns[0]], pa.string())]
+            lists = columns[0].fill_null([])
+            return [codec.decode_all(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))]
 
         return compute
 

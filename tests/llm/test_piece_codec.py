@@ -51,3 +51,16 @@ def test_edges(spark, library):
     both = piece_codec.encode_and_decode(df, MODEL, keep=["doc_id"])
     assert sorted(map(str, both.collect())) == sorted(map(str, piece_codec.decode(piece_codec.encode(df, MODEL), MODEL, keep=["doc_id", "ids"]).collect()))
     assert piece_codec.encode(df.where(F.lit(False)), MODEL).count() == 0
+
+
+def test_texts_decoded_together_as_the_library(codec, library, monkeypatch):
+    """Ids of many texts are decoded at once; texts were decoded one by one."""
+    draw = random.Random(7)
+    lists = [[draw.choice([draw.randrange(300), draw.randrange(32000)]) for _ in range(draw.randrange(9))] for _ in range(4000)]
+    lists += [library.encode(t, add_eos=True) for t in ("", " a", "é😀漢", "  x", "<s>", "▁")]
+    flat, starts = np.array([i for x in lists for i in x], "i4"), np.cumsum([0, *map(len, lists)])
+    assert codec.decode_all(flat, starts).to_pylist() == [library.decode(x) for x in lists]
+    assert codec.decode_all(np.array([], "i4"), np.array([0, 0])).to_pylist() == [""]
+    plain = [library.encode(t, add_eos=True) for t in ("the word", "  two  words", "")]
+    monkeypatch.setattr(codec, "decode", None)
+    assert codec.decode_all(np.array(sum(plain, []), "i4"), np.cumsum([0, *map(len, plain)])).to_pylist() == ["the word", "  two  words", ""]
